@@ -117,11 +117,10 @@ def fit_languages(docs: DataFrame) -> Codes:
 def language(codes: Codes):
     """A column function: text -> struct of lang_pred, score, ambiguous."""
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
         return codes.predict(text)
 
-    return predict
+    return F.pandas_udf(predict, "lang_pred string, score double, ambiguous boolean")
 
 
 def op5_language(spark, sf_dir):

@@ -91,12 +91,15 @@ def sequence_of(html: str | None) -> list[dict]:
     return [{"position": k, **item} for k, item in enumerate(parser.items)]
 
 
-@F.pandas_udf(SEQUENCE)
-def interleaved(html: pd.Series) -> pd.Series:
-    """Column form of ``sequence_of``."""
+def _sequences(html: pd.Series) -> pd.Series:
     return html.map(sequence_of)
 
 
+def interleaved(html: Column) -> Column:
+    """Column form of ``sequence_of``."""
+    return F.pandas_udf(_sequences, SEQUENCE)(html)
+
+
 def payload(text: Column) -> Column:
     """UTF-8 bytes of a text, padded with blanks to a positive multiple of 192."""
     raw = F.coalesce(text, F.lit("")).cast("binary")

@@ -136,14 +136,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **opti
 def quality_score(forest: Forest):
     """A column function: text -> score."""
 
-    @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         out = np.zeros(len(text))
         for at in range(0, len(text), 512):
             out[at : at + 512] = forest.scores(matrix(text.iloc[at : at + 512]))
         return pd.Series(out)
 
-    return score
+    return F.pandas_udf(score, "double")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.llm.shared import documents, stored
@@ -48,9 +48,12 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("long")
-def fingerprints(text: pd.Series) -> pd.Series:
-    return text.map(fingerprint, na_action=None).astype("int64")
+def _fingerprints(text: pd.Series) -> pd.Series:
+    return text.map(fingerprint).astype("int64")
+
+
+def fingerprints(text: str) -> Column:
+    return F.pandas_udf(_fingerprints, "long")(text)
 
 
 class BKTree:
