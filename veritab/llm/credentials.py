@@ -93,6 +93,10 @@ def written(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def counted(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def masked(text: Column, spans: Column, mask: str = "<removed>") -> Column:
     """The text with each span (or run of overlapping spans) replaced by the mask."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -118,7 +122,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
 
 def op6_credentials(spark, sf_dir):
     found = scan(documents(spark, sf_dir).select("doc_id", "text"))
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [counted("base_spans", k).alias(f"n_{KINDS[k]}") for k in range(3)]
     found = found.select("doc_id", "base_spans", "all_spans")
     return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("all_spans").alias("spans"))
 
