@@ -47,7 +47,7 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
         elif c == "$":
             out.append(r"\z")
         elif c == ".":
-            out.append(r"[^\n\r  ]")
+            out.append(r"[^\n\r\u2028\u2029]")
         else:
             out.append(c)
         i += 1

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORDS = "rec long, n_fields int, fields array<string>"
-_SENTINEL = "end of file"
+_SENTINEL = "\ue000end of file"
 
 
 class RecordError(ValueError):
@@ -38,7 +38,7 @@ class Records:
 
 def parse_records(text: str, delimiter: str = ",", quote: str = '"', allow_blank: bool = False, most: int | None = None) -> Iterator[tuple[int, list[str]]]:
     """(record number, cells): the header is record 1; blank records are skipped but counted unless allowed."""
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("\ufeff")
     bare = text and text[-1] not in "\r\n"
     csv.field_size_limit(1 << 31)
 
