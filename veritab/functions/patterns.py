@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-_SPACE = r"\t\n\x0B\f\r\x20   -     　﻿"
+from veritab.functions.text import BLANKS as _SPACE
 
 
 class InvalidPattern(ValueError):

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a contract's trimming takes for white space.
-BLANKS = r"\t\n\x0B\f\r\x20   -     　﻿"
+BLANKS = r"\t\n\x0B\f\r\x20" + "".join(f"\\u{c:04X}" for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 _BLANK_SET = {chr(c) for c in (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)}
 
 
