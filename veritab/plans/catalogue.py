@@ -1,9 +1,360 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the SQL that gives the same rows.
+
+The tables hold no nulls, blanks or padding, so failures come from derived columns (every n-th key). All queries read whole tables.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritab.functions import canonical as cn
+from veritab.functions import text as tx
+from veritab.operators import compare as cp
+from veritab.operators import rules as ru
+from veritab.operators import validate as va
+from veritab.operators.number import numbered
+from veritab.operators.profile import column_profile
+from veritab.sources.records import Records, from_frame
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
+ORDER_CONTRACT = {
+    "version": 1,
+    "schema": {
+        "columns": {
+            "pr": {"presence": "required", "constraints": {"notNull": True, "maxLength": 8, "allowedValues": PRIORITIES, "matches": "^[1-4]-"}},
+            "cust": {"presence": "required", "constraints": {"minLength": 3, "matches": "^[0-9]+$"}},
+            "st": {"presence": "required", "constraints": {"allowedValues": ["O", "F"]}},
+        }
+    },
+}
+ORDERS_SQL = "select o_orderkey as rec, case when o_orderkey % 37 = 0 then '' else o_orderpriority end as pr, cast(o_custkey as varchar) as cust, o_orderstatus as st from orders"
+_CHECKS = (
+    ("NULL_VALUE", "pr", "pr = ''"), ("MAX_LENGTH", "pr", "pr <> '' and length(pr) > 8"), ("NOT_ALLOWED", "pr", "pr <> '' and pr not in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')"),
+    ("REGEX_MISMATCH", "pr", "pr <> '' and not regexp_matches(pr, '^[1-4]-')"), ("MIN_LENGTH", "cust", "length(cust) < 3"), ("REGEX_MISMATCH", "cust", "not regexp_matches(cust, '^[0-9]+$')"), ("NOT_ALLOWED", "st", "st not in ('O', 'F')"),
+)
+_CELLS_SQL = f"with o as ({ORDERS_SQL}) " + " union all ".join(f"select '{code}' as code, '{column}' as \"column\", rec as row from o where {where}" for code, column, where in _CHECKS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def contract_of(**columns) -> dict:
+    return {"version": 1, "schema": {"columns": {k: {"presence": "required", "constraints": v} for k, v in columns.items()}}}
+
+
+def order_records(spark, d) -> Records:
+    pr = F.when(F.col("o_orderkey") % 37 == 0, "").otherwise(F.col("o_orderpriority"))
+    return from_frame(table(spark, d, "orders").select("o_orderkey", pr.alias("pr"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("st")), F.col("o_orderkey"), ["pr", "cust", "st"])
+
+
+def cell_violations_by_code(spark, d):
+    records = order_records(spark, d)
+    bound = va.bind(ORDER_CONTRACT, records)
+    sums = records.frame.agg(*(F.count_if(c.condition).alias(f"c{k}") for k, c in enumerate(bound.checks)))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(c.code).alias("code"), F.lit(c.column).alias("column"), F.col(f"c{k}").alias("n")) for k, c in enumerate(bound.checks)))))
+
+
+def cell_issues(spark, d):
+    records = order_records(spark, d)
+    return va.cell_issues(va.bind(ORDER_CONTRACT, records), records).select("code", "column", "row")
+
+
+def bounded_issues(spark, d):
+    """The first 100 issues in record order: the limit is the feature."""
+    records = order_records(spark, d)
+    return va.cell_issues(va.bind(ORDER_CONTRACT, records), records).orderBy("row", "ord").limit(100).select("code", "column", "row")
+
+
+def unique_violations(spark, d):
+    records = from_frame(table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id"), ["text"])
+    return va.duplicates(va.bind(contract_of(text={"unique": True}), records), records).select(F.col("rec").alias("row"), F.col("first").alias("first_row"))
+
+
+def identity_violations(spark, d):
+    lines = table(spark, d, "lineitem")
+    rec = F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 1_000 + F.col("l_suppkey")
+    records = from_frame(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), rec, ["l_orderkey", "l_linenumber"])
+    contract = contract_of(l_orderkey={}, l_linenumber={}) | {"identity": {"columns": ["l_orderkey", "l_linenumber"]}}
+    return va.duplicates(va.bind(contract, records), records).select(F.col("rec").alias("row"), F.col("first").alias("first_row"))
+
+
+def unique_multi_target(spark, d):
+    names = ["c_name", "c_nationkey", "c_mktsegment"]
+    records = from_frame(table(spark, d, "customer"), F.col("c_custkey"), ["c_custkey", *names, "c_acctbal"])
+    keys = va.keyed(va.bind(contract_of(**{n: {"unique": True} for n in names}), records), records)
+    surplus = keys.groupBy("target", "key").agg((F.count("*") - 1).alias("n")).groupBy("target").agg(F.sum("n").alias("surplus"))
+    return surplus.select(F.element_at(F.array(*map(F.lit, names)), F.col("target") + 1).alias("column"), "surplus")
+
+
+ROW_TESTS = [{"id": "brand-size", "select": {"p_brand": "Brand#11", "p_size": "10"}, "expect": {"count": {"min": 0}}}, {"id": "one-part", "select": {"p_partkey": "7"}, "expect": {"count": {"exact": 1}}}, {"id": "none", "select": {"p_partkey": "-1"}, "expect": {"count": {"exact": 0}}}]
+
+
+def row_test_matches(spark, d):
+    records = from_frame(table(spark, d, "part"), F.col("p_partkey"), ["p_partkey", "p_brand", "p_size"])
+    bound = va.bind(contract_of(p_partkey={}, p_brand={}, p_size={}) | {"rowTests": ROW_TESTS}, records)
+    sums = records.frame.agg(*(F.count_if(m).alias(f"m{k}") for k, (_, m) in enumerate(bound.tests)))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(t["id"]).alias("test_id"), F.col(f"m{k}").alias("matches")) for k, (t, _) in enumerate(bound.tests)))))
+
+
+def cell_assertions(spark, d):
+    records = from_frame(table(spark, d, "supplier"), F.col("s_suppkey"), ["s_suppkey", "s_name", "s_nationkey"])
+    tests = [{"id": "nation-7", "select": {"s_nationkey": "7"}, "expect": {"count": {"min": 0}, "cells": {"s_name": {"equals": "Supplier#7"}}}}]
+    bound = va.bind(contract_of(s_suppkey={}, s_name={}, s_nationkey={}) | {"rowTests": tests}, records)
+    return va.cell_issues(bound, records).select("test_id", "column", "row", "actual")
+
+
+_COUNTED = ("region", "nation", "supplier", "customer", "orders")
+
+
+def count_expectations(spark, d):
+    """Each table against 25 to 2,000 rows."""
+    parts = [table(spark, d, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("table"), "rows") for t in _COUNTED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("code", F.when(F.col("rows") < 25, "ROW_COUNT_MIN").when(F.col("rows") > 2000, "ROW_COUNT_MAX").otherwise("OK"))
+
+
+def norm_trim_case(spark, d):
+    c = table(spark, d, "customer")
+    padded = F.concat(F.lit("  "), F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment")), F.lit("\t"))
+    return c.groupBy(tx.normal(padded, True, False).alias("segment")).agg(F.count("*").alias("n"))
+
+
+def _lines(spark, d, odd: int) -> Records:
+    names = ["l_returnflag", "l_linestatus", "l_quantity"]
+    lines = table(spark, d, "lineitem").where(F.col("l_orderkey") % 2 == odd).withColumn("l_quantity", F.col("l_quantity").cast("decimal(18,2)"))
+    return from_frame(lines.select("l_orderkey", *names), F.col("l_orderkey"), names)
+
+
+def _bag(spark, d) -> cp.Comparison:
+    return cp.compare(_lines(spark, d, 0), _lines(spark, d, 1))
+
+
+_LINE = "select l_returnflag, l_linestatus, cast(cast(l_quantity as decimal(18,2)) as varchar) as l_quantity from lineitem where l_orderkey % 2 ="
+_BAG_SQL = f"with b as (select l_returnflag, l_linestatus, l_quantity, sum(1 - s) as lc, sum(s) as rc from (select *, 0 as s from ({_LINE} 0) union all select *, 1 as s from ({_LINE} 1)) group by all)"
+
+
+def multiset_diff(spark, d):
+    return _bag(spark, d).difference_sums().select("added", "removed", "unchanged", "duplicate_row_count_differences")
+
+
+def multiset_diagnostics(spark, d):
+    """References and kinds of differing rows; the bound (1,000) is the feature."""
+    return _bag(spark, d).diagnostics(1000).select("id", "kind", "count")
+
+
+def side_summary(spark, d):
+    counted = _bag(spark, d).bag
+    parts = [counted.where(F.col(n) > 0).agg(F.sum(n).alias("row_count"), F.count("*").alias("distinct_row_count"), F.count_if(F.col(n) > 1).alias("duplicate_row_groups")).withColumn("side", F.lit(side)) for side, n in (("left", "lc"), ("right", "rc"))]
+    return parts[0].unionByName(parts[1])
+
+
+_NAMES = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+_LEFT = "select cast(o_orderkey as varchar) as k, o_orderstatus as s, o_orderpriority as p from orders"
+_RIGHT = "select cast(case when o_orderkey % 101 = 0 then o_orderkey + 1000000 else o_orderkey end as varchar) as k, case when o_orderkey % 37 = 0 then 'X' else o_orderstatus end as s, o_orderpriority as p from orders"
+
+
+def _keyed(spark, d, context=()) -> cp.Comparison:
+    orders, key = table(spark, d, "orders"), F.col("o_orderkey")
+    changed = orders.withColumns({"o_orderkey": F.when(key % 101 == 0, key + 1_000_000).otherwise(key), "o_orderstatus": F.when(key % 37 == 0, "X").otherwise(F.col("o_orderstatus"))})
+    return cp.compare(from_frame(orders, key, _NAMES), from_frame(changed, key, _NAMES), cp.Options(keys=["o_orderkey"], context=list(context)))
+
+
+def keyed_diff_summary(spark, d):
+    return _keyed(spark, d).difference_sums().select("added", "removed", "changed", "unchanged", "changed_cells", "duplicate_keys_left", "duplicate_keys_right")
+
+
+def keyed_changed_cells(spark, d):
+    return _keyed(spark, d).changed_cells().drop("key_reference")
+
+
+def keyed_references(spark, d):
+    return _keyed(spark, d).changed_cells().select("key_reference", "o_orderkey")
+
+
+def keyed_only(spark, d, side):
+    return _keyed(spark, d, ["o_orderpriority"]).keys_only(side).drop("key_reference")
+
+
+def changed_by_column(spark, d):
+    return _keyed(spark, d).changed_by_column()
+
+
+def duplicate_keys(spark, d):
+    names = ["l_orderkey", "l_linenumber", "l_partkey"]
+    rec = F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 1_000 + F.col("l_suppkey")
+    lines = from_frame(table(spark, d, "lineitem").select(*names, "l_suppkey"), rec, names)
+    return cp.compare(lines, lines, cp.Options(keys=["l_orderkey", "l_linenumber"])).duplicate_rows(0).drop("key_reference")
+
+
+def key_references(spark, d):
+    """All keys in canonical order: by length, then text."""
+    ranked = numbered(table(spark, d, "nation").select("n_name").withColumn("c", tx.canonical([F.col("n_name")])), "rank", F.col("c"))
+    return ranked.select(cp.reference("key"), "n_name")
+
+
+_DECIMALS = (
+    ("format('{:,.2f}', x)", lambda x: F.format_number(x, 2)), ("cast(x as varchar)", lambda x: x.cast("string")), ("'+00' || cast(x as varchar) || '0'", lambda x: F.concat(F.lit("+00"), x.cast("string"), F.lit("0"))),
+    ("cast(x as varchar) || 'e2'", lambda x: F.concat(x.cast("string"), F.lit("e2"))), ("cast(x as varchar) || 'E-3'", lambda x: F.concat(x.cast("string"), F.lit("E-3"))), ("'none'", lambda x: F.lit("none")),
+)
+
+
+def decimal_canonical(spark, d):
+    """Order totals written six ways; the last has no decimal."""
+    x = F.col("o_totalprice").cast("decimal(18,2)")
+    rows = table(spark, d, "orders").select("o_orderkey", F.posexplode(F.array(*(f(x) for _, f in _DECIMALS))).alias("form", "text"))
+    return rows.select("o_orderkey", "form", cn.decimal(F.col("text")).alias("value"))
+
+
+def date_canonical(spark, d):
+    """Order dates written three ways, shifted moments, and clock times."""
+    t = F.col("o_orderdate")
+    f = lambda p: F.date_format(t, p)
+    forms = F.array(f("M/d/yyyy"), f("yyyy-MM-dd"), F.concat(f("yyyy-MM-dd"), F.lit("T01:30:00+02:00")), F.lit("2:05 pm"), F.concat(f("yyyy"), F.lit("-02-30")))
+    return table(spark, d, "orders").select("o_orderkey", F.posexplode(forms).alias("form", "text")).select("o_orderkey", "form", cn.date(F.col("text")).alias("value"))
+
+
+RULES = {
+    "version": 1,
+    "sqlServer": {"schema": "staging", "table": "orders", "rowLocator": ["o_orderkey"], "scope": {"column": "o_orderstatus", "parameter": "Status", "sqlType": "nvarchar(1)"}},
+    "schema": {"columns": {
+        "o_orderkey": {"presence": "required", "constraints": {"notNull": True, "unique": True}}, "o_orderstatus": {"presence": "required", "constraints": {"allowedValues": ["O", "F", "P"]}},
+        "o_orderpriority": {"presence": "required", "constraints": {"maxLength": 8, "minLength": 6}}, "o_custkey": {"presence": "required", "constraints": {"unique": True}},
+    }},
+    "conditionalRules": [
+        {"id": "finished-is-urgent", "when": {"column": "o_orderstatus", "operator": "equals", "value": "F"}, "expect": {"column": "o_orderpriority", "operator": "in", "values": ["1-URGENT", "2-HIGH"]}},
+        {"id": "not-low", "severity": "warning", "expect": {"any": [{"column": "o_orderpriority", "operator": "notEquals", "value": "5-LOW"}, {"all": [{"column": "o_orderstatus", "operator": "notIn", "values": ["O"]}, {"column": "o_custkey", "operator": "notBlank"}]}]}},
+    ],
+}
+_RULES_SQL = (
+    ("o_orderkey.not-null", "error", "o_orderkey is null"), ("o_orderkey.unique", "error", "kn > 1"), ("o_orderstatus.allowed-values", "error", "o_orderstatus not in ('O', 'F', 'P')"),
+    ("o_orderpriority.min-length", "error", "length(o_orderpriority) < 6"), ("o_orderpriority.max-length", "error", "length(o_orderpriority) > 8"), ("o_custkey.unique", "error", "cn > 1"),
+    ("finished-is-urgent", "error", "o_orderstatus = 'F' and o_orderpriority not in ('1-URGENT', '2-HIGH')"), ("not-low", "warning", "o_orderpriority = '5-LOW' and o_orderstatus = 'O'"),
+)
+_SCOPED = "with o as (select *, count(*) over (partition by o_orderkey) as kn, count(*) over (partition by o_custkey) as cn from orders where o_orderstatus = 'F')"
+
+
+def rules_summary(spark, d):
+    return ru.rule_summary(table(spark, d, "orders"), RULES, "F").select("rule_id", "severity", "failure_count")
+
+
+def rules_samples(spark, d):
+    """Ten failing rows a rule: the limit is the feature."""
+    return ru.rule_samples(table(spark, d, "orders"), RULES, ["o_orderkey"], "F", 10).select("rule_id", "o_orderkey", "o_orderpriority")
+
+
+_LEAVES = {
+    "equals": ({"value": "click"}, "a = 'click'"), "notEquals": ({"value": "click"}, "a <> 'click'"), "in": ({"values": ["click", "view"]}, "a in ('click', 'view')"), "notIn": ({"values": ["click", "view"]}, "a not in ('click', 'view')"),
+    "isNull": ({}, "a is null"), "notNull": ({}, "a is not null"), "isBlank": ({}, "trim(a) = ''"), "notBlank": ({}, "trim(a) <> ''"), "equalsColumn": ({"otherColumn": "b"}, "a = b"), "notEqualsColumn": ({"otherColumn": "b"}, "a <> b"),
+}
+_LEAF_SQL = "select event_id, case when event_id % 7 = 0 then null when event_id % 11 = 0 then '  ' else event_type end as a, case when event_id % 5 = 0 then null when event_id % 3 = 0 then event_type else 'other' end as b from events"
+
+
+def rule_leaf_matrix(spark, d):
+    """Every leaf operator over columns with nulls and blanks."""
+    k = F.col("event_id")
+    a = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, "  ").otherwise(F.col("event_type"))
+    b = F.when(k % 5 == 0, F.lit(None)).when(k % 3 == 0, F.col("event_type")).otherwise("other")
+    rows = table(spark, d, "events").select("event_id", a.alias("a"), b.alias("b"))
+    contract = contract_of(a={}, b={})
+    return rows.select("event_id", *(ru.predicate({"column": "a", "operator": op, **more}, contract).alias(op.lower()) for op, (more, _) in _LEAVES.items()))
+
+
+def unique_rule_members(spark, d):
+    contract = contract_of(text={"unique": True}, lang={})
+    return ru.rule_samples(table(spark, d, "documents").select("doc_id", "text", "lang"), contract, ["doc_id"], None, 1 << 30).select("rule_id", "doc_id")
+
+
+def profile_documents(spark, d):
+    names = ["lang", "source", "n_chars"]
+    records = from_frame(table(spark, d, "documents"), F.col("doc_id"), names)
+    return column_profile(records, None).drop("ordinal")
+
+
+def schema_diff(spark, d):
+    left = table(spark, d, "orders").columns
+    right = ["order_date" if c == "o_orderdate" else c for c in left]
+    rows = cp.column_status(left, right, ["o_totalprice"])
+    return spark.createDataFrame(rows, "status string, column_name string, left_ordinal int, right_ordinal int, comparable boolean, ignored boolean")
+
+
+def schema_diff_sql() -> str:
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    rows = [f"('{'LeftOnly' if n == 'o_orderdate' else 'Both'}', '{n}', {k + 1}, {'null' if n == 'o_orderdate' else k + 1}, {n not in ('o_orderdate', 'o_totalprice')}, {n == 'o_totalprice'})" for k, n in enumerate(names)]
+    rows.append("('RightOnly', 'order_date', null, 5, false, false)")
+    return f"select * from (values {', '.join(rows)}) as t(status, column_name, left_ordinal, right_ordinal, comparable, ignored)"
+
+
+_SUITE = (("customer", "c_custkey", "c_mktsegment"), ("orders", "o_orderkey", "o_orderpriority"), ("part", "p_partkey", "p_name"))
+
+
+def suite_rollup(spark, d):
+    """Three contracts over three tables: failures of maxLength 9 in one column each, and whether the table passes."""
+    out = None
+    for t, key, column in _SUITE:
+        records = from_frame(table(spark, d, t), F.col(key), [column])
+        bound = va.bind(contract_of(**{column: {"maxLength": 9}}), records)
+        part = records.frame.agg(F.count("*").alias("rows"), F.count_if(bound.checks[0].condition).alias("issues")).withColumn("target", F.lit(t))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("valid", F.col("issues") == 0)
 
 
 def queries():
-    return {}
+    plain = (
+        cell_violations_by_code, cell_issues, bounded_issues, unique_violations, identity_violations, unique_multi_target, row_test_matches, cell_assertions, count_expectations, norm_trim_case, multiset_diff,
+        multiset_diagnostics, side_summary, keyed_diff_summary, keyed_changed_cells, keyed_references, changed_by_column, duplicate_keys, key_references, decimal_canonical, date_canonical, rules_summary,
+        rules_samples, rule_leaf_matrix, unique_rule_members, profile_documents, schema_diff, suite_rollup,
+    )
+    out = {f.__name__: f for f in plain}
+    out |= {"multiset_left_only": lambda s, d: _bag(s, d).only(0), "multiset_right_only": lambda s, d: _bag(s, d).only(1)}
+    return out | {"keyed_removed": partial(keyed_only, side=0), "keyed_added": partial(keyed_only, side=1)}
 
 
 def oracle_sql():
-    return {}
+    joined = f"({_LEFT}) l full join ({_RIGHT}) r on l.k = r.k"
+    canon = lambda c: f"'V' || length({c}) || ':' || {c}"
+    ref = lambda what, n: f"'{what}-' || case when {n} < 1000000 then lpad(cast({n} as varchar), 6, '0') else cast({n} as varchar) end"
+    line_rec = "l_orderkey * 1000000000 + l_partkey * 1000 + l_suppkey"
+    plain = "regexp_replace(regexp_replace({}, '0+$', ''), '\\.$', '')"
+    x = "cast(o_totalprice as decimal(18,2))"
+    whole = lambda k: f"cast(cast({x} * {k} as bigint) as varchar)"
+    day = "strftime(o_orderdate, '%Y-%m-%d')"
+    return {
+        "cell_violations_by_code": f"with o as ({ORDERS_SQL}) " + " union all ".join(f"select '{c}' as code, '{k}' as \"column\", count(*) filter (where {w}) as n from o" for c, k, w in _CHECKS),
+        "cell_issues": _CELLS_SQL,
+        "bounded_issues": f"with o as ({ORDERS_SQL}), i as (" + " union all ".join(f"select {n} as ord, '{c}' as code, '{k}' as \"column\", rec as row from o where {w}" for n, (c, k, w) in enumerate(_CHECKS)) + ') select code, "column", row from i order by row, ord limit 100',
+        "unique_violations": "select * from (select doc_id as row, min(doc_id) over (partition by text) as first_row from documents where text <> '') where row > first_row",
+        "identity_violations": f"select * from (select {line_rec} as row, min({line_rec}) over (partition by l_orderkey, l_linenumber) as first_row from lineitem) where row > first_row",
+        "unique_multi_target": " union all ".join(f"select '{c}' as \"column\", cast(count(*) - count(distinct {c}) as bigint) as surplus from customer" for c in ("c_name", "c_nationkey", "c_mktsegment")),
+        "row_test_matches": "select 'brand-size' as test_id, count(*) filter (where p_brand = 'Brand#11' and p_size = 10) as matches from part union all select 'one-part', count(*) filter (where p_partkey = 7) from part union all select 'none', count(*) filter (where p_partkey = -1) from part",
+        "cell_assertions": "select 'nation-7' as test_id, 's_name' as \"column\", s_suppkey as row, s_name as actual from supplier where s_nationkey = 7 and s_name <> 'Supplier#7'",
+        "count_expectations": "select *, case when rows < 25 then 'ROW_COUNT_MIN' when rows > 2000 then 'ROW_COUNT_MAX' else 'OK' end as code from (" + " union all ".join(f"select '{t}' as \"table\", count(*) as rows from {t}" for t in _COUNTED) + ")",
+        "norm_trim_case": "select lower(c_mktsegment) as segment, count(*) as n from customer group by 1",
+        "multiset_diff": f"{_BAG_SQL} select cast(sum(greatest(rc - lc, 0)) as bigint) as added, cast(sum(greatest(lc - rc, 0)) as bigint) as removed, cast(sum(least(lc, rc)) as bigint) as unchanged, count(*) filter (where lc <> rc) as duplicate_row_count_differences from b",
+        "multiset_left_only": f"{_LINE} 0 except all {_LINE} 1",
+        "multiset_right_only": f"{_LINE} 1 except all {_LINE} 0",
+        "multiset_diagnostics": f"{_BAG_SQL}, r as (select *, row_number() over (order by {canon('l_returnflag')} || {canon('l_linestatus')} || {canon('l_quantity')}) as n from b) select {ref('row', 'n')} as id, case when lc = 0 then 'row-added' when rc = 0 then 'row-removed' else 'row-count-changed' end as kind, cast(abs(lc - rc) as bigint) as count from r where lc <> rc order by n limit 1000",
+        "side_summary": f"{_BAG_SQL} " + " union all ".join(f"select '{s}' as side, cast(sum({n}) as bigint) as row_count, count(*) as distinct_row_count, count(*) filter (where {n} > 1) as duplicate_row_groups from b where {n} > 0" for s, n in (("left", "lc"), ("right", "rc"))),
+        "keyed_diff_summary": f"select count(*) filter (where l.k is null) as added, count(*) filter (where r.k is null) as removed, count(*) filter (where l.s <> r.s or l.p <> r.p) as changed, count(*) filter (where l.s = r.s and l.p = r.p) as unchanged, cast(coalesce(sum(cast(l.s <> r.s as int) + cast(l.p <> r.p as int)), 0) as bigint) as changed_cells, cast(0 as bigint) as duplicate_keys_left, cast(0 as bigint) as duplicate_keys_right from {joined}",
+        "keyed_changed_cells": f"select l.k as o_orderkey, 'o_orderstatus' as changed_column, l.s as left_value, r.s as right_value from {joined} where l.s <> r.s union all select l.k, 'o_orderpriority', l.p, r.p from {joined} where l.p <> r.p",
+        "keyed_references": f"with j as (select coalesce(l.k, r.k) as k, l.s <> r.s as c from {joined}), n as (select *, row_number() over (order by {canon('k')}) as n from j) select {ref('key', 'n')} as key_reference, k as o_orderkey from n where c",
+        "keyed_removed": f"select l.k as o_orderkey, l.p as o_orderpriority, cast(1 as bigint) as occurrences from {joined} where r.k is null",
+        "keyed_added": f"select r.k as o_orderkey, r.p as o_orderpriority, cast(1 as bigint) as occurrences from {joined} where l.k is null",
+        "changed_by_column": f"select 'o_orderstatus' as \"column\", count(*) filter (where l.s <> r.s) as changed_cells from {joined} union all select 'o_orderpriority', count(*) filter (where l.p <> r.p) from {joined}",
+        "duplicate_keys": f"select cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber, cast(l_partkey as varchar) as l_partkey, cast(k as int) as key_occurrence, n as key_count from (select *, row_number() over (partition by l_orderkey, l_linenumber order by {line_rec}) as k, count(*) over (partition by l_orderkey, l_linenumber) as n from lineitem) where n > 1",
+        "key_references": f"select {ref('key', 'n')} as key_reference, n_name from (select n_name, row_number() over (order by {canon('n_name')}) as n from nation)",
+        "decimal_canonical": " union all ".join(f"select o_orderkey, {k} as form, {v} as value from orders" for k, v in enumerate([plain.format(f"cast({x} as varchar)")] * 3 + [whole(100), plain.format(f"cast(cast({x} * 0.001 as decimal(18,5)) as varchar)"), "cast(null as varchar)"])),
+        "date_canonical": " union all ".join(f"select o_orderkey, {k} as form, {v} as value from orders" for k, v in enumerate([f"{day} || 'T00:00:00.0000000Z'"] * 2 + ["strftime(o_orderdate - interval 1 day, '%Y-%m-%d') || 'T23:30:00.0000000Z'", "'14:05:00.0000000'", "cast(null as varchar)"])),
+        "rules_summary": _SCOPED + " " + " union all ".join(f"select '{r}' as rule_id, '{s}' as severity, count(*) filter (where {w}) as failure_count from o" for r, s, w in _RULES_SQL),
+        "rules_samples": _SCOPED + " select rule_id, o_orderkey, o_orderpriority from (select *, row_number() over (partition by rule_id order by o_orderkey) as k from (" + " union all ".join(f"select '{r}' as rule_id, * from o where {w}" for r, _, w in _RULES_SQL) + ")) where k <= 10",
+        "rule_leaf_matrix": f"with e as ({_LEAF_SQL}) select event_id, " + ", ".join(f"coalesce({w}, false) as {op.lower()}" for op, (_, w) in _LEAVES.items()) + " from e",
+        "unique_rule_members": "select 'text.unique' as rule_id, doc_id from (select doc_id, text, count(*) over (partition by text) as n from documents) where n > 1 and text <> ''",
+        "profile_documents": " union all ".join(f"select '{c}' as \"column\", count(*) as sampled, cast(max(length(cast({c} as varchar))) as bigint) as max_length, count(*) filter (where cast({c} as varchar) = '') as null_count, count(distinct {c}) as distinct_count from documents" for c in ("lang", "source", "n_chars")),
+        "schema_diff": schema_diff_sql(),
+        "suite_rollup": " union all ".join(f"select '{t}' as target, count(*) as rows, count(*) filter (where length({c}) > 9) as issues, count(*) filter (where length({c}) > 9) = 0 as valid from {t}" for t, _, c in _SUITE),
+    }
