@@ -11,8 +11,8 @@ import os
 
 import numpy as np
 
-#: Pieces that a worker's table keeps; it starts anew beyond that.
-TABLE = 1_200_000
+#: Pieces that a worker's table holds; beyond that the half that is used most is kept.
+TABLE = 400_000
 #: New pieces are encoded in runs of about so many characters.
 RUN = 1 << 16
 
@@ -62,7 +62,29 @@ class WordTokenizer:
     def clear(self) -> None:
         self.number = _Numbers()
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.start, self.size, self.uses = (np.zeros(1 << 18, np.int64) for _ in range(3))
+
+    def _shrink(self) -> None:
+        """Keep the pieces that are used most, at most half a table, and only those used again; age their counts."""
+        n, pieces = len(self.number), list(self.number)
+        often = np.argsort(-self.uses[:n], kind="stable")[: TABLE // 2]
+        kept = np.sort(often[self.uses[often] > 1])
+        size = self.size[kept]
+        last = np.cumsum(size)
+        flat = self.flat[np.arange(last[-1] if len(last) else 0) + np.repeat(self.start[kept] - last + size, size)]
+        uses = self.uses[kept] // 2
+        self.clear()
+        for k in kept.tolist():
+            self.number[pieces[k]] = len(self.number)
+        self._reserve(len(flat), len(kept))
+        self.flat[: len(flat)], self.used = flat, len(flat)
+        self.start[: len(kept)], self.size[: len(kept)], self.uses[: len(kept)] = last - size, size, uses
+
+    def _reserve(self, ids: int, pieces: int) -> None:
+        while ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while pieces > len(self.start):
+            self.start, self.size, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.uses))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,10 +114,7 @@ class WordTokenizer:
             sizes[run[s:e]] = np.diff(last, prepend=0)
         place = np.concatenate([np.array(order, np.int64), run])
         total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.number) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self._reserve(self.used + total, len(self.number))
         if total:
             self.flat[self.used : self.used + total] = np.concatenate(ids)
         at = sizes[place]
@@ -106,7 +125,7 @@ class WordTokenizer:
     def ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, each text followed by ``end``; and the number of each text's."""
         if len(self.number) > TABLE:
-            self.clear()
+            self._shrink()
         get, found, whole = self.number.__getitem__, [], []
         for k, text in enumerate(texts):
             pieces = text.split(" ")
@@ -117,6 +136,9 @@ class WordTokenizer:
                 whole.append(k)
         if self.number.new:
             self._learn()
+        if found:
+            every = np.concatenate(found)
+            self.uses[: len(self.number)] += np.bincount(every[every >= 0], minlength=len(self.number))
         encoded = {k: np.array(ids, np.uint32) for k, ids in zip(whole, self.encode([texts[k] for k in whole]))}
         out, sizes = [], np.zeros(len(texts), np.int64)
         tail = [] if end is None else [np.array([end], np.uint32)]
