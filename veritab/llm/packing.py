@@ -127,9 +127,9 @@ def _packed(path: str | None, length: int, end: int):
         for part in parts:
             texts = part["text"].tolist()
             names = [None if pd.isna(x) else int(x) for x in part["doc_id"].tolist()]
-            for at in range(0, len(texts), 128):
-                some = [x or "" for x in texts[at : at + 128]]
-                packer.add(names[at : at + 128], *tok.ids(some, end))
+            for at in range(0, len(texts), 256):
+                some = [x or "" for x in texts[at : at + 256]]
+                packer.add(names[at : at + 256], *tok.ids(some, end))
                 if packer.size >= BLOCK:
                     yield packer.flush(False)
         yield packer.flush(True)

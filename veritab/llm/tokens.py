@@ -43,9 +43,9 @@ def _encode(path: str | None, end: int, block_ids: int, row_ids: int):
         for part in parts:
             texts = part["text"].tolist()
             known = [None if pd.isna(x) else int(x) for x in part["doc_id"].tolist()]
-            for at in range(0, len(texts), 128):
-                got, n = tok.ids([x or "" for x in texts[at : at + 128]], end)
-                names, total = names + known[at : at + 128], total + len(got)
+            for at in range(0, len(texts), 256):
+                got, n = tok.ids([x or "" for x in texts[at : at + 256]], end)
+                names, total = names + known[at : at + 256], total + len(got)
                 ids.append(got)
                 sizes.append(n)
                 if total >= row_ids:

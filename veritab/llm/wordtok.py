@@ -1,8 +1,9 @@
 """Token ids of many texts by the tokenizers library, each distinct word encoded once.
 
-A byte-level BPE vocabulary never merges across a blank that a non-blank follows, so a text may be cut before each such blank
-and its pieces encoded apart. Pieces repeat, so a bounded table keeps their ids. A text with a piece that is empty or starts
-with white space (two blanks in a row, a blank before a line end, a blank at the end) is encoded whole.
+A byte-level BPE vocabulary never merges across a blank that a non-blank follows, nor across a line feed between non-blanks, so a text may
+be cut before each such blank and on both sides of each such line feed, and its pieces encoded apart. Pieces repeat, so a bounded
+table keeps their ids. A text with a piece that is empty or starts with white space (two blanks in a row, an empty line, a
+blank at the end) is encoded whole.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker's table holds; beyond that the half that is used most is kept.
 TABLE = 400_000
 #: New pieces are encoded in runs of about so many characters.
 RUN = 1 << 16
+_BARE, _LINE = "\x01", "\n"
 
 
 def default_path() -> str:
@@ -24,18 +28,19 @@ def default_path() -> str:
 
 
 class _Numbers(dict):
-    """Piece -> number; a new piece gets the next one. A key that starts with a blank is a text's first piece, which has none itself."""
+    """Piece -> number; a new piece gets the next one, one that can't be encoded apart -1. A key that starts with _BARE is a line's first piece, which has no blank; _LINE is a line feed."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
 
     def __missing__(self, piece: str) -> int:
-        if piece and (piece[0] == " " or not piece[0].isspace()):
-            self[piece] = n = len(self)
-            self.new.append(piece)
-            return n
-        return -1
+        shown = piece[1:] if piece[:1] == _BARE else piece
+        if not shown or (shown[0].isspace() and piece != _LINE):
+            return -1
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
 
 
 class WordTokenizer:
@@ -94,9 +99,9 @@ class WordTokenizer:
         new, self.number.new = self.number.new, []
         first = len(self.number) - len(new)
         numbers = np.arange(first, len(self.number))
-        later = np.fromiter((p[0] != " " for p in new), bool, len(new))
+        later = np.fromiter((p[0] != _BARE and p != _LINE for p in new), bool, len(new))
         ids, sizes = [], np.zeros(len(new), np.int64)
-        heads = self.encode([p[1:] for p in new if p[0] == " "])
+        heads = self.encode([p.lstrip(_BARE) for p, blank in zip(new, later.tolist()) if not blank])
         order = [*np.flatnonzero(~later).tolist()]
         for k, got in zip(order, heads):
             ids.append(np.array(got, np.uint32))
@@ -126,29 +131,28 @@ class WordTokenizer:
         """All ids of the texts, one after another, each text followed by ``end``; and the number of each text's."""
         if len(self.number) > TABLE:
             self._shrink()
-        get, found, whole = self.number.__getitem__, [], []
-        for k, text in enumerate(texts):
-            pieces = text.split(" ")
-            pieces[0] = " " + pieces[0]
-            at = np.fromiter(map(get, pieces), np.int64, len(pieces))
-            found.append(at)
-            if at.min() < 0:
-                whole.append(k)
+        given = pa.array(texts, pa.string())
+        marked = pc.binary_join_element_wise(pa.scalar(_BARE), given, pa.scalar(""))
+        marked = pc.replace_substring(marked, _LINE, f" {_LINE} {_BARE}")
+        parts = pc.split_pattern(marked, " ")
+        first = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        numbers = np.fromiter(map(self.number.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         if self.number.new:
             self._learn()
-        if found:
-            every = np.concatenate(found)
-            self.uses[: len(self.number)] += np.bincount(every[every >= 0], minlength=len(self.number))
-        encoded = {k: np.array(ids, np.uint32) for k, ids in zip(whole, self.encode([texts[k] for k in whole]))}
+        at = numbers[coded.indices.to_numpy()]
+        odd = np.minimum.reduceat(at, first[:-1]) < 0 if len(at) else np.zeros(0, bool)
+        odd |= pc.match_substring(given, _BARE).to_numpy(zero_copy_only=False)
+        self.uses[: len(self.number)] += np.bincount(at[at >= 0], minlength=len(self.number))
+        n = np.where(at < 0, 0, self.size[at])
+        last = np.cumsum(n)
+        flat = self.flat[np.arange(last[-1] if len(last) else 0) + np.repeat(self.start[at] - last + n, n)]
+        ends = np.concatenate([[0], last])[first].tolist()
+        whole = dict(zip(np.flatnonzero(odd).tolist(), self.encode([texts[k] for k in np.flatnonzero(odd)])))
         out, sizes = [], np.zeros(len(texts), np.int64)
         tail = [] if end is None else [np.array([end], np.uint32)]
-        for k, at in enumerate(found):
-            if k in encoded:
-                ids = encoded[k]
-            else:
-                n = self.size[at]
-                last = np.cumsum(n)
-                ids = self.flat[np.arange(last[-1]) + np.repeat(self.start[at] - last + n, n)]
+        for k in range(len(texts)):
+            ids = np.array(whole[k], np.uint32) if k in whole else flat[ends[k] : ends[k + 1]]
             out += [ids, *tail]
             sizes[k] = len(ids) + len(tail)
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), sizes
