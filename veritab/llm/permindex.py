@@ -122,7 +122,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, *, pivots: int = PIVOTS, o
         sizes = {r["p"]: r["n"] for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}  # at most one row per pivot
         chunks = F.element_at(F.array(*(F.lit(-(-sizes.get(p, 1) // chunk)) for p in range(n_pivots))), F.col("p") + 1)
         probes = F.sequence(F.lit(0), F.lit(n_pivots - 1)) if everything else F.slice("top", 1, opened)
-        asked = queries.select("id", "row", "v", "o", F.explode(probes).alias("p"))
+        asked = queries.select(*(F.col(c).alias(c) for c in ("id", "row", "v", "o")), F.explode(probes).alias("p"))  # columns of its own: both sides come from the index
         blocks = {r["p"]: -(-r["n"] // block) for r in asked.groupBy("p").agg(F.count("*").alias("n")).collect()}
         blocks = F.element_at(F.array(*(F.lit(blocks.get(p, 0)) for p in range(n_pivots))), F.col("p") + 1)
         rows = rows.withColumn("c", F.pmod(F.xxhash64("row"), chunks)).withColumn("b", F.explode(F.filter(F.sequence(F.lit(0), blocks), lambda i: i < blocks)))
