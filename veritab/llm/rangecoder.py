@@ -6,7 +6,7 @@ The models' chances are mixed into one distribution: the id that a model predict
 order-0 table an even part of its share, any other id an even part of what is left. That drives a carryless 64-bit range coder.
 
 A block starts from the same state as every other, so blocks code and decode in any order; numpy runs many blocks in step.
-Layout: magic, kind, steps, ids, bytes and the CRC-32 of the ids (little-endian), then 16-bit words. A block that would not shrink is kept raw.
+Layout: magic, kind, steps, ids, bytes and the CRC-32 of the ids (little-endian), then 32-bit words. A block that would not shrink is kept raw.
 """
 
 from __future__ import annotations
@@ -20,142 +20,141 @@ MAGIC = b"VTR1"
 HEAD = struct.Struct("<4sBIIII")
 RAW, CODED, WIDE = 0, 1, 2
 _U = np.uint64
-_TABLE1, _TABLE2 = 10, 12
-_RATE = 1 / 24
+_TABLE1, _TABLE2 = 9, 10
+_RATE = np.float32(1 / 24)
 
 
 class _Lanes:
-    """The models and coder state of many blocks."""
+    """The models and coder state of many blocks. Small types: what a step moves through memory is most of its time."""
 
     def __init__(self, n: int):
         self.n = n
         self.lane = np.arange(n)
         self.at1, self.at2, self.at0, self.atp = self.lane << _TABLE1, self.lane << _TABLE2, self.lane << 8, self.lane << 2
-        self.one, self.two, self.zero = np.zeros(n << _TABLE1, np.uint32), np.zeros(n << _TABLE2, np.uint32), np.zeros(n << 8, np.uint32)
-        start = np.tile(np.array([0.05, 0.2, 0.4, 0.6]), n)
+        self.one, self.two, self.zero = np.zeros(n << _TABLE1, np.int32), np.zeros(n << _TABLE2, np.int32), np.zeros(n << 8, np.int32)
+        start = np.tile(np.array([0.05, 0.2, 0.4, 0.6], np.float32), n)
         self.p1, self.p2 = start.copy(), start.copy()
-        self.p0, self.pe = np.full(n, 0.3), np.full(n, 0.5)
-        self.x1, self.x2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.p0, self.pe = np.full(n, 0.3, np.float32), np.full(n, 0.5, np.float32)
+        self.h1, self.h2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.low, self.range = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
 
     def predict(self) -> tuple:
-        """The candidate ids and the four cumulative shares of 4096."""
-        self.i1 = self.at1 + ((self.x1 * 40503 >> 4) & ((1 << _TABLE1) - 1))
-        self.i2 = self.at2 + ((self.x1 * 40503 + self.x2 * 52711 >> 4) & ((1 << _TABLE2) - 1))
-        self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
-        self.j1, self.j2 = self.atp + (self.e1 & 3), self.atp + (self.e2 & 3)
-        self.q1, self.q2 = self.p1[self.j1], self.p2[self.j2]
-        c1, c2 = (self.e1 >> 2).astype(np.int64), (self.e2 >> 2).astype(np.int64)
-        s1 = np.where(c1 == c2, 0.0, self.q1)
-        scale = 4092.0 / (s1 + self.q2 + self.p0 + self.pe)
-        f2, f1, f0 = ((s * scale).astype(np.int64) + 1 for s in (self.q2, s1, self.p0))
-        b1 = f2 + f1
-        return c2, c1, f2, b1, b1 + f0
-
-    def learn(self, x: np.ndarray, c2: np.ndarray, c1: np.ndarray, escaped: np.ndarray) -> None:
-        h2, h1 = x == c2, x == c1
-        self.p2[self.j2] = self.q2 + (h2 - self.q2) * _RATE
-        self.p1[self.j1] = self.q1 + (h1 - self.q1) * _RATE
-        new = (x << 2).astype(np.uint32)
-        self.two[self.i2] = self.turn(self.e2, h2, new)
-        self.one[self.i1] = self.turn(self.e1, h1, new)
-        i0 = self.at0 + self.slot(x)
-        e0 = self.zero[i0]
-        h0 = (e0 >> 2) == x
-        self.zero[i0] = self.turn(e0, h0, new)
-        self.p0 += ((h0 & ~h1 & ~h2) - self.p0) * _RATE
+        """The candidate ids and the cumulative shares of 4096."""
+        self.i1 = self.at1 + (self.h1 >> 4 & ((1 << _TABLE1) - 1))
+        self.i2 = self.at2 + (self.h1 + self.h2 >> 4 & ((1 << _TABLE2) - 1))
+        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
+        self.s1, self.s2 = self.e1 & 3, self.e2 & 3
+        self.j1, self.j2 = self.atp + self.s1, self.atp + self.s2
+        self.q1, self.q2 = self.p1.take(self.j1), self.p2.take(self.j2)
+        c1, c2 = self.e1 >> 2, self.e2 >> 2
+        other = self.q1 * (c1 != c2)
+        scale = np.float32(4092) / (other + self.q2 + self.p0 + self.pe)
+        f2 = (self.q2 * scale).astype(np.int32) + 1
+        b1 = (other * scale).astype(np.int32) + 1 + f2
+        b0 = (self.p0 * scale).astype(np.int32) + 1 + b1
+        return c2, c1, f2, b1, b0
+
+    def learn(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, escaped: np.ndarray, i0: np.ndarray, e0: np.ndarray) -> None:
+        """``x``: the ids; ``hit2``, ``hit1``: where the candidates were right; ``i0``, ``e0``: its place in the order-0 table and what is there."""
+        self.p2.put(self.j2, self.q2 + (hit2 - self.q2) * _RATE)
+        self.p1.put(self.j1, self.q1 + (hit1 - self.q1) * _RATE)
+        new = x << 2
+        self.two.put(self.i2, self.turn(self.e2, self.s2, hit2, new))
+        self.one.put(self.i1, self.turn(self.e1, self.s1, hit1, new))
+        hit0 = (e0 >> 2) == x
+        self.zero.put(i0, self.turn(e0, e0 & 3, hit0, new))
+        self.p0 += ((hit0 & ~(hit1 | hit2)) - self.p0) * _RATE
         self.pe += (escaped - self.pe) * _RATE
-        self.x2, self.x1 = self.x1, x
+        x = x.astype(np.int64)
+        self.h2, self.h1 = (self.h1 * 13 >> 3), x * 40503
 
     @staticmethod
-    def turn(entry: np.ndarray, hit: np.ndarray, new: np.ndarray) -> np.ndarray:
+    def turn(entry: np.ndarray, sure: np.ndarray, hit: np.ndarray, new: np.ndarray) -> np.ndarray:
         """A table entry is id * 4 + confidence: a hit raises the confidence; a miss lowers it, or takes the place at 0."""
-        sure = entry & 3
-        return np.where(hit, entry + (sure < 3), np.where(sure == 0, new, entry - np.uint32(1)))
+        return np.where(hit, entry + (sure < 3), np.where(sure == 0, new, entry - 1))
 
     @staticmethod
     def slot(x: np.ndarray) -> np.ndarray:
-        return (x * 40503 >> 5) & 255
+        return (x * np.int32(23) >> 3) & 255
 
     def narrow(self, r: np.ndarray, offset: np.ndarray, width: np.ndarray) -> None:
-        self.low += r * offset.view(_U)
-        self.range = r * width.view(_U)
+        self.low += r * offset.astype(_U)
+        self.range = r * width.astype(_U)
 
-    def settled(self) -> np.ndarray:
-        """Lanes whose top word can go; a range that has become too small is cut at the next 2^32."""
-        top = ((self.low ^ (self.low + self.range)) >> _U(48)) == 0
-        small = self.range < _U(1 << 32)
-        at = np.flatnonzero(top | small)
-        if len(at):
-            cut = at[~top[at]]
-            if len(cut):
-                self.range[cut] = (~self.low[cut] + _U(1)) & _U((1 << 32) - 1)
-        return at
+    def shift(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lanes whose range is under 2^32, and the word that each of them is done with. A step takes 28 bits at most, so one word is enough.
+
+        A range that straddles a multiple of 2^32 is cut there, so that no carry ever reaches a word that has gone.
+        """
+        at = np.flatnonzero(self.range < _U(1 << 32))
+        low, wide = self.low.take(at), self.range.take(at)
+        rest = (~low + _U(1)) & _U((1 << 32) - 1)
+        wide = np.where((rest != 0) & (rest < wide), rest, wide)
+        self.low.put(at, low << _U(32))
+        self.range.put(at, wide << _U(32))
+        return at, low >> _U(32)
 
 
 def _encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """ids: steps x lanes, each below 65536 -> words (lanes x most) and how many each lane has."""
     steps, n = ids.shape
     m = _Lanes(n)
-    most = 2 * steps + 8
-    words, used = np.zeros(n * most, np.uint16), np.zeros(n, np.int64)
-    base = m.lane * most
+    most = steps + 2
+    words, used = np.zeros(n * most, np.uint32), m.lane * most
     for t in range(steps):
         x = ids[t]
         c2, c1, f2, b1, b0 = m.predict()
         slot = m.slot(x)
-        hit2, hit1, hit0 = x == c2, x == c1, (m.zero[m.at0 + slot] >> 2) == x
+        i0 = m.at0 + slot
+        e0 = m.zero.take(i0)
+        hit2, hit1, hit0 = x == c2, x == c1, (e0 >> 2) == x
         fe, f0 = 4096 - b0, b0 - b1
-        offset = np.where(hit2, 0, np.where(hit1, f2 << 16, np.where(hit0, (b1 << 16) + slot * (f0 << 8), (b0 << 16) + x * fe)))
-        width = np.where(hit2, f2 << 16, np.where(hit1, (b1 - f2) << 16, np.where(hit0, f0 << 8, fe)))
+        first = np.where(hit2, 0, f2) << 16
+        predicted = hit2 | hit1
+        offset = np.where(predicted, first, np.where(hit0, (b1 << 16) + slot * (f0 << 8), (b0 << 16) + x * fe))
+        width = np.where(predicted, np.where(hit2, f2, b1 - f2) << 16, np.where(hit0, f0 << 8, fe))
         m.narrow(m.range >> _U(28), offset, width)
-        m.learn(x, c2, c1, ~(hit2 | hit1 | hit0))
-        at = m.settled()
-        while len(at):
-            words[base[at] + used[at]] = m.low[at] >> _U(48)
-            used[at] = np.minimum(used[at] + 1, most - 5)
-            m.low[at] <<= _U(16)
-            m.range[at] <<= _U(16)
-            at = m.settled()
-    for _ in range(4):
-        words[base + used] = m.low >> _U(48)
+        m.learn(x, hit2, hit1, ~(predicted | hit0), i0, e0)
+        at, word = m.shift()
+        to = used.take(at)
+        words.put(to, word)
+        used.put(at, to + 1)
+    for k in (32, 0):
+        words.put(used, m.low >> _U(k) & _U((1 << 32) - 1))
         used += 1
-        m.low <<= _U(16)
-    return words.reshape(n, most), used
+    return words.reshape(n, most), used - m.lane * most
 
 
 def _decode_lanes(words: np.ndarray, steps: int) -> np.ndarray:
     """words: lanes x most, with room to read on -> ids, steps x lanes."""
     n, most = words.shape
     m = _Lanes(n)
-    flat, base, used = words.astype(_U).ravel(), m.lane * most, np.full(n, 4)
-    code = np.zeros(n, _U)
-    for k in range(4):
-        code = code << _U(16) | flat[base + k]
-    out = np.empty((steps, n), np.int64)
+    flat, used = words.ravel(), m.lane * most + 2
+    code = words[:, 0].astype(_U) << _U(32) | words[:, 1]
+    out = np.empty((steps, n), np.int32)
     for t in range(steps):
         c2, c1, f2, b1, b0 = m.predict()
         r = m.range >> _U(28)
-        v = np.minimum((code - m.low) // r, _U((1 << 28) - 1)).view(np.int64)
+        v = np.minimum((code - m.low) // r, _U((1 << 28) - 1)).astype(np.int32)
         share = v >> 16
-        hit2, hit1, escaped = share < f2, share < b1, share >= b0
+        first, predicted, escaped = share < f2, share < b1, share >= b0
         fe, f0 = 4096 - b0, b0 - b1
         begin = np.where(escaped, b0, b1) << 16
         part = np.where(escaped, fe, f0 << 8)
         literal = np.maximum(v - begin, 0) // part
-        x = np.where(hit2, c2, np.where(hit1, c1, np.where(escaped, literal, m.zero[m.at0 + (literal & 255)] >> 2)))
-        offset = np.where(hit2, 0, np.where(hit1, f2 << 16, begin + literal * part))
-        width = np.where(hit2, f2 << 16, np.where(hit1, (b1 - f2) << 16, part))
+        slot = literal & 255
+        known = m.zero.take(m.at0 + slot) >> 2
+        x = np.where(predicted, np.where(first, c2, c1), np.where(escaped, literal, known))
+        offset = np.where(predicted, np.where(first, 0, f2) << 16, begin + literal * part)
+        width = np.where(predicted, np.where(first, f2, b1 - f2) << 16, part)
         m.narrow(r, offset, width)
-        m.learn(x, c2, c1, escaped)
+        i0 = m.at0 + m.slot(x)
+        m.learn(x, x == c2, x == c1, escaped, i0, m.zero.take(i0))
         out[t] = x
-        at = m.settled()
-        while len(at):
-            code[at] = code[at] << _U(16) | flat[base[at] + used[at]]
-            used[at] = np.minimum(used[at] + 1, most - 1)
-            m.low[at] <<= _U(16)
-            m.range[at] <<= _U(16)
-            at = m.settled()
+        at, _ = m.shift()
+        to = used.take(at)
+        code.put(at, code.take(at) << _U(32) | flat.take(to))
+        used.put(at, to + 1)
     return out
 
 
@@ -169,13 +168,13 @@ def encode(ids: np.ndarray, block: int) -> bytes:
     padded = np.zeros(n * steps, np.int64)
     padded[: len(ids)] = ids
     grid = padded.reshape(n, steps).T
-    halves = [np.ascontiguousarray(grid & 0xFFFF)] + ([np.ascontiguousarray(grid >> 16)] if kind == WIDE else [])
+    halves = [np.ascontiguousarray(grid & 0xFFFF, np.int32)] + ([np.ascontiguousarray(grid >> 16, np.int32)] if kind == WIDE else [])
     coded = [_encode_lanes(h) for h in halves]
     out = []
     for k in range(n):
         own = ids[k * block : (k + 1) * block]
         raw = own.tobytes()
-        body = [w[k, : u[k]].astype("<u2").tobytes() for w, u in coded]
+        body = [w[k, : u[k]].astype("<u4").tobytes() for w, u in coded]
         payload = body[0] if kind == CODED else struct.pack("<I", len(body[0])) + body[0] + body[1]
         mine = kind
         if len(payload) >= (2 if kind == CODED else 4) * len(own):
@@ -205,9 +204,9 @@ def decode(data: bytes) -> np.ndarray:
             lanes.setdefault((0, steps), []).extend([(k, 0, payload[4:cut]), (k, 1, payload[cut:])])
     got: dict[tuple[int, int], np.ndarray] = {}
     for (_, steps), rows in lanes.items():
-        words = np.zeros((len(rows), max(len(p) for _, _, p in rows) // 2 + 8), np.uint16)
+        words = np.zeros((len(rows), max(steps + 2, *(len(p) // 4 for _, _, p in rows))), np.uint32)
         for i, (_, _, p) in enumerate(rows):
-            words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
+            words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
         ids = _decode_lanes(words, steps)
         got |= {(k, half): ids[:, i] for i, (k, half, _) in enumerate(rows)}
     out = []
@@ -215,7 +214,7 @@ def decode(data: bytes) -> np.ndarray:
         if kind == RAW:
             ids = np.frombuffer(payload, "<u4")
         else:
-            ids = got[k, 0] + ((got[k, 1] << 16) if kind == WIDE else 0)
+            ids = got[k, 0].astype(np.int64) + ((got[k, 1].astype(np.int64) << 16) if kind == WIDE else 0)
         ids = np.ascontiguousarray(ids[:n], "<u4")
         if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError(f"block {k} does not match its checksum")
