@@ -18,65 +18,102 @@ def _part(c: Column, pattern: str, k: int) -> Column:
     return F.regexp_extract(c, pattern, k)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def decimal(c: Column) -> Column:
-    """Exact decimal text: no commas, exponent, plus sign, or needless zeros; -0 is 0."""
-    plain = F.regexp_replace(c, ",", "")
-    sign, whole, part, power = (_part(plain, _DECIMAL, k) for k in (1, 2, 3, 4))
-    digits = F.concat(whole, part)
-    exponent = F.when(power == "", F.lit(0)).when(F.length(F.regexp_replace(power, "^[+-]?0*", "")) <= 6, F.expr("0") + power.try_cast("int"))
-    fits = plain.rlike(_DECIMAL) & (digits != "") & (F.abs(exponent) <= LARGEST_EXPONENT)
-    point = (F.length(whole) + exponent).cast("int")
-    padded = F.concat(F.repeat(F.lit("0"), F.greatest(-point, F.lit(0))), digits, F.repeat(F.lit("0"), F.greatest(point - F.length(digits), F.lit(0))))
-    cut = F.greatest(point, F.lit(0))
-    left = F.regexp_replace(F.left(padded, cut), "^0+", "")
-    right = F.regexp_replace(F.substring(padded, cut + 1, F.length(padded)), r"0+\z", "")
-    number = F.concat(F.when(left == "", F.lit("0")).otherwise(left), F.when(right == "", F.lit("")).otherwise(F.concat(F.lit("."), right)))
-    return F.when(fits, F.concat(F.when((sign == "-") & (number != "0"), F.lit("-")).otherwise(F.lit("")), number))
+    """Exact decimal text: no commas, exponent, plus sign, or needless zeros; -0 is 0. Texts that are so already pass through."""
+
+    def parts(plain: Column) -> Column:
+        return F.struct(*(_part(plain, _DECIMAL, k).alias(n) for k, n in enumerate(("sign", "whole", "part", "power"), 1)), plain.rlike(_DECIMAL).alias("fits"))
+
+    def placed(p: Column) -> Column:
+        exponent = F.when(p["power"] == "", F.lit(0)).when(F.length(F.regexp_replace(p["power"], "^[+-]?0*", "")) <= 6, p["power"].try_cast("int"))
+        digits = F.concat(p["whole"], p["part"])
+        fits = p["fits"] & (digits != "") & (F.abs(exponent) <= LARGEST_EXPONENT)
+        return F.when(fits, F.struct(p["sign"].alias("sign"), digits.alias("digits"), (F.length(p["whole"]) + exponent).cast("int").alias("point")))
+
+    def cut(p: Column) -> Column:
+        point, digits = p["point"], p["digits"]
+        padded = F.concat(F.repeat(F.lit("0"), F.greatest(-point, F.lit(0))), digits, F.repeat(F.lit("0"), F.greatest(point - F.length(digits), F.lit(0))))
+        at = F.greatest(point, F.lit(0))
+        left = F.regexp_replace(F.left(padded, at), "^0+", "")
+        right = F.regexp_replace(F.substring(padded, at + 1, F.length(padded)), r"0+\z", "")
+        return F.struct(p["sign"].alias("sign"), F.when(left == "", "0").otherwise(left).alias("left"), right.alias("right"))
+
+    def written(p: Column) -> Column:
+        number = F.when(p["right"] == "", p["left"]).otherwise(F.concat(p["left"], F.lit("."), p["right"]))
+        return F.when((p["sign"] == "-") & (number != "0"), F.concat(F.lit("-"), number)).otherwise(number)
+
+    full = bound(bound(bound(bound(F.regexp_replace(c, ",", ""), parts), placed), lambda p: F.when(p.isNotNull(), cut(p))), lambda p: F.when(p.isNotNull(), written(p)))
+    return F.when(c.rlike(r"^(?:0|-?[1-9][0-9]*|-?(?:0|[1-9][0-9]*)\.[0-9]*[1-9])\z"), c).otherwise(full)
+
+
+def _fields(c: Column, pattern: str, names: str) -> Column:
+    """The pattern's groups as a struct."""
+    return F.struct(*(_part(c, pattern, k).alias(n) for k, n in enumerate(names.split(), 1)))
+
+
+def _two(x: Column) -> Column:
+    return F.lpad(x.cast("string"), 2, "0")
 
 
 def time(c: Column) -> Column:
     """HH:MM:SS.fffffff from 12- or 24-hour times."""
-    hour, minute, second, fraction, half = (_part(c, _TIME, k) for k in (1, 2, 3, 4, 5))
-    h, m, s = hour.try_cast("int"), minute.try_cast("int"), F.coalesce(second.try_cast("int"), F.lit(0))
-    twelve = half != ""
-    fits = c.rlike(_TIME) & (m < 60) & (s < 60) & F.when(twelve, h.between(1, 12)).otherwise(h < 24)
-    h = F.when(twelve, h % 12 + F.when(F.lower(half) == "p", 12).otherwise(0)).otherwise(h)
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.when(fits, F.concat(two(h), F.lit(":"), two(m), F.lit(":"), two(s), F.lit("."), F.rpad(fraction, 7, "0")))
+
+    def number(p: Column) -> Column:
+        h, m, s = p["h"].cast("int"), p["m"].cast("int"), F.when(p["s"] == "", F.lit(0)).otherwise(p["s"].try_cast("int"))
+        twelve = p["half"] != ""
+        fits = (m < 60) & (s < 60) & F.when(twelve, h.between(1, 12)).otherwise(h < 24)
+        h = F.when(twelve, h % 12 + F.when(F.lower(p["half"]) == "p", 12).otherwise(0)).otherwise(h)
+        return F.when(fits, F.concat(_two(h), F.lit(":"), _two(m), F.lit(":"), _two(s), F.lit("."), F.rpad(p["f"], 7, "0")))
+
+    return F.when(c.rlike(_TIME), bound(_fields(c, _TIME, "h m s f half"), number))
 
 
 def _valid(year: Column, month: Column, day: Column) -> Column:
-    last = F.day(F.last_day(F.when((year >= 100) & month.between(1, 12), F.make_date(year, month, F.lit(1)))))
-    return (year >= 100) & month.between(1, 12) & day.between(1, F.coalesce(last, F.lit(0)))
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return (year >= 100) & month.between(1, 12) & day.between(1, last)
+
 
+def _day(c: Column, pattern: str, names: str) -> Column:
+    def written(p: Column) -> Column:
+        y, m, d = (p[k].cast("int") for k in "ymd")
+        return F.when(_valid(y, m, d), F.concat(p["y"], F.lit("-"), _two(m), F.lit("-"), _two(d), F.lit(_MIDNIGHT)))
 
-def _day(c: Column, pattern: str, order: tuple[int, int, int]) -> Column:
-    y, m, d = (_part(c, pattern, k).try_cast("int") for k in order)
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.when(c.rlike(pattern) & _valid(y, m, d), F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), two(m), F.lit("-"), two(d), F.lit(_MIDNIGHT)))
+    return F.when(c.rlike(pattern), bound(_fields(c, pattern, names), written))
 
 
 def moment(c: Column) -> Column:
     """ISO date and time, in UTC, cut to milliseconds. Days are counted, so no session time zone matters."""
-    y, mo, d, h, mi = (_part(c, _MOMENT, k).try_cast("int") for k in range(1, 6))
-    s = F.coalesce(_part(c, _MOMENT, 6).try_cast("int"), F.lit(0))
-    millis = F.left(F.rpad(_part(c, _MOMENT, 7), 7, "0"), F.lit(3))
-    zone = F.regexp_replace(_part(c, _MOMENT, 8), ":", "")
-    shift = F.when(F.length(zone) == 5, F.when(F.left(zone, F.lit(1)) == "-", -1).otherwise(1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))).otherwise(0)
-    shifted_fine = F.when(F.length(zone) == 5, (F.substring(zone, 2, 2).try_cast("int") < 24) & (F.substring(zone, 4, 2).try_cast("int") < 60)).otherwise(True)
-    fits = c.rlike(_MOMENT) & _valid(y, mo, d) & (h < 24) & (mi < 60) & (s < 60) & shifted_fine
-    minutes = h * 60 + mi - shift
-    days = F.floor(minutes / 1440).cast("int")
-    rest = minutes - days * 1440
-    date = F.date_add(F.when(_valid(y, mo, d), F.make_date(y, mo, d)), days)
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    clock = F.concat(F.lit("T"), two(F.floor(rest / 60)), F.lit(":"), two(rest % 60), F.lit(":"), two(s), F.lit("."), millis, F.lit("0000Z"))
-    return F.when(fits, F.concat(F.date_format(date, "yyyy-MM-dd"), clock))
+
+    def number(p: Column) -> Column:
+        zone = F.regexp_replace(p["zone"], ":", "")
+        far = F.length(zone) == 5
+        part = lambda at: F.when(far, F.substring(zone, at, 2).try_cast("int")).otherwise(0)
+        s = F.when(p["s"] == "", F.lit(0)).otherwise(p["s"].try_cast("int"))
+        ints = [p[k].cast("int").alias(k) for k in ("y", "mo", "d", "h", "mi")]
+        return F.struct(*ints, s.alias("s"), F.left(F.rpad(p["f"], 7, "0"), F.lit(3)).alias("ms"), part(2).alias("zh"), part(4).alias("zm"), F.when(F.left(zone, F.lit(1)) == "-", -1).otherwise(1).alias("way"))
+
+    def shifted(p: Column) -> Column:
+        fits = _valid(p["y"], p["mo"], p["d"]) & (p["h"] < 24) & (p["mi"] < 60) & (p["s"] < 60) & (p["zh"] < 24) & (p["zm"] < 60)
+        minutes = p["h"] * 60 + p["mi"] - p["way"] * (p["zh"] * 60 + p["zm"])
+        return F.when(fits, F.struct(F.make_date(p["y"], p["mo"], p["d"]).alias("date"), F.floor(minutes / 1440).cast("int").alias("days"), minutes.alias("minutes"), p["s"].alias("s"), p["ms"].alias("ms")))
+
+    def written(p: Column) -> Column:
+        rest = p["minutes"] - p["days"] * 1440
+        clock = F.concat(F.lit("T"), _two(F.floor(rest / 60)), F.lit(":"), _two(rest % 60), F.lit(":"), _two(p["s"]), F.lit("."), p["ms"], F.lit("0000Z"))
+        return F.when(p.isNotNull(), F.concat(F.date_add(p["date"], p["days"]).cast("string"), clock))
+
+    return F.when(c.rlike(_MOMENT), bound(bound(bound(_fields(c, _MOMENT, "y mo d h mi s f zone"), number), shifted), written))
 
 
 def date(c: Column) -> Column:
     """A time, or a date from month/day/year, ISO date, or ISO date and time."""
-    return F.coalesce(time(c), _day(c, _SHORT, (3, 1, 2)), _day(c, _DAY, (1, 2, 3)), moment(c))
+    return F.coalesce(time(c), _day(c, _SHORT, "m d y"), _day(c, _DAY, "y m d"), moment(c))
 
 
 def comparison_value(c: Column, *, trim: bool = False, case_fold: bool = False, blank_null: bool = False, kind: str | None = None) -> tuple[Column, Column]:
