@@ -125,11 +125,10 @@ def _packed(path: str | None, length: int, end: int):
         tok = wordtok.tokenizer(path or wordtok.default_path())
         packer = Packer(tok.sentence_ends(), length, TaskContext.get().partitionId() << 32)
         for part in parts:
-            texts = part["text"].tolist()
+            texts = [x or "" for x in part["text"].tolist()]
             names = [None if pd.isna(x) else int(x) for x in part["doc_id"].tolist()]
-            for at in range(0, len(texts), 256):
-                some = [x or "" for x in texts[at : at + 256]]
-                packer.add(names[at : at + 256], *tok.ids(some, end))
+            for at in wordtok.batches(texts):
+                packer.add(names[at], *tok.ids(texts[at], end))
                 if packer.size >= BLOCK:
                     yield packer.flush(False)
         yield packer.flush(True)

@@ -41,11 +41,11 @@ def _encode(path: str | None, end: int, block_ids: int, row_ids: int):
             return pd.DataFrame({"part": [part_number], "seg": [seg], "n_ids": [total], "doc_ids": [names], "sizes": [np.concatenate(sizes)], "blocks": [blocks]})
 
         for part in parts:
-            texts = part["text"].tolist()
+            texts = [x or "" for x in part["text"].tolist()]
             known = [None if pd.isna(x) else int(x) for x in part["doc_id"].tolist()]
-            for at in range(0, len(texts), 256):
-                got, n = tok.ids([x or "" for x in texts[at : at + 256]], end)
-                names, total = names + known[at : at + 256], total + len(got)
+            for at in wordtok.batches(texts):
+                got, n = tok.ids(texts[at], end)
+                names, total = names + known[at], total + len(got)
                 ids.append(got)
                 sizes.append(n)
                 if total >= row_ids:

@@ -1,9 +1,9 @@
 """Token ids of many texts by the tokenizers library, each distinct word encoded once.
 
 A byte-level BPE vocabulary never merges across a blank that a non-blank follows, nor across a line feed between non-blanks, so a text may
-be cut before each such blank and on both sides of each such line feed, and its pieces encoded apart. Pieces repeat, so a bounded
-table keeps their ids. A text with a piece that is empty or starts with white space (two blanks in a row, an empty line, a
-blank at the end) is encoded whole.
+be cut before each such blank and on both sides of each such line feed, and its pieces encoded apart. Nor does it merge a letter or digit with
+the mark after it, so a mark at a word's end is a piece of its own. Pieces repeat, so a bounded table keeps their ids. A text with a piece
+that is empty or starts with white space (two blanks in a row, an empty line, a blank at the end) is encoded whole.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ import pyarrow.compute as pc
 #: Pieces that a worker's table holds; beyond that the half that is used most is kept.
 TABLE = 400_000
 #: New pieces are encoded in runs of about so many characters.
-RUN = 1 << 16
+RUN = 1 << 12
+#: Texts are looked up in batches of about so many characters, so that a batch repeats its pieces.
+BATCH = 1 << 21
 _BARE, _LINE = "\x01", "\n"
+#: A mark between a letter or digit and a blank; only letters that every version of Unicode calls so.
+_MARK, _APART = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,;:!?]) ", rf"\1 {_BARE}\2 "
 
 
 def default_path() -> str:
@@ -28,7 +32,7 @@ def default_path() -> str:
 
 
 class _Numbers(dict):
-    """Piece -> number; a new piece gets the next one, one that can't be encoded apart -1. A key that starts with _BARE is a line's first piece, which has no blank; _LINE is a line feed."""
+    """Piece -> number; a new piece gets the next one, one that can't be encoded apart -1. A key that starts with _BARE is a line's first piece or a mark, which has no blank; _LINE is a line feed."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -134,6 +138,7 @@ class WordTokenizer:
         given = pa.array(texts, pa.string())
         marked = pc.binary_join_element_wise(pa.scalar(_BARE), given, pa.scalar(""))
         marked = pc.replace_substring(marked, _LINE, f" {_LINE} {_BARE}")
+        marked = pc.replace_substring_regex(marked, _MARK, _APART)
         parts = pc.split_pattern(marked, " ")
         first = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
@@ -158,6 +163,13 @@ class WordTokenizer:
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), sizes
 
 
+def batches(texts: list[str]) -> list[slice]:
+    """Runs of texts of about BATCH characters each, so that each holds at least one text."""
+    ends = np.cumsum([len(x) for x in texts])
+    bounds = [0, *(np.flatnonzero(np.diff(ends // BATCH)) + 1).tolist(), len(texts)]
+    return [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:]) if a < b]
+
+
 _KEPT: dict[str, WordTokenizer] = {}
 
 
