@@ -23,7 +23,7 @@ from veritab.llm import rangecoder, wordtok
 from veritab.llm.shared import documents, stored
 
 END = 2
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 #: A row of the files is closed once it has so many ids.
 ROW_IDS = 6_000_000
 FILES = "part int, seg int, n_ids long, doc_ids array<long>, sizes array<long>, blocks binary"
