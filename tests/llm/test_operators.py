@@ -351,7 +351,7 @@ def test_range_coder(block):
 def test_word_tokenizer_equals_whole_texts():
     t = wordtok.WordTokenizer(wordtok.default_path())
     rng = np.random.default_rng(7)
-    parts = ["a", "B", " ", " ", "\n", "\n", "b.", "'s", "1", "é", "\t", "\r\n", "\u3000", "\x85", "\U0001f600", "..", "don't", "\x01", "<|endoftext|>"]
+    parts = ["a", "B", " ", " ", "\n", "\n", "b.", "'s", "1", "é", "\t", "\r\n", "\u3000", "\x85", "\U0001f600", "..", "don't", "\x01", "<|endoftext|>", ", ", "; ", "!", "\u0301", "\xb2", "\xaa, ", "\xd7, ", "\xff: "]
     texts = ["".join(rng.choice(parts, int(n))) for n in rng.integers(0, 12, 3000)]
     for at in range(0, len(texts), 50):
         ids, sizes = t.ids(texts[at : at + 50], 7)

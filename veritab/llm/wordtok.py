@@ -112,7 +112,7 @@ class WordTokenizer:
             sizes[k] = len(got)
         run = np.flatnonzero(later)
         pieces = [" " + new[k] for k in run]
-        width = np.fromiter((len(p.encode("utf-8", "surrogatepass")) for p in pieces), np.int64, len(pieces))
+        width = pc.binary_length(pa.array(pieces, pa.string())).to_numpy().astype(np.int64)
         ends = np.cumsum(width)
         cuts = [0, *(np.flatnonzero(np.diff(ends // RUN)) + 1).tolist(), len(pieces)] if len(pieces) else [0]
         for s, e in zip(cuts[:-1], cuts[1:]):
@@ -142,16 +142,18 @@ class WordTokenizer:
         parts = pc.split_pattern(marked, " ")
         first = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        numbers = np.fromiter(map(self.number.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        distinct, indices = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        numbers = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
         if self.number.new:
             self._learn()
-        at = numbers[coded.indices.to_numpy()]
-        odd = np.minimum.reduceat(at, first[:-1]) < 0 if len(at) else np.zeros(0, bool)
-        odd |= pc.match_substring(given, _BARE).to_numpy(zero_copy_only=False)
-        self.uses[: len(self.number)] += np.bincount(at[at >= 0], minlength=len(self.number))
-        n = np.where(at < 0, 0, self.size[at])
+        apart = numbers >= 0
+        odd = pc.match_substring(given, _BARE).to_numpy(zero_copy_only=False)
+        if not apart.all():
+            odd |= np.minimum.reduceat(apart[indices], first[:-1]) == 0
+        self.uses[numbers[apart]] += np.bincount(indices, minlength=len(numbers))[apart]
+        n = np.where(apart, self.size[numbers], 0)[indices]
         last = np.cumsum(n)
-        flat = self.flat[np.arange(last[-1] if len(last) else 0) + np.repeat(self.start[at] - last + n, n)]
+        flat = self.flat[np.arange(last[-1] if len(last) else 0) + np.repeat(self.start[numbers][indices] - last + n, n)]
         ends = np.concatenate([[0], last])[first].tolist()
         whole = dict(zip(np.flatnonzero(odd).tolist(), self.encode([texts[k] for k in np.flatnonzero(odd)])))
         out, sizes = [], np.zeros(len(texts), np.int64)
