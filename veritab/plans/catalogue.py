@@ -265,15 +265,41 @@ def rule_leaf_matrix(spark, d):
     return rows.select("event_id", *(ru.predicate({"column": "a", "operator": op, **more}, contract).alias(op.lower()) for op, (more, _) in _LEAVES.items()))
 
 
+_NESTED = {
+    "late-or-large": {
+        "when": {"all": [{"column": "l_returnflag", "operator": "in", "values": ["A", "R"]}, {"any": [{"column": "l_linestatus", "operator": "equals", "value": "F"}, {"column": "l_linenumber", "operator": "equals", "value": "1"}]}]},
+        "expect": {"any": [{"all": [{"column": "l_linenumber", "operator": "notEquals", "value": "1"}, {"column": "l_linestatus", "operator": "notIn", "values": ["O"]}]}, {"column": "l_returnflag", "operator": "equals", "value": "R"}]},
+    },
+    "no-condition": {"expect": {"any": [{"column": "l_linestatus", "operator": "equals", "value": "O"}, {"all": [{"column": "l_returnflag", "operator": "notEquals", "value": "N"}, {"column": "l_linenumber", "operator": "notBlank"}]}]}},
+}
+_NESTED_SQL = (
+    ("late-or-large", "l_returnflag in ('A', 'R') and (l_linestatus = 'F' or l_linenumber = 1) and not ((l_linenumber <> 1 and l_linestatus <> 'O') or l_returnflag = 'R')"),
+    ("no-condition", "not (l_linestatus = 'O' or l_returnflag <> 'N')"),
+)
+
+
+def rule_nested(spark, d):
+    """Conditions and expectations of nested all and any, one of them without a condition."""
+    contract = contract_of(l_returnflag={}, l_linestatus={}, l_linenumber={}) | {"conditionalRules": [{"id": k, **r} for k, r in _NESTED.items()]}
+    return ru.rule_summary(table(spark, d, "lineitem"), contract, None).select("rule_id", "severity", "failure_count")
+
+
 def unique_rule_members(spark, d):
     contract = contract_of(text={"unique": True}, lang={})
     return ru.rule_samples(table(spark, d, "documents").select("doc_id", "text", "lang"), contract, ["doc_id"], None, 1 << 30).select("rule_id", "doc_id")
 
 
-def profile_documents(spark, d):
-    names = ["lang", "source", "n_chars"]
-    records = from_frame(table(spark, d, "documents"), F.col("doc_id"), names)
-    return column_profile(records, None).drop("ordinal")
+_PROFILED = {"documents": ("doc_id", ["lang", "source", "n_chars"]), "customer": ("c_custkey", ["c_name", "c_nationkey", "c_mktsegment"])}
+
+
+def profile(spark, d, name):
+    key, names = _PROFILED[name]
+    return column_profile(from_frame(table(spark, d, name), F.col(key), names), None).drop("ordinal")
+
+
+def profile_sql(name: str) -> str:
+    sums = "select '{0}' as \"column\", count(*) as sampled, cast(max(length(cast({0} as varchar))) as bigint) as max_length, count(*) filter (where cast({0} as varchar) = '') as null_count, count(distinct {0}) as distinct_count from {1}"
+    return " union all ".join(sums.format(c, name) for c in _PROFILED[name][1])
 
 
 def schema_diff(spark, d):
@@ -308,10 +334,11 @@ def queries():
     plain = (
         cell_violations_by_code, cell_issues, bounded_issues, unique_violations, identity_violations, unique_multi_target, row_test_matches, cell_assertions, count_expectations, norm_trim_case, multiset_diff,
         multiset_diagnostics, side_summary, keyed_diff_summary, keyed_changed_cells, keyed_references, changed_by_column, duplicate_keys, key_references, decimal_canonical, date_canonical, rules_summary,
-        rules_samples, rule_leaf_matrix, unique_rule_members, profile_documents, schema_diff, suite_rollup,
+        rules_samples, rule_leaf_matrix, rule_nested, unique_rule_members, schema_diff, suite_rollup,
     )
     out = {f.__name__: f for f in plain}
     out |= {"multiset_left_only": lambda s, d: _bag(s, d).only(0), "multiset_right_only": lambda s, d: _bag(s, d).only(1)}
+    out |= {f"profile_{name}": partial(profile, name=name) for name in _PROFILED}
     return out | {"keyed_removed": partial(keyed_only, side=0), "keyed_added": partial(keyed_only, side=1)}
 
 
@@ -354,7 +381,8 @@ def oracle_sql():
         "rules_samples": _SCOPED + " select rule_id, o_orderkey, o_orderpriority from (select *, row_number() over (partition by rule_id order by o_orderkey) as k from (" + " union all ".join(f"select '{r}' as rule_id, * from o where {w}" for r, _, w in _RULES_SQL) + ")) where k <= 10",
         "rule_leaf_matrix": f"with e as ({_LEAF_SQL}) select event_id, " + ", ".join(f"coalesce({w}, false) as {op.lower()}" for op, (_, w) in _LEAVES.items()) + " from e",
         "unique_rule_members": "select 'text.unique' as rule_id, doc_id from (select doc_id, text, count(*) over (partition by text) as n from documents) where n > 1 and text <> ''",
-        "profile_documents": " union all ".join(f"select '{c}' as \"column\", count(*) as sampled, cast(max(length(cast({c} as varchar))) as bigint) as max_length, count(*) filter (where cast({c} as varchar) = '') as null_count, count(distinct {c}) as distinct_count from documents" for c in ("lang", "source", "n_chars")),
+        **{f"profile_{name}": profile_sql(name) for name in _PROFILED},
+        "rule_nested": " union all ".join(f"select '{r}' as rule_id, 'error' as severity, count(*) as failure_count from lineitem where {w}" for r, w in _NESTED_SQL),
         "schema_diff": schema_diff_sql(),
         "suite_rollup": " union all ".join(f"select '{t}' as target, count(*) as rows, count(*) filter (where length({c}) > 9) as issues, count(*) filter (where length({c}) > 9) = 0 as valid from {t}" for t, _, c in _SUITE),
     }
