@@ -74,8 +74,11 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_budget: in
         free, part = min(counts[i] - took[i], rest // x if 0 < x <= rest else 0), 1
         while free > 0 and not reach >> rest & 1:
             part = min(part, free)
+            more = reach | reach << part * x & mask
+            if more == reach:  # no larger number of these makes a new sum either, as their multiples are all reached
+                break
             steps.append((i, part, reach))
-            reach |= reach << part * x & mask
+            reach = more
             free, part = free - part, part * 2
     left = reach.bit_length() - 1
     for i, part, before in reversed(steps):
