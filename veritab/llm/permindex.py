@@ -93,7 +93,8 @@ def _search(pivots: int, posted: int, k: int, shares, least: int, everything: bo
                     foot = np.abs(at[here] - mine).sum(axis=1, dtype=np.int32)
                     here = here[np.argsort(foot, kind="stable")[:take]]
             vector = np.frombuffer(v, np.float64)
-            score = (x[here] @ vector) / (unit_norm[here] * np.linalg.norm(vector))
+            # Row by row, not by BLAS, whose last bits depend on a row's place: equal vectors must tie exactly.
+            score = (x[here] * vector).sum(axis=1) / (unit_norm[here] * np.linalg.norm(vector))
             best = np.lexsort((ids[here], -score))[:k]
             out.append(pd.DataFrame({"q": q, "qrow": qrow, "id": ids[here[best]], "score": score[best]}))
         return pd.concat(out) if out else empty
