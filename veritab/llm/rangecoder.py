@@ -20,7 +20,7 @@ MAGIC = b"VTR1"
 HEAD = struct.Struct("<4sBIIII")
 RAW, CODED, WIDE = 0, 1, 2
 _U = np.uint64
-_TABLE1, _TABLE2 = 9, 10
+_TABLE1, _TABLE2 = 8, 9
 _RATE = np.float32(1 / 24)
 
 
