@@ -15,11 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker's table holds; beyond that the half that is used most is kept.
-TABLE = 400_000
+TABLE = 320_000
 #: New pieces are encoded in runs of about so many characters.
 RUN = 1 << 12
 #: Texts are looked up in batches of about so many characters, so that a batch repeats its pieces.
-BATCH = 1 << 21
+BATCH = 1 << 19
 _BARE, _LINE = "\x01", "\n"
 #: A mark between a letter or digit and a blank; only letters that every version of Unicode calls so.
 _MARK, _APART = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,;:!?]) ", rf"\1 {_BARE}\2 "
@@ -56,22 +56,20 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sentence_end = np.zeros(len(self.bytes_of), bool)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # byte-level: one character a byte
-        self.vocabulary = vocabulary
+            self.sentence_end[i] = token[-1:] in (".", "!", "?", "\u010a")  # byte-level vocabularies write a line feed as U+010A
         self.clear()
 
     def sentence_ends(self) -> np.ndarray:
         """By id, whether its token ends a sentence or a line."""
-        out = np.zeros(len(self.bytes_of), bool)
-        for token, i in self.vocabulary.items():
-            out[i] = token[-1:] in (".", "!", "?", "\u010a")  # byte-level vocabularies write a line feed as U+010A
-        return out
+        return self.sentence_end
 
     def clear(self) -> None:
         self.number = _Numbers()
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size, self.uses = (np.zeros(1 << 18, np.int64) for _ in range(3))
+        self.start, self.size, self.uses = (np.zeros(1 << 18, np.int32) for _ in range(3))
 
     def _shrink(self) -> None:
         """Keep the pieces that are used most, at most half a table, and only those used again; age their counts."""
