@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,60 +27,125 @@ from veritab.llm.shared import documents, stored
 ROW_BYTES = 192
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 DESCRIBED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_SKIPPED = {"script", "style", "head", "nav", "footer"}
+_RAW = {"script", "style"}
+#: Left out where they have an end tag of their own; of one without, nobody knows where it ends, so its content stays.
+_ASIDE = {"nav", "footer"}
+_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 _BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "li", "ul", "ol", "figure", "figcaption", "br", "tr", "td", "table"}
+#: Elements that an outer one's end tag ends with it.
+_NESTED = {"div", "article", "section", "main", "header", "aside", "blockquote", "li", "ul", "ol", "tr", "td", "table", "figure", "figcaption", "head", "title"} | _ASIDE
 
 
 class _Sequencer(HTMLParser):
-    """Collects text blocks and ``<img src="sha256:...">`` references in reading order; a figure's caption goes to its images."""
+    """Collects text blocks and ``<img src="sha256:...">`` references in reading order.
+
+    A figure's caption goes to those of its images that no inner figure has captioned; without such it is a text item at its place.
+    Open elements end with an outer one's end tag or the page; the head also where something stands that it can't hold.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.skipped = 0
-        self.figure: list[dict] | None = None
-        self.caption: list[str] | None = None
-
-    def cut(self) -> None:
+        self.raw = 0
+        self.open: list[dict] = []
+        self.counts: Counter[str] = Counter()
+        self.captioned: set[int] = set()
+
+    def last(self, tag: str) -> int:
+        """Where in the open elements the innermost such is, or -1."""
+        if not self.counts[tag]:
+            return -1
+        return next(k for k in reversed(range(len(self.open))) if self.open[k]["tag"] == tag)
+
+    def text(self) -> str:
         text = " ".join("".join(self.words).split())
         self.words = []
-        if text:
+        return text
+
+    def cut(self) -> None:
+        if self.last("figcaption") >= 0:
+            self.words.append(" ")
+        elif text := self.text():
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end(self, k: int, own: bool = False) -> None:
+        """End the open elements from the k-th on, the k-th by its own end tag or not."""
+        while len(self.open) > k:
+            inner = self.open[-1]
+            tag, at = inner["tag"], inner["at"]
+            if tag == "figcaption":
+                text, self.words = self.text(), inner["words"]
+                self.leave()
+                if text:
+                    self.open[self.last("figure")]["captions"].append((at, text))
+                continue
+            if tag in _BLOCKS or tag in _ASIDE:
+                self.cut()
+            self.leave()
+            if tag in _ASIDE and own and len(self.open) == k:
+                del self.items[at:], self.words[inner["n_words"] :]
+            elif tag == "figure":
+                images = [i for i in self.items[at:] if i["kind"] == "media" and id(i) not in self.captioned]
+                if images and inner["captions"]:
+                    for item in images:
+                        item["caption"] = " ".join(text for _, text in inner["captions"])
+                        self.captioned.add(id(item))
+                else:
+                    for place, text in reversed(inner["captions"]):
+                        self.items.insert(place, {"kind": "text", "text": text, "digest": None, "caption": None})
+
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIPPED:
-            self.skipped += 1
-        if tag in _BLOCKS:
+        if tag in _RAW:
+            self.raw += 1
+        head = self.last("head")
+        if head >= 0:
+            if tag in _HEAD:
+                if tag == "title":
+                    self.begin(tag)
+                return
+            if self.last("title") < head or tag in _BLOCKS or tag in _NESTED or tag in ("body", "img"):
+                self.end(head)
+        if tag in _BLOCKS or tag in _ASIDE:
             self.cut()
-        if tag == "figure":
-            self.figure = []
-        elif tag == "figcaption":
-            self.caption = []
-        elif tag == "img" and not self.skipped:
+        if tag == "figcaption":
+            figure, other = self.last("figure"), self.last("figcaption")
+            if other > figure >= 0:
+                self.end(other)
+            if figure >= 0:
+                self.begin(tag, words=self.words)
+                self.words = []
+        elif tag in _NESTED and tag != "title":
+            self.begin(tag, n_words=len(self.words), captions=[])
+        elif tag == "img" and not self.raw:
             self.cut()
             named = dict(attrs)
             src = named.get("src") or ""
-            item = {"kind": "media", "text": None, "digest": src[7:] if src.startswith("sha256:") else None, "caption": named.get("alt")}
-            self.items.append(item)
-            if self.figure is not None:
-                self.figure.append(item)
+            self.items.append({"kind": "media", "text": None, "digest": src[7:] if src.startswith("sha256:") else None, "caption": named.get("alt")})
+
+    def begin(self, tag: str, **more) -> None:
+        self.open.append({"tag": tag, "at": len(self.items), **more})
+        self.counts[tag] += 1
+
+    def leave(self) -> None:
+        self.counts[self.open.pop()["tag"]] -= 1
 
     def handle_endtag(self, tag):
-        if tag in _SKIPPED:
-            self.skipped = max(0, self.skipped - 1)
-        if tag == "figcaption" and self.caption is not None:
-            caption, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.figure or ():
-                item["caption"] = caption
+        if tag in _RAW:
+            self.raw = max(0, self.raw - 1)
+        k = self.last(tag)
+        if k >= 0:
+            self.end(k, own=True)
         elif tag in _BLOCKS:
             self.cut()
-        if tag == "figure":
-            self.figure = None
 
     def handle_data(self, data):
-        if not self.skipped:
-            (self.words if self.caption is None else self.caption).append(data)
+        head = self.last("head")
+        if self.raw or self.last("title") > head >= 0:
+            return
+        if head >= 0 and data.strip():
+            self.end(head)
+        self.words.append(data)
 
 
 def sequence_of(html: str | None) -> list[dict]:
@@ -87,6 +153,7 @@ def sequence_of(html: str | None) -> list[dict]:
     parser = _Sequencer()
     parser.feed(html or "")
     parser.close()
+    parser.end(0)
     parser.cut()
     return [{"position": k, **item} for k, item in enumerate(parser.items)]
 
