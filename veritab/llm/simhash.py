@@ -191,29 +191,30 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def rooted(marked: DataFrame, first: Column, radius: int = RADIUS) -> DataFrame:
+    """Rows with fp -> a row per fingerprint: fp, ``first`` over its rows, and root, the same in all of a component."""
+    prints = stored(marked.groupBy("fp").agg(first.alias("first")), "prints")
+    roots = components(links(prints.select("fp"), radius))
+    return prints.join(roots, prints.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs (doc_id, text) -> a row per document: doc_id, fp, component_id, links (other fingerprints in its component)."""
     marked = stored(docs.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
-    prints = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    roots = components(links(prints.select("fp"), radius))
-    rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), (F.count("*") - 1).alias("links")).withColumnRenamed("root", "_r")
-    named = stored(rooted.join(named, F.col("root") == F.col("_r")).select("fp", "component_id", "links"), "classes")
+    classes = rooted(marked, F.min("doc_id"), radius)
+    named = classes.groupBy("root").agg(F.min("first").alias("component_id"), (F.count("*") - 1).alias("links")).withColumnRenamed("root", "_r")
+    named = stored(classes.join(named, F.col("root") == F.col("_r")).select("fp", "component_id", "links"), "classes")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id", "links")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id; of a component without doc_ids, one row."""
-    names = docs.columns
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_d"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = rows.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*names)
-    lost = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    unnamed = docs.where("doc_id is null").withColumn("_f", fingerprints("text")).join(lost.withColumnRenamed("fp", "_l"), F.col("_f") == F.col("_l"))
-    unnamed = unnamed.withColumn("_k", F.row_number().over(Window.partitionBy("_f").orderBy(F.xxhash64("text")))).where("_k = 1")
-    return rows.unionByName(unnamed.select(*names))
+    """``docs`` with one row of each component: the first by doc_id (nulls last), then by the text's hash."""
+    marked = docs.select("doc_id", fingerprints("text").alias("fp"), F.xxhash64("text").alias("hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash"))
+    kept = rooted(marked, first, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.hash").alias("_h"))
+    rows = docs.withColumn("_t", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi")
+    order = Window.partitionBy("doc_id", "_t").orderBy("_t")  # repeated rows
+    return rows.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir):
