@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in ``spark.checkpoint.dir`` (a temporary folder where that is unset), so that later reads agree."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, a temporary folder where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veritab-"))
         where = spark.sparkContext.getCheckpointDir()
-    path = f"{where.rstrip('/')}/veritab-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, so that later reads agree."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/veritab-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import urllib.request
+import uuid
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from veritab.operators.number import shared_dir
 from veritab.operators.validate import Result, validate
 from veritab.sources import contracts as ct
 from veritab.sources.records import from_csv
 
+#: Bytes of a URL target that the driver holds at once.
+CHUNK = 1 << 20
+
 
 @dataclass
 class Run:
@@ -46,16 +50,27 @@ def plans(specs: list[tuple[str, dict]], explicit: str | None = None) -> dict[st
 
 
 @contextmanager
-def local(target: str):
-    """The target's path; a URL is fetched to a temporary file that goes afterwards. Files meant for a cluster should lie in its storage."""
+def local(spark: SparkSession, target: str):
+    """The target's path; a URL is copied in chunks to a new folder that driver and executors share, which goes afterwards."""
     if not target.startswith(("http://", "https://")):
         yield target
         return
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "target.csv")
-        with urllib.request.urlopen(target) as got, open(path, "wb") as out:  # raises for other answers than 2xx
-            out.write(got.read())
-        yield path
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{shared_dir(spark)}/veritab-{uuid.uuid4().hex}/target.csv")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        with urllib.request.urlopen(target) as got:  # raises for other answers than 2xx
+            out = files.create(path)
+            try:
+                while chunk := got.read(CHUNK):
+                    out.write(chunk, 0, len(chunk))
+            finally:
+                out.close()
+            if got.length:  # reads in chunks end without an error where the connection does
+                raise OSError(f"{target} ended {got.length} bytes early")
+        yield path.toString()
+    finally:
+        files.delete(path.getParent(), True)
 
 
 def run_plans(spark: SparkSession, planned: dict, max_issues: int = 1000) -> list[Run]:
@@ -68,7 +83,7 @@ def run_plans(spark: SparkSession, planned: dict, max_issues: int = 1000) -> lis
             groups.setdefault((o["delimiter"], o["quote"], o["allowBlankRows"]), []).append((spec, contract))
         for (delimiter, quote, blank), group in groups.items():
             try:
-                with local(target) as path:
+                with local(spark, target) as path:
                     results = validate(from_csv(spark, path, delimiter, quote, blank), [c for _, c in group], max_issues)
                 out += [Run(s, target, r) for (s, _), r in zip(group, results)]
             except Exception as error:  # noqa: BLE001  one target's failure is a finding of the suite
