@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,20 +11,24 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, a temporary folder where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master, as in tests, gets a temporary one where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veritab-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, so that later reads agree."""
+def written(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
+    """``df`` as a table in the shared folder: later reads agree, the lineage ends there, and a lost executor costs nothing. It is removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veritab-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/veritab-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(f"{folder}/{name}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
