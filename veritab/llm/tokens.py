@@ -60,7 +60,9 @@ def _encode(path: str | None, end: int, block_ids: int, row_ids: int):
 
 def encoded(docs: DataFrame, path: str | None = None, end: int = END, block_ids: int = BLOCK_IDS, row_ids: int = ROW_IDS) -> DataFrame:
     """docs (doc_id, text) -> rows of FILES, in ascending doc_id order over (part, seg)."""
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = ("doc_id", "hash", "row")  # so that range partitions can part the rows of one doc_id, even rows that are all alike
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return dealt.mapInPandas(_encode(path, end, block_ids, row_ids), FILES)
 
 
