@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from veritab.operators.number import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) a temporary folder is set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veritab-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def stored(df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: this cuts the lineage, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/veritab-{uuid.uuid4().hex}/{name}"
-    writer = df.write.option("compression", compression)
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "shared_dir", "stored"]
+stored = written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
