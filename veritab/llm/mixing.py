@@ -1,12 +1,13 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Sources share a budget by weight; what a source cannot hold (more than ``max_repeats`` times its size) goes to the others.
-A source whose target is at least its size is taken whole; what then remains is fitted exactly: documents are counted
-by length, most of the budget is dealt in proportion to these counts, and a bounded-knapsack programme over the lengths fills
-the rest to the word. Which documents of a length are taken follows a seeded hash.
+A source whose target is at least its size is taken whole; what then remains is fitted: documents are counted by length, every length
+gives the same share of its documents (rounded up or down by chance of a seed), up to a remainder of a few documents' words, and a
+bounded-knapsack programme over the lengths, in an order of the seed, fills that to the word. So no length is preferred, however
+large the source. Which documents of a length are taken follows a seeded hash.
 
 Defined results: a null text has size 0; null sources are one source, sorted last; rows alike in doc_id, source and size are
-taken together, so repeated rows stay repeated alike; documents of size 0 take no words; an empty table gives no rows.
+taken together, so repeated rows stay repeated alike; other columns may have any name; documents of size 0 take no words; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEATS = 2
 SEED = 20
-#: The knapsack programme runs over a remaining budget of at most so many words.
-DP_BUDGET = 1 << 15
+#: The knapsack programme first fills so many times the longest document's words, and up to ROOMS[-1] times where it doesn't come out even.
+ROOMS = (4, 16, 64)
+#: Seeded roundings that are tried for one that leaves about that.
+DRAWS = 200
 #: Documents of one length in one source are ranked in buckets of about so many.
 BUCKET_ROWS = 1000
 
@@ -52,47 +55,70 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_repeats=M
     return w.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_BUDGET) -> list[int]:
-    """How many documents of each length to take, so that their words come as near to ``budget`` as they can without passing it."""
-    total = sum(x * n for x, n in zip(lengths, counts))
-    if budget <= 0 or total == 0:
-        return [0] * len(lengths)
-    if budget >= total:
-        return list(counts)
-    took = [n * budget // total for n in counts]
-    rest = budget - sum(x * k for x, k in zip(lengths, took))
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if rest <= dp_budget:
-            break
-        if 0 < lengths[i] <= rest:
-            more = min(counts[i] - took[i], -((dp_budget - rest) // lengths[i]), rest // lengths[i])
-            took[i] += more
-            rest -= more * lengths[i]
+def _fill(lengths: list[int], free: list[int], order: list[int], rest: int) -> tuple[list[int], int]:
+    """A bounded knapsack: how many of each length's free documents come nearest to ``rest`` words without passing it, and the words that they leave."""
+    took = [0] * len(lengths)
     # Bit s of `reach` says that the items so far can make s words; items are powers of two of a length's free documents.
     reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
-    for i, x in enumerate(lengths):
-        free, part = min(counts[i] - took[i], rest // x if 0 < x <= rest else 0), 1
-        while free > 0 and not reach >> rest & 1:
-            part = min(part, free)
+    for i in order:
+        x = lengths[i]
+        left, part = min(free[i], rest // x if x else 0), 1
+        while left > 0 and not reach >> rest & 1:
+            part = min(part, left)
             more = reach | reach << part * x & mask
             if more == reach:  # no larger number of these makes a new sum either, as their multiples are all reached
                 break
             steps.append((i, part, reach))
             reach = more
-            free, part = free - part, part * 2
-    left = reach.bit_length() - 1
+            left, part = left - part, part * 2
+    at = best = reach.bit_length() - 1
     for i, part, before in reversed(steps):
-        if not before >> left & 1:
+        if not before >> at & 1:
             took[i] += part
-            left -= part * lengths[i]
-    return took
+            at -= part * lengths[i]
+    return took, rest - best
 
 
-def _plan_source(rows: pd.DataFrame) -> pd.DataFrame:
+def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int = SEED) -> list[int]:
+    """How many documents of each length to take, so that their words come as near to ``budget`` as they can without passing it.
+
+    That is certain where the budget is within ROOMS[-1] times the longest document; beyond, what is dealt by rounding stays as it is.
+    """
+    total = sum(x * n for x, n in zip(lengths, counts))
+    if budget <= 0 or total == 0:
+        return [0] * len(lengths)
+    if budget >= total:
+        return list(counts)
+    rng = np.random.default_rng(seed)
+    x, n = np.array(lengths, np.int64), np.array(counts, np.int64)
+    order = rng.permutation(len(x)).tolist()
+    step = int(np.gcd.reduce(x[n > 0]))
+    best = None
+    for room in (k * int(x.max()) for k in ROOMS):
+        even = n * (max(0, budget - room) / total)
+        took, words = None, 0
+        for _ in range(DRAWS):
+            drawn = np.minimum(np.floor(even + rng.random(len(x))).astype(np.int64), n)
+            at = int((drawn * x).sum())
+            if at <= budget and (took is None or abs(budget - at - room) < abs(budget - words - room)):
+                took, words = drawn, at
+            if took is not None and budget - words <= 2 * room:
+                break
+        if took is None:  # all draws passed the budget
+            took, words = np.floor(even).astype(np.int64), int((np.floor(even).astype(np.int64) * x).sum())
+        more, left = _fill(lengths, (n - took).tolist(), order, budget - words)
+        if best is None or left < best[0]:
+            best = left, (took + np.array(more, np.int64)).tolist()
+        if best[0] == budget % step or room >= budget:  # no nearer, or all was tried
+            break
+    return best[1]
+
+
+def _plan_source(rows: pd.DataFrame, seed: int = SEED) -> pd.DataFrame:
     rows = rows.sort_values("unit").reset_index(drop=True)
     size, target = int(rows["source_size"][0]), float(rows["target"][0])
     passes = int(target // size) if size else 0
-    wanted = fit_budget(rows["unit"].tolist(), rows["n"].tolist(), round(target - passes * size))
+    wanted = fit_budget(rows["unit"].tolist(), rows["n"].tolist(), round(target - passes * size), seed)
     return rows.assign(k=np.array(wanted, np.int64), passes=passes)
 
 
@@ -102,13 +128,25 @@ def mix(docs: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, **sha
     The text is read once. What is shuffled afterwards is a few numbers per document; per source, one task sees its counts by
     length, whose number is bounded by the longest document and not by the documents.
     """
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    sized = stored(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    takes = _takes(sized, seed, bucket_rows, shares).withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_z"})
+    out = sized.join(takes, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def takes_of(docs: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, **shares) -> DataFrame:
+    """docs (doc_id, text, source) -> (doc_id, source, size) that occur, with source_size, target and times."""
+    return _takes(docs.select("doc_id", "source", words(F.col("text")).alias("size")), seed, bucket_rows, shares)
+
+
+def _takes(sized: DataFrame, seed: int, bucket_rows: int, shares: dict) -> DataFrame:
+    """(doc_id, source, size) -> a row for each that occurs, with source_size, target and times."""
     units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
     units = stored(units.withColumn("unit", F.col("size") * F.col("m")), "units")
     hist = units.groupBy("source", "unit").agg(F.count("*").alias("n"))
     targets = source_targets(units.groupBy("source").agg(F.sum("unit").alias("source_size")), **shares)
     hist = hist.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    plan = stored(hist.groupBy("source").applyInPandas(_plan_source, "source string, unit long, n long, source_size long, target double, k long, passes long"), "plan")
+    plan = stored(hist.groupBy("source").applyInPandas(lambda rows: _plan_source(rows, seed), "source string, unit long, n long, source_size long, target double, k long, passes long"), "plan")
 
     rank = F.xxhash64(F.lit(seed), F.col("doc_id"))
     p = plan.withColumnsRenamed({"source": "_s", "unit": "_u"})
@@ -125,18 +163,15 @@ def mix(docs: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, **sha
     part = part.join(quota, F.col("source").eqNullSafe(F.col("_s")) & (F.col("unit") == F.col("_u")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_u", "_b")
     ranked = F.row_number().over(Window.partitionBy("source", "unit", "_bucket").orderBy("_rank", "doc_id"))
     part = part.withColumn("picked", (ranked <= F.col("_q")).cast("long")).drop("_q")
-    out = whole.unionByName(part).withColumn("times", F.col("passes") + F.col("picked"))
-    out = out.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    return whole.unionByName(part).select("doc_id", "source", "size", "source_size", "target", (F.col("passes") + F.col("picked")).alias("times"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it, rows that it does not take left out."""
-    names = docs.columns
-    takes = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.first("times").alias("_times"))
-    takes = takes.where("_times > 0").withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_z"})
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (words(F.col("text")) == F.col("_z"))
-    return docs.join(takes, on).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*names)
+    """``docs`` with each row repeated as often as the mix takes it, rows that it does not take left out. Whatever its columns are called."""
+    takes = takes_of(docs, **options).where("times > 0")
+    rows = docs.select(F.struct("*").alias("row"))
+    on = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (words(F.col("row.text")) == F.col("size"))
+    return rows.join(takes, on).select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def op2_mix_sources(spark, sf_dir):
