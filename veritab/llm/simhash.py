@@ -5,11 +5,13 @@ reach. Only distinct fingerprints are searched. They are dealt to shards by bloc
 share (four blocks, one of them equal; more and longer ones when there are very many fingerprints), a shard's BK-tree has
 children keyed by their integer distance to the parent, and a search follows only edges within the radius of its own distance.
 The trees live in the tasks that hold their shards: broadcasting them would gather all fingerprints on the driver.
-A shard with more fingerprints than ``SHARD_LIMIT`` is split in chunks and each pair of chunks gets a tree, so none is dropped.
+A shard with more fingerprints than ``SHARD_LIMIT`` is dealt again by blocks of its other bits, which a pair within the radius must share as well;
+one that is still larger is split in chunks and each pair of chunks gets a tree, so none is dropped.
 A task reports a spanning forest of what it has linked, never all pairs; large-star/small-star rounds join the forests.
 
 Defined results: null and empty texts have the zero fingerprint and are linked like any other; component_id is the smallest
-doc_id reached that is not null (null if there is none); repeated rows stay repeated; an empty table gives no rows.
+doc_id reached that is not null (null if there is none); repeated rows stay repeated, but ``one_of_each`` keeps one row of a component,
+whatever its doc_ids; other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from veritab.llm.shared import documents, stored
 RADIUS = 3
 SHARD_LIMIT = 2048
 _STEP = 1 << 15
+SHARD = ["k", "v", "k2", "v2", "a", "b"]
 
 
 def fingerprint(text: str | None) -> int:
@@ -113,7 +116,7 @@ def _linked(radius: int):
         kept: list[pd.DataFrame] = []
 
         def edges(part: pd.DataFrame) -> pd.DataFrame:
-            keys = part[["k", "v", "a", "b"]].to_numpy(np.int64)
+            keys = part[SHARD].to_numpy(np.int64)
             prints = part["fp"].to_numpy(np.int64)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             bounds = [0, *cuts.tolist(), len(part)]
@@ -126,7 +129,7 @@ def _linked(radius: int):
 
         for part in parts:
             whole = pd.concat([*kept, part]) if kept else part
-            keys = whole[["k", "v", "a", "b"]].to_numpy(np.int64)
+            keys = whole[SHARD].to_numpy(np.int64)
             same = (keys == keys[-1:]).all(axis=1) if len(whole) else np.zeros(0, bool)
             cut = len(whole) - int(same.sum())  # sorted: the last shard is at the end
             kept = [whole.iloc[cut:]]
@@ -138,27 +141,50 @@ def _linked(radius: int):
     return run
 
 
-def shard_keys(blocks: int, radius: int = RADIUS) -> list:
-    """(k, v) columns: every choice of ``blocks - radius`` of the blocks, and the fingerprint's bits in it."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    keys = []
-    for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
-        keys.append(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("v")))
-    return keys
-
-
-def links(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
-    """Distinct fingerprints (fp) -> forest edges (u, v) whose components are those of all pairs within the radius."""
-    n = prints.count()
-    blocks = radius + (1 if n < 1 << 24 else 2 if n < 1 << 33 else 3)
-    members = prints.select("fp", F.explode(F.array(*shard_keys(blocks, radius))).alias("_s")).select("fp", "_s.*")
-    large = members.groupBy("k", "v").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    members = members.join(large, ["k", "v"], "left").withColumn("_c", F.ceil(F.col("_n") / limit))
-    own = F.pmod(F.xxhash64("fp"), F.col("_c"))
-    members = members.withColumn("_o", F.explode(F.when(F.col("_c").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1))))
-    members = members.select("k", "v", F.coalesce(F.least(own, "_o"), F.lit(0)).alias("a"), F.coalesce(F.greatest(own, "_o"), F.lit(0)).alias("b"), "fp")
-    dealt = members.repartition("k", "v", "a", "b").sortWithinPartitions("k", "v", "a", "b", "fp")
+def _equal_parts(bits: list[int], n: int) -> list[int]:
+    """Masks of n parts of these bit positions, of about equal size."""
+    edges = [len(bits) * i // n for i in range(n + 1)]
+    return [sum(1 << b for b in bits[s:e]) for s, e in zip(edges[:-1], edges[1:])]
+
+
+def _keys(masks: list[int], number: str, value: str) -> Column:
+    """An array of (number, fingerprint's bits in the mask)."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*(F.struct(F.lit(k).alias(number), F.col("fp").bitwiseAND(F.lit(m)).alias(value)) for k, m in enumerate(signed)))
+
+
+def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
+    """Every choice of ``blocks - radius`` of the blocks: radius differing bits leave one choice untouched."""
+    parts = _equal_parts(list(range(64)), blocks)
+    return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
+
+
+def links(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT, blocks: int | None = None) -> DataFrame:
+    """Distinct fingerprints (fp) -> forest edges (u, v) whose components are those of all pairs within the radius.
+
+    Any number of ``blocks`` over the radius gives the same pairs; more of them make smaller shards and more copies. By default their number
+    follows that of the fingerprints, so that shards stay small.
+    """
+    if blocks is None:
+        n = prints.count()
+        blocks = radius + (1 if n < 1 << 24 else 2 if n < 1 << 33 else 3)
+    masks = block_masks(blocks, radius)
+    members = prints.select("fp", F.explode(_keys(masks, "k", "v")).alias("s")).select("fp", "s.*")
+    large = members.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    members = members.join(large, ["k", "v"], "left")
+    again = F.lit(None)
+    for k, mask in enumerate(masks):
+        rest = [b for b in range(64) if not mask >> b & 1]
+        again = F.when(F.col("k") == k, _keys(_equal_parts(rest, radius + 1), "k2", "v2")).otherwise(again)
+    once = F.array(F.struct(F.lit(-1).alias("k2"), F.lit(0).cast("long").alias("v2")))
+    members = members.withColumn("s", F.explode(F.when(F.col("n").isNull(), once).otherwise(again))).select("fp", "k", "v", "s.*")
+    large = members.groupBy("k", "v", "k2", "v2").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    members = members.join(large, ["k", "v", "k2", "v2"], "left").withColumn("c", F.ceil(F.col("n") / limit))
+    own = F.pmod(F.xxhash64("fp"), F.col("c"))
+    first = F.array(F.lit(0).cast("long"))
+    members = members.withColumn("o", F.explode(F.when(F.col("c").isNull(), first).otherwise(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))))
+    members = members.select("k", "v", "k2", "v2", F.coalesce(F.least(own, "o"), F.lit(0)).alias("a"), F.coalesce(F.greatest(own, "o"), F.lit(0)).alias("b"), "fp")
+    dealt = members.repartition(*SHARD).sortWithinPartitions(*SHARD, "fp")
     return dealt.mapInPandas(_linked(radius), "u long, v long")
 
 
@@ -211,10 +237,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: the first by doc_id (nulls last), then by the text's hash."""
     marked = docs.select("doc_id", fingerprints("text").alias("fp"), F.xxhash64("text").alias("hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash"))
-    kept = rooted(marked, first, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.hash").alias("_h"))
-    rows = docs.withColumn("_t", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi")
-    order = Window.partitionBy("doc_id", "_t").orderBy("_t")  # repeated rows
-    return rows.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*docs.columns)
+    kept = rooted(marked, first, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("d"), F.col("first.hash").alias("h"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left_semi")
+    order = Window.partitionBy("id", "hash").orderBy("hash")  # repeated rows
+    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
 
 
 def op3_simhash(spark, sf_dir):
