@@ -5,7 +5,7 @@ and many documents walk all trees at once in numpy. The forest is fitted on the
 (a documented bound, taken by hash); scoring reads every whole text once, where it lies, without a shuffle.
 
 Defined results: a null text is an empty one and gets a score; a null doc_id is held out from learning with held_out false;
-labels that are null or not 0 or 1 are passed over; without labelled rows every score is 0.5, with one class it is that class's share.
+labels that are null or not 0 or 1 are passed over; of rows that share a labelled doc_id one is learned; other columns may have any name; without labelled rows every score is 0.5, with one class it is that class's share.
 """
 
 from __future__ import annotations
@@ -129,7 +129,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **opti
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")
     stats = F.pandas_udf(lambda s: pd.Series(list(matrix(s))), "array<double>")
-    got = rows.select("doc_id", "quality", stats("text").alias("x")).toPandas().sort_values("doc_id", kind="stable")[:sample]
+    # one row of each doc_id, so that what comes to the driver is bounded however often an id is repeated
+    got = rows.select("doc_id", "quality", stats("text").alias("x")).groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id", kind="stable")
     return fit(np.array(got["x"].tolist(), np.float64).reshape(-1, len(STATISTICS)), got["quality"].to_numpy(np.float64), **options)
 
 
@@ -147,9 +148,7 @@ def quality_score(forest: Forest):
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
-    names = docs.columns
-    scored = docs.withColumn("_score", quality_score(fit_quality(docs, labels))("text"))
-    return scored.where("_score >= 0.5").select(*names)
+    return docs.where(quality_score(fit_quality(docs, labels))("text") >= 0.5)
 
 
 def op4_quality(spark, sf_dir):
