@@ -5,14 +5,15 @@ URLs (``endpoint``), each of which alone says nothing; they are reported only wh
 ``SCOPE`` code points: a key beside an access identifier, an endpoint beside both an access identifier and a secret (an assignment
 or a reported key). This interval join pairs spans of one text, so it runs inside the row, over arrays, and shuffles nothing.
 
-Positions are code points: the gaps that ``split`` leaves and the matches are measured in turn.
-Defined results: a null text is an empty one and has no span; the digest of no spans is that of the empty string; repeated rows stay.
+Positions are code points: the gaps that ``split`` leaves and the matches are measured and added up. Sums and extremes along an array are taken
+in pieces of about the square root of its length, and spans meet in one sorted array, so a text with very many matches costs
+little more than its matches; a text is cut in pieces before spans are masked.
+Defined results: a null text is an empty one and has no span; the digest of no spans is that of the empty string; repeated rows stay;
+other columns may have any name: ``scan`` replaces ``base_spans`` and ``all_spans``, ``without_secrets`` keeps all but the text and n_chars.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,96 +29,114 @@ HEX = r"[0-9a-f]{24,}"
 KEY = r"[A-Za-z0-9+/]{40,}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(:[0-9]+)?"
 KINDS = ("assign", "access", "hex", "key", "endpoint")
+#: Code points of a piece of a text that is masked.
+PIECE = 1024
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _none() -> Column:
-    return F.array().cast(SPANS)
+# The functions below make SQL text: higher-order functions that nest this deeply take seconds to build from columns, one call at a time.
+
+
+def literal(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bound(value: str, name: str, use: str) -> str:
+    """``use``, in which ``name`` is the value, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
+
 
+def running(values: str, step: str, zero: int) -> str:
+    """The array's running sum, maximum or minimum (``step`` of a and b): within pieces of about the square root of its length, then over the pieces' ends."""
 
-def matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Spans of the leftmost matches that do not overlap; ``keep(match)`` may drop some, where match has hit and group."""
-    gaps = F.split(text, pattern, -1)
-    hits, groups = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, 2 if kind == 0 else 0))
-    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), groups.alias("part"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,part:string>>").alias("out"))
+    def piece(x: str) -> str:
+        more = bound(step.format(a="acc.at", b="v"), "n", "named_struct('at', n, 'out', array_append(acc.out, n))")
+        return f"aggregate({x}, named_struct('at', {zero}, 'out', cast(array() as array<int>)), (acc, v) -> {more}).out"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.coalesce(F.length(x["1"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["2"].alias("part"))
-        return F.struct(end.alias("at"), F.when(x["1"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+    ends = piece("transform(pieces, p -> element_at(p, -1))")
+    shifted = f"flatten(transform(pieces, (p, i) -> transform(p, v -> if(i = 0, v, {step.format(a='get(ends, i - 1)', b='v')}))))"
+    begins = bound("cast(ceil(sqrt(size(x))) as int)", "w", f"transform(sequence(1, size(x), w), i -> {piece('slice(x, i, w)')})")
+    return bound(values, "x", f"if(size(x) = 0, cast(array() as array<int>), {bound(begins, 'pieces', bound(ends, 'ends', shifted))})")
 
-    zipped = F.transform(zipped, lambda x: F.struct(x["gap"].alias("0"), x["hit"].alias("1"), x["part"].alias("2")))
-    spans = F.aggregate(zipped, zero, step)["out"]
-    if keep:
-        spans = F.filter(spans, keep)
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return F.when(text.rlike(pattern), spans.cast(SPANS)).otherwise(_none())
 
+def matches(text: str, pattern: str, kind: int, keep: str = "true") -> str:
+    """Spans of the leftmost matches that do not overlap; ``keep`` (of end, start and part) may drop some."""
+    p = literal(pattern)
+    # the last gap, after the last match, ends no match
+    found = f"named_struct('hits', regexp_extract_all({text}, {p}, 0), 'parts', regexp_extract_all({text}, {p}, {2 if kind == 0 else 0}), 'gaps', transform(split({text}, {p}, -1), g -> length(g)))"
+    ends = running("zip_with(slice(m.gaps, 1, size(m.hits)), m.hits, (gap, hit) -> gap + length(hit))", "{a} + {b}", 0)
+    rows = f"transform({ends}, (e, i) -> named_struct('start', e - length(get(m.hits, i)), 'kind', {kind}, 'end', e, 'part', get(m.parts, i)))"
+    spans = f"transform(filter({rows}, r -> {keep}), r -> named_struct('start', r.start, 'kind', r.kind, 'end', r.end))"
+    return f"if({text} rlike {p}, {bound(found, 'm', spans)}, cast(array() as {SPANS}))"
 
-def near(a: Column, b: Column, scope: int) -> Column:
-    return (a["start"] - b["end"] <= scope) & (b["start"] - a["end"] <= scope)
+
+def beside(spans: str, weak: int, others: list[list[int]], scope: int) -> str:
+    """The sorted ``spans`` without those of the ``weak`` kind that a base span holds, or that have no span of one of the lists of kinds within ``scope``.
+
+    To the left the furthest end decides, to the right the nearest start, so running extremes answer for all spans at once.
+    """
+    far = 1 << 30
+    kinds = lambda ks: f"s.kind in ({', '.join(map(str, ks))})"
+    furthest = lambda ks: running(f"transform(spans, s -> if({kinds(ks)}, s.end, -{far}))", "greatest({a}, {b})", -far)
+    nearest = lambda ks: f"reverse({running(f'transform(reverse(spans), s -> if({kinds(ks)}, s.start, {far}))', 'least({a}, {b})', far)})"
+    known = "".join(f", 'left{k}', {furthest(ks)}, 'right{k}', {nearest(ks)}" for k, ks in enumerate(others))
+    fits = "".join(f" and (get(known.left{k}, i) >= s.start - {scope} or get(known.right{k}, i) <= s.end + {scope})" for k in range(len(others)))
+    kept = f"filter(spans, (s, i) -> s.kind <> {weak} or (get(known.base, i) < s.end{fits}))"
+    return bound(spans, "spans", bound(f"named_struct('base', {furthest([0, 1, 2])}{known})", "known", kept))
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with ``base_spans`` and ``all_spans``, arrays of (start, kind, end) sorted by start, then kind."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({
-        "_assign": matches(t, ASSIGN, 0, lambda s: F.length(s["part"]) >= 6),
-        "_access": matches(t, ACCESS, 1),
-        "_hex": matches(t, HEX, 2),
-    })
-    strong = F.size("_access") > 0
-    found = found.withColumns({
-        "base_spans": F.array_sort(F.concat("_assign", "_access", "_hex")),
-        "_keys": F.when(strong, matches(t, KEY, 3, lambda s: s["end"] - s["start"] == 40)).otherwise(_none()),
-        "_urls": F.when(strong, matches(t, ENDPOINT, 4)).otherwise(_none()),
-    })
-
-    def joined(weak: str, *others) -> Column:
-        def kept(w: Column) -> Column:
-            apart = ~F.exists("base_spans", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"]))
-            return reduce(lambda x, y: x & y, [apart, *(F.exists(o, lambda s: near(w, s, scope)) for o in others)])
-
-        return F.filter(weak, kept)
-
-    found = found.withColumn("_keys", joined("_keys", "_access"))
-    found = found.withColumn("_urls", joined("_urls", "_access", F.concat("_assign", "_keys")))
-    found = found.withColumn("all_spans", F.array_sort(F.concat("base_spans", "_keys", "_urls")))
-    return found.drop("_assign", "_access", "_hex", "_keys", "_urls")
+    """``docs`` with ``base_spans`` and ``all_spans``, arrays of (start, kind, end) sorted by start, then kind. ``text``: SQL for the text."""
+    t = f"coalesce({text}, '')"
+    found = docs.withColumn("base_spans", F.expr(f"array_sort(concat({matches(t, ASSIGN, 0, 'length(r.part) >= 6')}, {matches(t, ACCESS, 1)}, {matches(t, HEX, 2)}))"))
+    keys = beside(f"array_sort(concat(base_spans, {matches(t, KEY, 3, 'r.end - r.start = 40')}))", 3, [[1]], scope)
+    urls = beside(f"array_sort(concat({keys}, {matches(t, ENDPOINT, 4)}))", 4, [[1], [0, 3]], scope)
+    return found.withColumn("all_spans", F.expr(f"if(exists(base_spans, s -> s.kind = 1), {urls}, base_spans)"))
 
 
 def written(spans: str) -> Column:
-    names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+    names = ", ".join(map(literal, KINDS))
+    return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', element_at(array({names}), s.kind + 1), s.start, s.end)), ',')")
 
 
 def counted(spans: str, kind: int) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-
+    return F.expr(f"cast(size(filter({spans}, s -> s.kind = {kind})) as long)")
 
-def masked(text: Column, spans: Column, mask: str = "<removed>") -> Column:
-    """The text with each span (or run of overlapping spans) replaced by the mask."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
+def masked(text: str, spans: str, mask: str = "<removed>") -> Column:
+    """The text with each span (or run of overlapping spans) replaced by the mask. ``text`` and ``spans``: SQL."""
 
-    def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    def cut(a: str, b: str) -> str:
+        i, j = f"({a}) div {PIECE}", f"({b} - 1) div {PIECE}"
+        first = f"get(known.pieces, cast({i} as int))"
+        within = f"substring({first}, cast({a} - {i} * {PIECE} + 1 as int), {b} - ({a}))"
+        across = (
+            f"concat(substring({first}, cast({a} - {i} * {PIECE} + 1 as int), {PIECE}), array_join(slice(known.pieces, cast({i} + 2 as int), cast({j} - {i} - 1 as int)), ''), "
+            f"substring(get(known.pieces, cast({j} as int)), 1, cast({b} - {j} * {PIECE} as int)))"
+        )
+        return f"case when {a} >= {b} then '' when {i} = {j} then {within} else {across} end"
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+    before = "coalesce(get(known.ends, i - 1), 0)"
+    parts = f"transform({spans}, (s, i) -> if(s.start >= {before}, concat({cut(before, 's.start')}, {literal(mask)}), ''))"
+    last = cut("element_at(known.ends, -1)", f"length({text})")
+    pieces = f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)"
+    ends = running(f"transform({spans}, s -> s.end)", "greatest({a}, {b})", 0)
+    made = bound(f"named_struct('pieces', {pieces}, 'ends', {ends})", "known", f"array_join(concat({parts}, array({last})), '')")
+    return F.expr(f"if(size({spans}) > 0, {made}, {text})")
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every span masked in its text; n_chars, where there is one, follows."""
-    names = docs.columns
-    out = scan(docs).withColumn("text", masked(F.col("text"), F.col("all_spans")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("all_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    rows = scan(docs.select(F.struct("*").alias("row")), "row.text")
+    rows = rows.select("row", F.size("all_spans").alias("n"), masked("row.text", "all_spans").alias("text"))
+
+    def column(name: str) -> Column:
+        own = F.col("row").getField(name)
+        if name == "n_chars":
+            own = F.when(F.col("n") > 0, F.length("text").cast(docs.schema[name].dataType)).otherwise(own)
+        return (F.col("text") if name == "text" else own).alias(name)
+
+    return rows.select(*map(column, docs.columns))
 
 
 def op6_credentials(spark, sf_dir):
