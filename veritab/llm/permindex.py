@@ -2,13 +2,15 @@
 
 A vector is represented by the order of its nearest pivots. It is posted in the inverted files of its first ``POSTED`` pivots; a query
 opens the files of its first ``PROBED`` ones, ranks what it finds there by footrule distance between the orders, and reranks the
-nearest share by exact cosine. A vector that meets a query in several files is ranked in one of them only, the query's nearest.
-Files are split in chunks of at most ``CHUNK`` postings, queries in blocks, so a pivot near a third of all rows bounds no task;
-a task reports a query's k best, never its candidates. Queries that find fewer than k candidates open all files, which is exact.
-
-Pivots are drawn from a bounded seeded sample. Every row is indexed. Measured recall is in the README.
-Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length from the most frequent length
-take no part; equal scores go to the smaller vec_id; repeated ids are several rows; an empty table gives no rows.
+first of them by exact cosine: from each file a fixed number, more from its nearest pivots'. A vector that meets a query in several files
+is ranked in one of them only, the query's nearest. Pivots grow with the square root of the rows, so that a query meets a share of the rows that
+shrinks as they grow, and scores about ``2 * sum(RERANKED)`` of them whatever their number.
+Files are split in chunks of at most ``CHUNK`` postings, and only the queries of a file with more than ``BLOCK`` in blocks, so a pivot near a third of all
+rows bounds no task; a task reports a query's k best, never its candidates. Queries that find fewer than k candidates open all files, which is exact.
+
+Pivots are drawn from a bounded seeded sample. Every row is indexed. Measured recall and shares are in the README.
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors of different lengths aren't compared, each
+length has an index of its own; equal scores go to the smaller vec_id; repeated ids are several rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,42 +24,47 @@ from pyspark.sql import functions as F
 
 from veritab.llm.shared import stored
 
-PIVOTS = 128
-ORDERED = 48
+#: Pivots for n rows: PIVOTS_ROOT * sqrt(n), between these.
+PIVOTS_ROOT, PIVOTS_LEAST, PIVOTS_MOST = 2.0, 32, 16384
+ORDERED = 128
 POSTED = 8
 PROBED = 32
 CHUNK = 4096
-BLOCK = 256
-#: The share of a file that is reranked: from the query's nearest pivot to its last probed one.
-SHARES = (0.8, 0.25)
-LEAST = 64
-
-
-def _units(pivots: np.ndarray):
-    return pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+BLOCK = 8192
+#: Rows of a file that are reranked: from the query's nearest pivot's to its last probed one's.
+RERANKED = (48, 8)
+_ROWS = 512
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, ordered: int) -> np.ndarray:
     """The ``ordered`` nearest pivots of each vector, nearest first."""
-    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ _units(pivots).T
-    return np.argsort(-near, axis=1, kind="stable")[:, :ordered].astype(np.uint16)
+    unit, out = pivots / np.linalg.norm(pivots, axis=1, keepdims=True), []
+    for at in range(0, len(x), _ROWS):
+        part = x[at : at + _ROWS]
+        near = (part / np.linalg.norm(part, axis=1, keepdims=True)) @ unit.T
+        out.append(np.argsort(-near, axis=1, kind="stable")[:, :ordered].astype(np.uint16))
+    return np.concatenate(out)
+
 
+def agreement(order: np.ndarray, query: np.ndarray, pivots: int) -> np.ndarray:
+    """How far each row's order agrees with the query's: a constant less half the footrule distance, pivots beyond an order being at its end.
 
-def positions(order: np.ndarray, pivots: int) -> np.ndarray:
-    """The place of each pivot in an order; pivots beyond it share the next place."""
-    out = np.full((len(order), pivots), order.shape[1], np.int16)
-    np.put_along_axis(out, order.astype(np.int64), np.broadcast_to(np.arange(order.shape[1], dtype=np.int16), order.shape), axis=1)
-    return out
+    A shared pivot at places i and j brings the distance down from (n - i) + (n - j) to |i - j|, half of which difference is n - max(i, j).
+    """
+    n = len(query)
+    place = np.full(pivots, n, np.int16)
+    place[query] = np.arange(n, dtype=np.int16)
+    return (n - np.maximum(place[order], np.arange(n, dtype=np.int16))).sum(axis=1, dtype=np.int32)
 
 
-def _index(pivots: np.ndarray, ordered: int):
+def _index(pivots: np.ndarray, ordered: int, opened: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if not len(part):
                 continue
             x = np.array(part["v"].tolist(), np.float64)
             order = orders(x, pivots, ordered)
-            yield pd.DataFrame({"id": part["id"], "row": part["row"], "v": [r.tobytes() for r in x], "o": [r.tobytes() for r in order], "top": list(order.astype(np.int32))})
+            yield pd.DataFrame({"id": part["id"], "row": part["row"], "v": [r.tobytes() for r in x], "o": [r.tobytes() for r in order], "top": list(order[:, :opened].astype(np.int32))})
 
     return run
 
@@ -66,78 +73,93 @@ def _matrix(column: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
 
-def _search(pivots: int, posted: int, k: int, shares, least: int, everything: bool):
+def quotas(probed: int, reranked=RERANKED) -> np.ndarray:
+    """Rows to rerank by the place of the file's pivot in the query's order."""
+    return np.ceil(np.linspace(reranked[0], reranked[1], probed)).astype(int)
+
+
+def _search(pivots: int, posted: int, probed: int, k: int, reranked, everything: bool):
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": np.zeros(0, np.int64), "qrow": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        empty = pd.DataFrame({"q": np.zeros(0, np.int64), "qrow": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0), "scored": np.zeros(0, np.int64)})
         if not len(rows) or not len(queries):
             return empty
         pivot = int(key[0])
         rows = rows.sort_values(["id", "row"])
         ids, numbers = rows["id"].to_numpy(np.int64), rows["row"].to_numpy(np.int64)
         x, order = _matrix(rows["v"], np.float64), _matrix(rows["o"], np.uint16)
-        unit_norm, at = np.linalg.norm(x, axis=1), positions(order, pivots)
-        first = order[:, :posted].astype(np.int64)
-        out = []
+        norm, first, chunks = np.linalg.norm(x, axis=1), order[:, :posted], int(rows["chunks"].iloc[0])
+        wanted, out = quotas(probed, reranked), []
         for q, qrow, v, o in zip(queries["id"], queries["row"], queries["v"], queries["o"]):
-            mine = positions(np.frombuffer(o, np.uint16)[None, :], pivots)[0]
-            if everything:  # ties beyond the order: any fixed rule gives one file a pair
-                mine = mine.astype(np.int32) * pivots + np.arange(pivots)
-            here = np.flatnonzero((mine[first].min(axis=1) == mine[pivot]) & (numbers != qrow))
+            mine = np.frombuffer(o, np.uint16)
+            place = np.full(pivots, len(mine), np.int64)
+            place[mine] = np.arange(len(mine))
+            if everything:  # any fixed rule gives one file a pair
+                place = place * pivots + np.arange(pivots)
+            here = np.flatnonzero((place[first].min(axis=1) == place[pivot]) & (numbers != qrow))
             if not len(here):
                 continue
             if not everything:
-                low, high = shares[0], shares[1]
-                share = low + (high - low) * min(1.0, mine[pivot] / PROBED)
-                take = max(least, int(np.ceil(share * len(here))))
+                take = max(2 * k, -(-int(wanted[place[pivot]]) // chunks))
                 if take < len(here):
-                    foot = np.abs(at[here] - mine).sum(axis=1, dtype=np.int32)
-                    here = here[np.argsort(foot, kind="stable")[:take]]
+                    here = here[np.argsort(-agreement(order[here], mine, pivots), kind="stable")[:take]]
             vector = np.frombuffer(v, np.float64)
             # Row by row, not by BLAS, whose last bits depend on a row's place: equal vectors must tie exactly.
-            score = (x[here] * vector).sum(axis=1) / (unit_norm[here] * np.linalg.norm(vector))
+            score = (x[here] * vector).sum(axis=1) / (norm[here] * np.linalg.norm(vector))
             best = np.lexsort((ids[here], -score))[:k]
-            out.append(pd.DataFrame({"q": q, "qrow": qrow, "id": ids[here[best]], "score": score[best]}))
+            out.append(pd.DataFrame({"q": q, "qrow": qrow, "id": ids[here[best]], "score": score[best], "scored": len(here)}))
         return pd.concat(out) if out else empty
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, *, pivots: int = PIVOTS, ordered: int = ORDERED, posted: int = POSTED, probed: int = PROBED, chunk: int = CHUNK, block: int = BLOCK, shares=SHARES, least: int = LEAST, seed: int = 7) -> DataFrame:
-    """(id long, v array of numbers) -> each query's k nearest other rows by cosine: query_id, rank, vec_id, score."""
-    schema = "query_id long, rank int, vec_id long, score double"
-    v = F.transform("v", lambda x: x.cast("double"))
-    fine = vectors.select("id", v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    fine = fine.where(~F.exists("v", odd)).where(F.exists("v", lambda x: x != 0))
-    sizes = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], schema)
-    total, fine = sizes[0]["count"], fine.where(F.size("v") == sizes[0]["n"]).withColumn("row", F.monotonically_increasing_id())
-    drawn = fine.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots).toPandas()  # a bounded sample
+def _found(fine: DataFrame, total: int, is_query, k: int, pivots: int | None, ordered: int, posted: int, probed: int, chunk: int, block: int, reranked, seed: int) -> DataFrame:
+    """Vectors of one length (id, v, row) -> q, qrow, id, score: at least each query's k best finds."""
+    n_pivots = pivots or int(min(PIVOTS_MOST, max(PIVOTS_LEAST, PIVOTS_ROOT * total**0.5)))
+    drawn = fine.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n_pivots).toPandas()  # a bounded sample
     centres = np.array(drawn["v"].tolist(), np.float64)
-    n_pivots, posted = len(centres), min(posted, len(centres))
-    index = stored(fine.mapInPandas(_index(centres, min(ordered, n_pivots)), "id long, row long, v binary, o binary, top array<int>"), "index")
+    n_pivots = len(centres)
+    posted, probed = min(posted, n_pivots), min(probed, n_pivots)
+    index = stored(fine.mapInPandas(_index(centres, min(ordered, n_pivots), max(posted, probed)), "id long, row long, v binary, o binary, top array<int>"), "index")
 
-    def search(queries: DataFrame, opened: int, everything: bool) -> DataFrame:
+    def search(queries: DataFrame, everything: bool) -> DataFrame:
         rows = index.select("id", "row", "v", "o", F.explode(F.slice("top", 1, posted)).alias("p"))
         sizes = {r["p"]: r["n"] for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}  # at most one row per pivot
-        chunks = F.element_at(F.array(*(F.lit(-(-sizes.get(p, 1) // chunk)) for p in range(n_pivots))), F.col("p") + 1)
-        probes = F.sequence(F.lit(0), F.lit(n_pivots - 1)) if everything else F.slice("top", 1, opened)
+        probes = F.sequence(F.lit(0), F.lit(n_pivots - 1)) if everything else F.slice("top", 1, probed)
         asked = queries.select(*(F.col(c).alias(c) for c in ("id", "row", "v", "o")), F.explode(probes).alias("p"))  # columns of its own: both sides come from the index
         blocks = {r["p"]: -(-r["n"] // block) for r in asked.groupBy("p").agg(F.count("*").alias("n")).collect()}
-        blocks = F.element_at(F.array(*(F.lit(blocks.get(p, 0)) for p in range(n_pivots))), F.col("p") + 1)
-        rows = rows.withColumn("c", F.pmod(F.xxhash64("row"), chunks)).withColumn("b", F.explode(F.filter(F.sequence(F.lit(0), blocks), lambda i: i < blocks)))
-        asked = asked.withColumn("b", F.pmod(F.xxhash64("row"), blocks).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))
+        files = [(p, -(-n // chunk), blocks[p]) for p, n in sizes.items() if p in blocks]
+        if not files:
+            return index.sparkSession.createDataFrame([], "q long, qrow long, id long, score double, scored long")
+        cut = lambda: F.broadcast(index.sparkSession.createDataFrame(files, "p int, chunks long, blocks long"))  # noqa: E731  at most PIVOTS_MOST rows
+        rows = rows.join(cut(), "p").withColumn("c", F.pmod(F.xxhash64("row"), F.col("chunks"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        asked = asked.join(cut(), "p").withColumn("b", F.pmod(F.xxhash64("row"), F.col("blocks"))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         cells = rows.groupBy("p", "c", "b").cogroup(asked.groupBy("p", "c", "b"))
-        return cells.applyInPandas(_search(n_pivots, posted, k, shares, least, everything), "q long, qrow long, id long, score double")
+        return cells.applyInPandas(_search(n_pivots, posted, probed, k, reranked, everything), "q long, qrow long, id long, score double, scored long")
 
     queries = index.where(is_query(F.col("id")))
-    found = stored(search(queries, min(probed, n_pivots), False), "found")
+    found = stored(search(queries, False), "found")
     met = found.groupBy("qrow").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, total - 1))
     short = queries.join(met, queries.row == met.qrow, "left_anti")
     if short.limit(1).count():
-        again = stored(search(short, n_pivots, True), "again")
-        found = found.join(met.select("qrow"), "qrow", "left_semi").select("q", "qrow", "id", "score").unionByName(again)
+        again = stored(search(short, True), "again")
+        found = found.join(met.select("qrow"), "qrow", "left_semi").select(*again.columns).unionByName(again)
+    return found
+
+
+def nearest(
+    vectors: DataFrame, is_query, k: int = 5, *, pivots: int | None = None, ordered: int = ORDERED, posted: int = POSTED, probed: int = PROBED, chunk: int = CHUNK, block: int = BLOCK, reranked=RERANKED, seed: int = 7,
+) -> DataFrame:
+    """(id long, v array of numbers) -> each query's k nearest other rows by cosine: query_id, rank, vec_id, score."""
+    v = F.transform("v", lambda x: x.cast("double"))
+    fine = vectors.select("id", v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    fine = fine.where(~F.exists("v", odd)).where(F.exists("v", lambda x: x != 0)).withColumn("row", F.monotonically_increasing_id())
+    found = None
+    for n, total in sorted(map(tuple, fine.groupBy(F.size("v").alias("n")).count().collect())):  # one row per length
+        part = _found(fine.where(F.size("v") == n), total, is_query, k, pivots, ordered, posted, probed, chunk, block, reranked, seed)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     ranked = F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc("score"), "id"))
     best = found.withColumn("rank", ranked).where(F.col("rank") <= k)
     return best.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
