@@ -4,7 +4,7 @@ A URL is expanded into host-suffix and path-prefix expressions, joined with the
 confirmed by the full digests; the longest rule wins, and of equally long ones a block. Distinct URLs are judged once.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and path; what no rule fits gets the default verdict
-and a null rule; an empty rule list fits nothing; repeated rows stay repeated.
+and a null rule; an empty rule list fits nothing; repeated rows stay repeated; a host of any length costs what the rules' lengths do.
 """
 
 from __future__ import annotations
@@ -33,34 +33,38 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
     values = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rules)
     frame = spark.sql(f"select * from values {values} as r(verdict, host, path)" if rules else "select '' as verdict, '' as host, '' as path where false")
     rule = F.concat(F.translate("host", _UPPER, _LOWER), "path")
-    return frame.select("verdict", rule.alias("rule"), F.length("path").alias("path_length"), F.sha2(rule, 256).alias("digest")).withColumn("prefix", F.left("digest", F.lit(PREFIX)))
+    labels = F.size(F.split("host", r"\.", -1)).alias("labels")
+    return frame.select("verdict", rule.alias("rule"), labels, F.length("path").alias("path_length"), F.sha2(rule, 256).alias("digest")).withColumn("prefix", F.left("digest", F.lit(PREFIX)))
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every suffix of the host that starts at a label, with every prefix of the path whose length some rule has."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(path)), lambda n: F.left(path, n))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+def expressions(host: Column, path: Column, lengths: list[tuple[int, int]]) -> Column:
+    """The host's last labels with the path's first characters, in every combination of numbers that some rule has. What no rule is as long as isn't built."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    known = F.transform(F.array(*(F.struct(F.lit(n).alias("labels"), F.lit(m).alias("length")) for n, m in lengths)), lambda x: x)
+    fitting = F.filter(known, lambda x: (x["labels"] <= labels) & (x["length"] <= F.length(path)))
+    suffixes = F.create_map(*(x for n in sorted({n for n, _ in lengths}) for x in (F.lit(n), F.substring_index(host, ".", -n))))
+    return F.transform(fitting, lambda x: F.concat(F.element_at(suffixes, x["labels"]), F.left(path, x["length"])))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
-    """``pages`` (with url) plus host, path, rule and verdict.
+    """``pages`` (with url) plus host, path, rule and verdict, which take the place of columns so called.
 
-    The rules' path lengths, at most as many as the longest rule is long, come to the driver. Spark broadcasts the rules if their size allows.
+    The rules' sizes (labels and path length), at most as many as the longest rule allows, come to the driver. Spark broadcasts the rules if their size allows.
     """
-    lengths = sorted(r[0] for r in rules.select("path_length").distinct().collect())
-    urls = pages.select("url").where("url is not null").distinct().select("url", host(F.col("url")).alias("_h"), path(F.col("url")).alias("_p"))
+    lengths = sorted(map(tuple, rules.select("labels", "path_length").distinct().collect()))
+    urls = pages.select("url").where("url is not null").distinct().select("url", host(F.col("url")).alias("h"), path(F.col("url")).alias("p"))
     if lengths:
-        terms = urls.where("_h != ''").select("url", F.explode(F.array_distinct(expressions(F.col("_h"), F.col("_p"), lengths))).alias("_t"))
+        terms = urls.where("h != ''").select("url", F.explode(expressions(F.col("h"), F.col("p"), lengths)).alias("t"))
     else:
-        terms = urls.where("false").select("url", F.lit("").alias("_t"))
-    terms = terms.withColumn("_d", F.sha2("_t", 256)).withColumn("prefix", F.left("_d", F.lit(PREFIX)))
-    fits = terms.join(rules, "prefix").where("_d = digest")
-    best = fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("block"), "rule", "verdict")).alias("_b"))
-    best = best.select(F.concat("url", F.lit("")).alias("_u"), F.col("_b.rule").alias("rule"), F.col("_b.verdict").alias("_v"))
-    out = pages.join(best, F.col("url") == F.col("_u"), "left")
-    return out.select(*pages.columns, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "rule", F.coalesce("_v", F.lit(default)).alias("verdict"))
+        terms = urls.where("false").select("url", F.lit("").alias("t"))
+    terms = terms.withColumn("d", F.sha2("t", 256)).withColumn("prefix", F.left("d", F.lit(PREFIX)))
+    fits = terms.join(rules, "prefix").where("d = digest")
+    best = fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("block"), "rule", "verdict")).alias("b"))
+    best = best.select(F.concat("url", F.lit("")).alias("u"), F.col("b.rule").alias("rule"), F.col("b.verdict").alias("verdict"))
+    out = pages.select(F.struct("*").alias("page")).join(best, F.col("page.url") == F.col("u"), "left")
+    url, made = F.col("page.url"), ("host", "path", "rule", "verdict")
+    kept = [F.col("page").getField(c).alias(c) for c in pages.columns if c.lower() not in made]
+    return out.select(*kept, host(url).alias("host"), path(url).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filter(spark, sf_dir):
