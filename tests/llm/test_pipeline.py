@@ -44,3 +44,19 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_stages_on_odd_documents(spark, odd_docs, no_docs):
+    """Nulls, repeated ids with other texts, ties and clashing names go through every stage; an empty table stays empty."""
+    docs, counts = odd_docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = shared.stored(stage(spark, docs, SMALL), name)
+        assert docs.columns == odd_docs.columns
+        counts.append(docs.count())
+    assert counts[0] <= odd_docs.count() and counts[1] == counts[2] <= counts[0]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert pieces.where("start = 0").count() == counts[3]
+    docs = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+        assert docs.count() == 0

@@ -6,7 +6,8 @@ how well their classifier separates its sides, and flags texts whose best two co
 Learning counts n-grams by language over all learning rows; what reaches the driver is languages x buckets numbers.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, and for all texts if nothing was learned; with one
-learned language every other text gets it; a null lang is not learned; a null doc_id is not held out.
+learned language every other text gets it; a null lang is not learned; a null doc_id is not held out; repeated rows count and are answered each;
+a text of any length counts whole; other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ in a store, a Parquet table of losslessly encoded images (binary PPM, 64 RGB pix
 The join carries what is asked of a payload (by default what ``describe`` reads from the stored bytes), not the bytes.
 
 Defined results: a null text is an empty one; a null page has an empty sequence; a reference whose digest the store lacks keeps
-its position and caption with null payload columns; a payload stored more than once resolves to one row.
+its position and caption with null payload columns; a payload stored more than once resolves to one row; repeated rows stay repeated; an empty
+table gives no rows; a text of any length is stored whole.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def image(samples: Column) -> Column:
 
 
 def write_store(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Store each row's payload: ``rows`` without its text, plus n_bytes, digest and media. The bytes stay in this table."""
+    """Store each row's payload: ``rows`` without its text, plus n_bytes, digest and media, which take the place of columns so called. The bytes stay in this table."""
     samples = rows.withColumns({"n_bytes": F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"), "media": payload(F.col(text))}).drop(text)
     return stored(samples.withColumn("digest", F.sha2("media", 256)).withColumn("media", image(F.col("media"))), "media", compression="zstd")
 
@@ -223,9 +224,10 @@ def store_index(store: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, index: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """One row per item of each sequence, with the other columns of the row and what the index says of its digest."""
-    rest = [c for c in sequences.columns if c != sequence]
-    items = sequences.select(*rest, F.explode(sequence).alias("_item")).select(*rest, "_item.*")
+    """One row per item of each sequence, with the other columns of the row and what the index says of its digest. Columns of the row named like these are left out."""
+    made = {"position", "kind", "text", "digest", "caption", *index.columns}
+    rest = [F.col("row").getField(c).alias(c) for c in sequences.columns if c != sequence and c not in made]
+    items = sequences.select(F.struct("*").alias("row"), F.explode(sequence).alias("item")).select(*rest, "item.*")
     return items.join(index, "digest", "left")
 
 

@@ -7,7 +7,8 @@ least[j] = penalty[j] + min over i of least[i] + length - (at[j] - at[i]), the m
 the cuts in reach. A window whose length is a power of two needs no padding; at document ends such windows are tried too.
 
 The stream is cut in blocks; a block's last two windows are left to the next one, so blocks leave no seam.
-Defined results: null and empty texts are documents of the end id alone; repeated rows are packed each; null doc_ids stay null.
+Defined results: null and empty texts are documents of the end id alone; repeated rows are packed each; null doc_ids stay null; an empty table gives no
+pieces; a text of any length is packed whole; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

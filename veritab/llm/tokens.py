@@ -5,7 +5,8 @@ doc_ids and id counts of some documents and the coded blocks of their ids. Block
 Reading decodes the rows and cuts the ids at the counts. Where a document starts follows from the partitions' totals, one number each.
 
 Defined results: a null text is an empty one; an empty document is its end id alone; null doc_ids come first; rows that share a doc_id
-follow each other in the order of their texts' hashes; an empty table gives no rows; a damaged block raises ValueError.
+follow each other in the order of their texts' hashes; an empty table gives no rows; a damaged block raises ValueError; only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
