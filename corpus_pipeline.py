@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages; each reads what its predecessor kept. The last returns packed pieces."""
+"""A corpus pipeline of five stages; each reads what its predecessor kept. The last returns packed pieces.
+
+Defined results: a null text is scored, compared, scanned, mixed and packed as an empty one, and stays null until it is packed; null doc_ids, sources and
+languages stay null. Of repeated rows, and of different documents that share a doc_id, near_duplicates keeps one row of each component, ties going to the
+smaller text hash. Texts of any length go through whole. An empty table stays empty through all stages. Columns beside those of documents, whatever their names, are
+carried to the mixing stage's output; the packing stage reads doc_id and text alone.
+"""
 
 from __future__ import annotations
 
