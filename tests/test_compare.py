@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from veritab.operators.compare import ComparisonError, Options, compare
 from veritab.sources.evidence import write_evidence
-from veritab.sources.records import from_frame
+from veritab.sources.records import from_csv, from_frame
 
 
 def side(spark, header, rows):
@@ -73,4 +73,38 @@ def test_evidence(spark, tmp_path):
     names = write_evidence(made(spark, "Id,Name", [("1", 'a"b')], [("1", "c")], keys=["Id"]), str(tmp_path / "out"))
     assert {"ComparisonSummary.json", "ChangedRows.csv", "NormalizedLeft.csv", "ColumnSummary.csv"} <= set(names)
     text = "".join(p.read_text() for p in (tmp_path / "out" / "ChangedRows.csv").glob("part-*"))
-    assert '"key-000001","1","Name","a""b","c"' in text
+    assert '"Id","ChangedColumn","LeftValue","RightValue"' in text and '"1","Name","a""b","c"' in text
+    evidence = (tmp_path / "out" / "ComparisonEvidence.csv").read_text()
+    assert evidence.startswith('"recordType","name","countOrValue","column","keyReference","diagnosticId"\n"summary","status","different","false","1",""\n')
+    assert '"diagnostic","key-changed","1","","key-000001","key-000001-changed"' in evidence
+    page = (tmp_path / "out" / "ComparisonSummary.md").read_text()
+    assert "| 0 | 0 | 1 | 0 | 1 | 0/0 |" in page and "Included 1 of 1." in page
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") + df._jdf.queryExecution().optimizedPlan().toString().count("Repartition")
+
+
+def test_details_without_references_rank_nothing(spark):
+    c = made(spark, "Id,Name", [("1", "a"), ("2", "b")], [("1", "c"), ("2", "b")], keys=["Id"])
+    assert exchanges(c.changed_cells(references=False)) == 1 and "rank" not in c.changed_cells(references=False).columns
+    c.keep()
+    for table in (c.changed_cells(references=False), c.difference_sums(), c.bag):
+        assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert c.groups.count() == 2 and exchanges(c.groups) == 0  # read, not shuffled again
+
+
+def test_csv_records(spark, tmp_path):
+    """Ragged records stop a comparison, records of blanks are no rows."""
+
+    def sides(left, right):
+        for name, text in (("l", left), ("r", right)):
+            (tmp_path / f"{name}.csv").write_text(text)
+        return (from_csv(spark, str(tmp_path / f"{name}.csv")) for name in "lr")
+
+    for left, right, side_name, said in (("A,B\n1,2,9\n", "A,B\n1,2\n", "Left", "CSV row 2 has 3 cells; expected 2."), ("A,B\n3,\n", "A,B\n\n3,\n3\n", "Right", "CSV row 3 has 1 cells; expected 2.")):
+        with pytest.raises(ComparisonError) as error:
+            compare(*sides(left, right))
+        assert error.value.code == "CSV_PARSE" and str(error.value) == f"{side_name} CSV could not be parsed: {said}"
+    s = compare(*sides("A,B\n1,2\n , \n,\n", "A,B\n1,2\n")).summary()
+    assert (s["status"], s["left"]["row_count"], s["right"]["row_count"]) == ("equal", 1, 1)

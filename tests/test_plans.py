@@ -42,21 +42,43 @@ def test_tsql():
     made = tsql.script(catalogue.RULES)
     assert made["rule_count"] == 8 and made["warnings"] == [] and "DECLARE @Status nvarchar(1)" in made["sql"] and "DELETE" not in made["sql"]
     bad = json.loads(json.dumps(catalogue.RULES))
-    bad["sqlServer"]["scope"]["sqlType"] = "int; drop table x"
-    with pytest.raises(ValueError):
-        tsql.script(bad)
+    for kind in ("int; drop table x", "varchar(0)", "nvarchar(99999)"):
+        bad["sqlServer"]["scope"]["sqlType"] = kind
+        with pytest.raises(ValueError):
+            tsql.script(bad)
     odd = ct.parse("version: 1\nsqlServer: {schema: a, table: 'b]c'}\nschema: {columns: {\"o'k\": {presence: required, constraints: {allowedValues: [\"it's\"], matches: x}}}}")
     assert "[b]]c]" in tsql.script(odd)["sql"] and "N'it''s'" in tsql.script(odd)["sql"] and len(tsql.script(odd)["warnings"]) == 1
 
 
 def test_tables():
-    table = tables.from_json(json.dumps({"objects": [{"type": "table", "schema": "s", "name": "t", "columns": [{"name": "Id", "type": "bigint", "nullable": False, "identity": True}, {"name": "Status", "type": "varchar", "maxLength": 20, "nullable": False}], "primaryKeyColumns": ["Id"]}, {"type": "view", "name": "v"}]}))
-    assert len(table) == 1
-    contract = ct.parse("version: 1\nschema: {columns: {Status: {presence: required, constraints: {maxLength: 12}}, Legacy: {presence: optional}}}")
+    tracked = {"schema": "staging", "name": "Timecard", "columns": [
+        {"ordinal": 2, "name": "Description", "typeSchema": "sys", "typeName": "nvarchar", "maxLength": 400, "precision": 0, "scale": 0, "nullable": True},
+        {"ordinal": 1, "name": "TimecardId", "typeSchema": "sys", "typeName": "bigint", "maxLength": 8, "precision": 19, "scale": 0, "nullable": False, "identitySeed": "1"},
+        {"ordinal": 3, "name": "Rate", "typeName": "decimal", "maxLength": 9, "precision": 19, "scale": 4, "nullable": False}, {"ordinal": 4, "name": "Note", "typeName": "varchar", "maxLength": -1, "nullable": False, "computedExpression": "x"},
+    ], "indexes": [{"columns": []}, {"primaryKey": True, "columns": [{"name": "x", "included": True}, {"name": "Rate", "keyOrdinal": 2}, {"name": "TimecardId", "keyOrdinal": 1, "included": False}]}]}
+    (table,) = tables.from_json(json.dumps(tracked))
+    types = {c["name"]: (c["sqlType"], c["maxLength"], c["identity"], c["computed"]) for c in table["columns"]}
+    assert types == {"Description": ("nvarchar(200)", 200, False, False), "TimecardId": ("bigint", 8, True, False), "Rate": ("decimal(19,4)", 9, False, False), "Note": ("varchar(max)", -1, False, True)}
+    assert table["keys"] == ["TimecardId", "Rate"]
+    merged, preview = tables.merge({"version": 1, "schema": {"columns": {}}}, table)
+    assert merged["schema"]["columns"]["TimecardId"] == {"presence": "optional"} and merged["schema"]["columns"]["Rate"]["constraints"] == {"notNull": True} and "identity" not in merged
+    assert list(merged["schema"]["columns"]) == ["TimecardId", "Description", "Rate", "Note"] and preview["filled"] == ["Description.maxLength", "Rate.notNull"] and preview["target_changed"]
+    known = {"formatVersion": 1, "objects": [
+        {"schema": "dbo", "name": "Header", "type": "table", "columns": [{"ordinal": 1, "name": "Id", "dataType": "int", "length": 4, "precision": 10, "scale": 0, "nullable": False}, {"ordinal": 2, "name": "Status", "dataType": "varchar", "length": 20, "nullable": True}], "primaryKeys": [{"columns": [{"name": "Id"}]}]},
+        {"schema": "dbo", "name": "ViewOnly", "type": "view", "columns": []},
+    ]}
+    (table,) = tables.from_json(json.dumps(known))
+    contract = ct.parse("version: 1\nsqlServer: {schema: old, table: Old, detailLimit: 25}\nschema: {columns: {Status: {presence: required, constraints: {notNull: true, maxLength: 12}}, Legacy: {presence: optional}}}")
     before = json.dumps(contract)
-    merged, preview = tables.merge(contract, table[0])
-    assert json.dumps(contract) == before and list(merged["schema"]["columns"]) == ["Id", "Status", "Legacy"]
-    assert preview["preserved_conflicts"] == ["Status.maxLength"] and preview["filled"] == ["Status.notNull"] and "identity" not in merged and merged["schema"]["columns"]["Id"]["presence"] == "optional"
+    merged, preview = tables.merge(contract, table)
+    assert json.dumps(contract) == before and list(merged["schema"]["columns"]) == ["Id", "Status", "Legacy"] and merged["identity"] == {"columns": ["Id"], "unique": True}
+    assert preview == {"added": ["Id"], "existing": ["Status"], "contract_only": ["Legacy"], "filled": ["Id.notNull"], "preserved_conflicts": ["Status.notNull", "Status.maxLength"], "target_changed": True, "identity_initialized": True}
+    target = merged["sqlServer"]
+    assert (target["schema"], target["table"], target["detailLimit"], target["importedSchema"]["sourceKind"], target["importedSchema"]["columns"][1]["sqlType"]) == ("dbo", "Header", 25, "database-knowledge", "varchar(20)")
+    ct.parse(ct.dump(merged))
+    for bad in ("not json", '{"objects": []}', '{"name": "t"}'):
+        with pytest.raises(ValueError):
+            tables.from_json(bad)
     plain = tables.from_struct(T.StructType([T.StructField("k", T.VarcharType(5), False)]), "t", keys=("k",))
     merged, _ = tables.merge(contract, plain)
     assert merged["schema"]["columns"]["k"] == {"presence": "required", "constraints": {"notNull": True, "maxLength": 5}} and merged["identity"]["columns"] == ["k"]
@@ -71,8 +93,9 @@ def test_suite_and_cli(spark, tmp_path, capsys):
     assert cli.main(["test", "--spec", str(tmp_path / "a.csvtest.yaml"), "--csv", str(tmp_path / "b.csv"), "--json"], spark) == 1
     assert cli.main(["compare", str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], spark) == 1
     (tmp_path / "bad.csvtest.yaml").write_text("version: 3")
+    (tmp_path / "none.csvtest.yaml").write_text("version: 1\nschema: {columns: {a: {presence: optional}}}")
     runs = suite.run_suite(spark, str(tmp_path))
-    assert suite.rollup(runs) == {"valid": False, "runs": 2, "passed": 1, "failed": 1, "targets": 1}
+    assert suite.rollup(runs) == {"valid": False, "runs": 3, "passed": 1, "failed": 2, "targets": 1} and any("no targets" in (r.error or "") for r in runs)
     assert "<table>" in suite.as_html(runs) and "PASS" in suite.as_text(runs)
     capsys.readouterr()
 

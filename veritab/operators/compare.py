@@ -1,4 +1,8 @@
-"""Comparison of two tables, as bags of rows or by key. Each mode shuffles both sides together once; details are lazy DataFrames."""
+"""Comparison of two tables, as bags of rows or by key. Details are lazy DataFrames over one shuffle of both sides; a summary writes what that gives, once for rows
+and once for keys, and reads everything else from it.
+
+Of CSV files, records whose cells are all blank are left out, and one with more or fewer cells than the header stops the comparison.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.canonical import comparison_value
-from veritab.functions.text import any_of, canonical
-from veritab.operators.number import numbered
+from veritab.functions.text import BLANKS, any_of, canonical
+from veritab.operators.number import numbered, written
 from veritab.sources.records import Records
 
 DIFFERENCES = ("added", "removed", "changed", "unchanged", "changed_cells", "schema_changes", "duplicate_row_count_differences", "duplicate_keys_left", "duplicate_keys_right")
@@ -90,7 +94,7 @@ class Comparison:
         self.context = [self.columns.index(c) for c in options.context]
         self.business = [i for i, c in enumerate(self.columns) if c not in options.keys]
         self.sides = [self._side(r) for r in (left, right)]
-        self._check_values()
+        self._check_rows((left, right))
 
     def _side(self, records: Records) -> DataFrame:
         o, cells, bad = self.options, [], []
@@ -101,15 +105,23 @@ class Comparison:
             if kind:
                 bad.append(F.when(failed, F.lit(i)))
         first = F.coalesce(*bad) if bad else F.lit(None).cast("int")
-        return records.frame.select(records.rec.alias("rec"), *cells, first.alias("bad"))
-
-    def _check_values(self) -> None:
-        """A value that cannot be normalised stops the comparison, left side first, with its column and data record but not the value."""
-        if not (self.options.dates or self.options.decimals):
-            return
-        for side in self.sides:
-            found = side.where("bad is not null").agg(F.min(F.struct("rec", "bad")).alias("b")).first()["b"]
-            if found:
+        rows, ragged = records.frame, F.lit(None).cast("int")
+        if records.exact:
+            rows = rows.where(F.exists("fields", lambda x: x.rlike(f"[^{BLANKS}]")))
+            ragged = F.when(F.col("n_fields") != len(records.header), F.col("n_fields"))
+        return rows.select(records.rec.alias("rec"), *cells, first.alias("bad"), ragged.alias("ragged"))
+
+    def _check_rows(self, records: tuple[Records, Records]) -> None:
+        """A ragged record stops the comparison, then a value that cannot be normalised, left side first, with its column and data record but not the value."""
+        for side, source, name in zip(self.sides, records, ("Left", "Right")):
+            if not (source.exact or self.options.dates or self.options.decimals):
+                continue
+            first = side.agg(*(F.min(F.when(F.col(c).isNotNull(), F.struct("rec", c))).alias(c) for c in ("ragged", "bad"))).first()
+            if found := first["ragged"]:
+                record = side.where(F.col("rec") <= found["rec"]).count()
+                said = f"{name} CSV could not be parsed: CSV row {record + 1} has {found['ragged']} cells; expected {len(source.header)}."
+                raise ComparisonError("CSV_PARSE", said, None, record)
+            if found := first["bad"]:
                 column = self.columns[found["bad"]]
                 kind = "Decimal" if column in self.options.decimals else "Date"
                 record = side.where(F.col("rec") <= found["rec"]).count()
@@ -120,24 +132,39 @@ class Comparison:
 
     @cached_property
     def both(self) -> DataFrame:
-        return self.sides[0].withColumn("side", F.lit(0)).unionByName(self.sides[1].withColumn("side", F.lit(1))).drop("bad")
+        return self.sides[0].withColumn("side", F.lit(0)).unionByName(self.sides[1].withColumn("side", F.lit(1))).drop("bad", "ragged")
 
     @cached_property
     def bag(self) -> DataFrame:
-        """Distinct rows with their count on each side. Counts are added before the shuffle, so frequent rows cost one row a task."""
-        sums = [F.count_if(F.col("side") == s).alias(n) for s, n in ((0, "lc"), (1, "rc"))]
-        return self.both.groupBy(*self.values()).agg(*sums)
+        """Distinct rows with their count on each side, and each side's first record. Counts are added before the shuffle, so frequent rows cost one row a task."""
+        return self.both.groupBy(*self.values()).agg(*self._counts(), *(F.min(F.when(F.col("side") == s, F.col("rec"))).alias(n) for s, n in ((0, "lrec"), (1, "rrec"))))
+
+    @staticmethod
+    def _counts() -> list[Column]:
+        return [F.count_if(F.col("side") == s).alias(n) for s, n in ((0, "lc"), (1, "rc"))]
+
+    def _paired(self, got: DataFrame) -> DataFrame:
+        """Key groups with the business columns in which the first rows of keys that are single on both sides differ."""
+        single = (F.col("lc") == 1) & (F.col("rc") == 1)
+        cells = [F.when(single & ~F.col(f"l.v{i}").eqNullSafe(F.col(f"r.v{i}")), F.lit(i)) for i in self.business]
+        return got.withColumn("changed", F.array_compact(F.array(*cells)) if cells else F.array().cast("array<int>"))
+
+    def _row(self) -> Column:
+        return F.struct(*self.values(self.business)) if self.business else F.struct(F.lit(0).alias("none"))
 
     @cached_property
     def groups(self) -> DataFrame:
         """Keys with their count on each side and each side's first row."""
-        row = F.struct(*self.values(self.business)) if self.business else F.struct(F.lit(0).alias("none"))
-        sums = [F.count_if(F.col("side") == s).alias(n) for s, n in ((0, "lc"), (1, "rc"))]
-        firsts = [F.min_by(row, F.when(F.col("side") == s, F.col("rec"))).alias(n) for s, n in ((0, "l"), (1, "r"))]
-        got = self.both.groupBy(*self.values(self.keys)).agg(*sums, *firsts)
-        paired = (F.col("lc") == 1) & (F.col("rc") == 1)
-        cells = [F.when(paired & ~F.col(f"l.v{i}").eqNullSafe(F.col(f"r.v{i}")), F.lit(i)) for i in self.business]
-        return got.withColumn("changed", F.array_compact(F.array(*cells)) if cells else F.array().cast("array<int>"))
+        firsts = [F.min_by(self._row(), F.when(F.col("side") == s, F.col("rec"))).alias(n) for s, n in ((0, "l"), (1, "r"))]
+        return self._paired(self.both.groupBy(*self.values(self.keys)).agg(*self._counts(), *firsts))
+
+    def keep(self) -> None:
+        """Write the distinct rows, and the key groups made from them: one shuffle of both sides, and one of the distinct rows for keys."""
+        self.bag = written(self.bag)
+        if self.keys:
+            sums = [F.sum(c).alias(c) for c in ("lc", "rc")]
+            firsts = [F.min_by(self._row(), rec).alias(n) for rec, n in (("lrec", "l"), ("rrec", "r"))]
+            self.groups = written(self._paired(self.bag.groupBy(*self.values(self.keys)).agg(*sums, *firsts)))
 
     @cached_property
     def referenced(self) -> DataFrame:
@@ -186,26 +213,34 @@ class Comparison:
         more = F.col("lc") - F.col("rc") if side == 0 else F.col("rc") - F.col("lc")
         return self.bag.where(more > 0).select(*(c.alias(n) for c, n in zip(self.values(), self.columns)), F.explode(F.sequence(F.lit(1), more.cast("int"))).alias("_n")).drop("_n")
 
-    def keys_only(self, side: int) -> DataFrame:
+    def _groups(self, references: bool) -> tuple[DataFrame, list[Column]]:
+        """The key groups, and the column that names them. References rank all keys, which costs a range sort, so they are left out where nobody asks."""
+        return (self.referenced, [reference("key")]) if references else (self.groups, [])
+
+    def keys_only(self, side: int, references: bool = True) -> DataFrame:
         """Keys of one side alone, with the context of its first row, and how many rows have them."""
         mine, other, row = ("lc", "rc", "l") if side == 0 else ("rc", "lc", "r")
-        rows = self.referenced.where((F.col(mine) > 0) & (F.col(other) == 0))
-        return rows.select(reference("key"), *self._named(self.keys), *self._named(self.context, row), F.col(mine).alias("occurrences"))
+        groups, named = self._groups(references)
+        rows = groups.where((F.col(mine) > 0) & (F.col(other) == 0))
+        return rows.select(*named, *self._named(self.keys), *self._named(self.context, row), F.col(mine).alias("occurrences"))
 
-    def changed_cells(self) -> DataFrame:
+    def changed_cells(self, references: bool = True) -> DataFrame:
         """A row per changed cell; the context is the right side's."""
-        cells = self.referenced.where(F.size("changed") > 0).withColumn("i", F.explode("changed"))
+        groups, named = self._groups(references)
+        cells = groups.where(F.size("changed") > 0).withColumn("i", F.explode("changed"))
         pick = lambda row: F.coalesce(*(F.when(F.col("i") == i, F.col(f"{row}.v{i}")) for i in self.business))
         name = F.element_at(F.array(*map(F.lit, self.columns)), F.col("i") + 1)
-        return cells.select(reference("key"), *self._named(self.keys), *self._named(self.context, "r"), name.alias("changed_column"), pick("l").alias("left_value"), pick("r").alias("right_value"))
+        return cells.select(*named, *self._named(self.keys), *self._named(self.context, "r"), name.alias("changed_column"), pick("l").alias("left_value"), pick("r").alias("right_value"))
 
-    def duplicate_rows(self, side: int) -> DataFrame:
+    def duplicate_rows(self, side: int, references: bool = True) -> DataFrame:
         """Every row of a key that a side has more than once, numbered within the key. Only such keys are joined and sorted."""
         count = "lc" if side == 0 else "rc"
-        keys = self.referenced.where(F.col(count) > 1).select(*(c.alias(f"k{i}") for i, c in zip(self.keys, self.values(self.keys))), "rank", F.col(count).alias("key_count"))
+        groups, named = self._groups(references)
+        rank = [F.col("rank")] if references else []
+        keys = groups.where(F.col(count) > 1).select(*(c.alias(f"k{i}") for i, c in zip(self.keys, self.values(self.keys))), *rank, F.col(count).alias("key_count"))
         met = self.sides[side].join(keys, on=[F.col(f"v{i}").eqNullSafe(F.col(f"k{i}")) for i in self.keys])
-        within = F.row_number().over(Window.partitionBy("rank").orderBy("rec"))
-        return met.select(reference("key"), *self._named(range(len(self.columns))), within.alias("key_occurrence"), "key_count")
+        within = F.row_number().over(Window.partitionBy(*self.values(self.keys)).orderBy("rec"))
+        return met.select(*named, *self._named(range(len(self.columns))), within.alias("key_occurrence"), "key_count")
 
     def _named(self, at, row: str | None = None) -> list[Column]:
         return [F.col(f"{row}.v{i}" if row else f"v{i}").alias(self.columns[i]) for i in at]
@@ -232,19 +267,29 @@ class Comparison:
         return self.sides[side].orderBy(F.encode(canonical(self.values()), "UTF-16BE"), "rec").select(*self._named(range(len(self.columns))))
 
     def summary(self) -> dict:
+        self.keep()
         s = self.schema
         out = {"name": (self.options.name or "").strip() or "CSV comparison", "mode": "keyed" if self.keys else "full-row-multiset", "columns": s, "left": self.side_summary(0), "right": self.side_summary(1)}
         if s["left_only"] or s["right_only"]:
             only = [(f"schema-{side}-{k + 1}", f"schema-{side}-only", 1, c) for side, names in (("left", s["left_only"]), ("right", s["right_only"])) for k, c in enumerate(names)]
             sums = dict.fromkeys(DIFFERENCES, 0) | {"schema_changes": len(only)}
-            return out | {"status": "schema-mismatch", "semantic_equal": False, "exit_code": 3, "differences": sums, "diagnostics": only[: self.options.max_diagnostics]}
+            return out | {"status": "schema-mismatch", "semantic_equal": False, "exit_code": 3, "differences": sums, "diagnostics": only[: self.options.max_diagnostics], "diagnostics_total": len(only)}
         sums = self.difference_sums().first().asDict()
         doubled = sums["duplicate_keys_left"] or sums["duplicate_keys_right"]
         equal = not doubled and not sums["added"] and not sums["removed"] and not sums["changed_cells"]
         status, code = ("duplicate-keys", 4) if doubled else ("equal", 0) if equal else ("different", 1)
         sums["changed_cells_by_column"] = {r[0]: r[1] for r in self.changed_by_column().collect()} if self.keys and self.business else {}
         found = [] if equal else [tuple(r)[1:] for r in self.diagnostics().collect()]
-        return out | {"status": status, "semantic_equal": equal, "exit_code": code, "differences": sums, "diagnostics": found}
+        total = 0 if equal else self.diagnostic_count()
+        return out | {"status": status, "semantic_equal": equal, "exit_code": code, "differences": sums, "diagnostics": found, "diagnostics_total": total}
+
+    def diagnostic_count(self) -> int:
+        """How many diagnostics there are without a bound."""
+        lc, rc = F.col("lc"), F.col("rc")
+        if not self.keys:
+            return self.bag.where(lc != rc).count()
+        kinds = (lc > 1, rc > 1, lc == 0, rc == 0, F.size("changed") > 0)
+        return sum(self.groups.agg(*(F.count_if(k) for k in kinds)).first())
 
 
 def reference_text(what: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import patterns
 from veritab.functions.text import all_of, any_of, length, trim_text
-from veritab.sources.contracts import check_predicate, csv_options
+from veritab.sources.contracts import check_predicate, conditional_rules, csv_options
 
 
 @dataclass
@@ -98,7 +98,7 @@ def rules_of(contract: dict) -> list[Rule]:
     identity = contract.get("identity")
     if identity and identity.get("unique", True):
         out.append(Rule("identity.unique", "identity must be unique", "error", all_of(F.col(f"`{c}`").isNotNull() for c in identity["columns"]), identity["columns"]))
-    for rule in contract.get("conditionalRules", []):
+    for rule in conditional_rules(contract):
         check_predicate(rule["expect"], rule["id"])
         when = predicate(rule["when"], contract) if rule.get("when") else F.lit(True)
         out.append(Rule(rule["id"], rule.get("name", rule["id"]), rule.get("severity", "error"), when & ~predicate(rule["expect"], contract)))
@@ -141,8 +141,8 @@ def rule_summary(df: DataFrame, contract: dict, scope: str | None = None) -> Dat
     return out
 
 
-def rule_samples(df: DataFrame, contract: dict, locator: list[str], scope: str | None = None, limit: int = 100) -> DataFrame:
-    """At most ``limit`` failing rows of each rule, the first by ``locator`` (which must tell rows apart), with all columns.
+def rule_samples(df: DataFrame, contract: dict, locator: list[str], scope: str | None = None, limit: int | None = 100) -> DataFrame:
+    """At most ``limit`` failing rows of each rule, the first by ``locator`` (which must tell rows apart), with all columns; all of them, unranked, if None.
 
     Row rules: a bounded top-n per rule and task precedes the shuffle (Spark's window group limit). Unique rules join with repeated keys.
     """
@@ -160,6 +160,8 @@ def rule_samples(df: DataFrame, contract: dict, locator: list[str], scope: str |
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    place = F.row_number().over(Window.partitionBy("rule_id").orderBy(*(F.col(f"`{c}`") for c in locator)))
     front = [f"`{c}`" for c in locator]
+    if limit is None:
+        return rows.select("rule_id", *front, *(n for n in names if n not in front))
+    place = F.row_number().over(Window.partitionBy("rule_id").orderBy(*(F.col(f"`{c}`") for c in locator)))
     return rows.withColumn("_place", place).where(F.col("_place") <= limit).select("rule_id", *front, *(n for n in names if n not in front))

@@ -145,12 +145,13 @@ def bind(contract: dict, records: Records) -> Bound:
     return out
 
 
-def keyed(bound: Bound, records: Records) -> DataFrame | None:
-    """(target, key, rec, shown) of every uniqueness check, in one pass: one shuffle serves them all."""
-    if not bound.uniques:
+def keyed(bound: Bound | list[Bound], records: Records) -> DataFrame | None:
+    """(target, key, rec, shown) of every uniqueness check, numbered over all the contracts, in one pass: one shuffle serves them all."""
+    uniques = [u for b in (bound if isinstance(bound, list) else [bound]) for u in b.uniques]
+    if not uniques:
         return None
     rows = []
-    for k, (_, key, when, shown) in enumerate(bound.uniques):
+    for k, (_, key, when, shown) in enumerate(uniques):
         row = F.struct(F.lit(k).alias("target"), F.array(*key).alias("key"), (tx.display(shown) if shown is not None else F.lit(None).cast("string")).alias("shown"))
         rows.append(F.when(when, row))
     return records.frame.select(records.rec.alias("rec"), F.explode(F.array_compact(F.array(*rows))).alias("u")).select("rec", "u.*")
@@ -207,14 +208,15 @@ def totals(bounds: list[Bound], records: Records) -> list[dict]:
         cols += [F.count_if(c.condition).alias(f"c{b}_{k}") for k, c in enumerate(bound.checks)]
         cols += [F.count_if(m).alias(f"m{b}_{k}") for k, (_, m) in enumerate(bound.tests)]
     got = records.frame.agg(*cols).first()
-    out = []
+    out, surplus, first = [], {}, 0
+    keys = keyed(bounds, records)
+    if keys is not None:
+        counted = keys.groupBy("target", "key").agg((F.count("*") - 1).alias("n")).groupBy("target").agg(F.sum("n").alias("n"))
+        surplus = {r["target"]: r["n"] for r in counted.collect()}
     for b, bound in enumerate(bounds):
-        keys = keyed(bound, records)
-        surplus = {}
-        if keys is not None:
-            counted = keys.groupBy("target", "key").agg((F.count("*") - 1).alias("n")).groupBy("target").agg(F.sum("n").alias("n"))
-            surplus = {r["target"]: r["n"] for r in counted.collect()}
-        out.append({"rows": got["rows"], "checks": [got[f"c{b}_{k}"] for k in range(len(bound.checks))], "tests": [got[f"m{b}_{k}"] for k in range(len(bound.tests))], "duplicates": sum(surplus.values())})
+        mine = range(first, first + len(bound.uniques))
+        first = mine.stop
+        out.append({"rows": got["rows"], "checks": [got[f"c{b}_{k}"] for k in range(len(bound.checks))], "tests": [got[f"m{b}_{k}"] for k in range(len(bound.tests))], "duplicates": sum(surplus.get(k, 0) for k in mine)})
     return out
 
 

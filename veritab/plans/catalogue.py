@@ -17,6 +17,7 @@ from veritab.operators import rules as ru
 from veritab.operators import validate as va
 from veritab.operators.number import numbered
 from veritab.operators.profile import column_profile
+from veritab.plans.suite import Run, rollup
 from veritab.sources.records import Records, from_frame
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
@@ -112,11 +113,12 @@ _COUNTED = ("region", "nation", "supplier", "customer", "orders")
 
 def count_expectations(spark, d):
     """Each table against 25 to 2,000 rows."""
-    parts = [table(spark, d, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("table"), "rows") for t in _COUNTED]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("code", F.when(F.col("rows") < 25, "ROW_COUNT_MIN").when(F.col("rows") > 2000, "ROW_COUNT_MAX").otherwise("OK"))
+    rows = []
+    for t in _COUNTED:
+        contract = {"version": 1, "schema": {"rowCount": {"min": 25, "max": 2000}, "columns": {}}}
+        (result,) = va.validate(from_frame(table(spark, d, t), F.lit(0)), [contract])
+        rows.append((t, result.row_count, result.issues[0]["code"] if result.issues else "OK"))
+    return spark.createDataFrame(rows, "table string, rows long, code string")
 
 
 def norm_trim_case(spark, d):
@@ -170,7 +172,7 @@ def keyed_diff_summary(spark, d):
 
 
 def keyed_changed_cells(spark, d):
-    return _keyed(spark, d).changed_cells().drop("key_reference")
+    return _keyed(spark, d).changed_cells(references=False)
 
 
 def keyed_references(spark, d):
@@ -178,7 +180,7 @@ def keyed_references(spark, d):
 
 
 def keyed_only(spark, d, side):
-    return _keyed(spark, d, ["o_orderpriority"]).keys_only(side).drop("key_reference")
+    return _keyed(spark, d, ["o_orderpriority"]).keys_only(side, references=False)
 
 
 def changed_by_column(spark, d):
@@ -189,7 +191,7 @@ def duplicate_keys(spark, d):
     names = ["l_orderkey", "l_linenumber", "l_partkey"]
     rec = F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 1_000 + F.col("l_suppkey")
     lines = from_frame(table(spark, d, "lineitem").select(*names, "l_suppkey"), rec, names)
-    return cp.compare(lines, lines, cp.Options(keys=["l_orderkey", "l_linenumber"])).duplicate_rows(0).drop("key_reference")
+    return cp.compare(lines, lines, cp.Options(keys=["l_orderkey", "l_linenumber"])).duplicate_rows(0, references=False)
 
 
 def key_references(spark, d):
@@ -285,8 +287,8 @@ def rule_nested(spark, d):
 
 
 def unique_rule_members(spark, d):
-    contract = contract_of(text={"unique": True}, lang={})
-    return ru.rule_samples(table(spark, d, "documents").select("doc_id", "text", "lang"), contract, ["doc_id"], None, 1 << 30).select("rule_id", "doc_id")
+    contract = contract_of(text={"unique": True}, lang={}, source={}) | {"identity": {"columns": ["lang", "source"]}}
+    return ru.rule_samples(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), contract, ["doc_id"], None, None).select("rule_id", "doc_id")
 
 
 _PROFILED = {"documents": ("doc_id", ["lang", "source", "n_chars"]), "customer": ("c_custkey", ["c_name", "c_nationkey", "c_mktsegment"])}
@@ -320,14 +322,15 @@ _SUITE = (("customer", "c_custkey", "c_mktsegment"), ("orders", "o_orderkey", "o
 
 
 def suite_rollup(spark, d):
-    """Three contracts over three tables: failures of maxLength 9 in one column each, and whether the table passes."""
-    out = None
+    """Three contracts over three tables: failures of maxLength 9 in one column each, whether the table passes, and the roll-up (runs, failed runs)."""
+    runs = []
     for t, key, column in _SUITE:
-        records = from_frame(table(spark, d, t), F.col(key), [column])
-        bound = va.bind(contract_of(**{column: {"maxLength": 9}}), records)
-        part = records.frame.agg(F.count("*").alias("rows"), F.count_if(bound.checks[0].condition).alias("issues")).withColumn("target", F.lit(t))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("valid", F.col("issues") == 0)
+        (result,) = va.validate(from_frame(table(spark, d, t), F.col(key), [column]), [contract_of(**{column: {"maxLength": 9}})])
+        runs.append(Run(f"{t}.csvtest.yaml", t, result))
+    rows = [(r.target, r.result.row_count, r.result.issue_count, r.result.valid) for r in runs]
+    sums = rollup(runs)
+    rows.append(("all", sums["runs"], sums["failed"], sums["valid"]))
+    return spark.createDataFrame(rows, "target string, rows long, issues long, valid boolean")
 
 
 def queries():
@@ -380,9 +383,9 @@ def oracle_sql():
         "rules_summary": _SCOPED + " " + " union all ".join(f"select '{r}' as rule_id, '{s}' as severity, count(*) filter (where {w}) as failure_count from o" for r, s, w in _RULES_SQL),
         "rules_samples": _SCOPED + " select rule_id, o_orderkey, o_orderpriority from (select *, row_number() over (partition by rule_id order by o_orderkey) as k from (" + " union all ".join(f"select '{r}' as rule_id, * from o where {w}" for r, _, w in _RULES_SQL) + ")) where k <= 10",
         "rule_leaf_matrix": f"with e as ({_LEAF_SQL}) select event_id, " + ", ".join(f"coalesce({w}, false) as {op.lower()}" for op, (_, w) in _LEAVES.items()) + " from e",
-        "unique_rule_members": "select 'text.unique' as rule_id, doc_id from (select doc_id, text, count(*) over (partition by text) as n from documents) where n > 1 and text <> ''",
+        "unique_rule_members": "select 'text.unique' as rule_id, doc_id from (select doc_id, text, count(*) over (partition by text) as n from documents) where n > 1 and text <> '' union all select 'identity.unique', doc_id from (select doc_id, lang, source, count(*) over (partition by lang, source) as n from documents) where n > 1 and lang is not null and source is not null",
         **{f"profile_{name}": profile_sql(name) for name in _PROFILED},
         "rule_nested": " union all ".join(f"select '{r}' as rule_id, 'error' as severity, count(*) as failure_count from lineitem where {w}" for r, w in _NESTED_SQL),
         "schema_diff": schema_diff_sql(),
-        "suite_rollup": " union all ".join(f"select '{t}' as target, count(*) as rows, count(*) filter (where length({c}) > 9) as issues, count(*) filter (where length({c}) > 9) = 0 as valid from {t}" for t, _, c in _SUITE),
+        "suite_rollup": "with s as (" + " union all ".join(f"select '{t}' as target, count(*) as rows, count(*) filter (where length({c}) > 9) as issues, count(*) filter (where length({c}) > 9) = 0 as valid from {t}" for t, _, c in _SUITE) + ") select * from s union all select 'all', count(*), count(*) filter (where not valid), bool_and(valid) from s",
     }

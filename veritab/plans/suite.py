@@ -93,11 +93,13 @@ def run_plans(spark: SparkSession, planned: dict, max_issues: int = 1000) -> lis
 
 def run_suite(spark: SparkSession, folder: str, max_issues: int = 1000) -> list[Run]:
     """Every contract under a folder; those that cannot be parsed are error entries."""
-    specs, broken = [], []
+    specs, broken = [], []  # a contract without targets is a finding of its own, not the end of the run
     for path in sorted([*Path(folder).rglob("*.csvtest.yaml"), *Path(folder).rglob("*.csvtest.yml")]):
         try:
             specs.append((str(path), ct.parse(path.read_text("utf-8"))))
+            plans(specs[-1:])
         except Exception as error:  # noqa: BLE001
+            specs = [s for s in specs if s[0] != str(path)]
             broken.append(Run(str(path), "", None, str(error)))
     return broken + run_plans(spark, plans(specs), max_issues)
 

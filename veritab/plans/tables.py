@@ -15,68 +15,92 @@ def from_struct(schema: T.StructType, table: str, namespace: str = "dbo", keys:
     columns = []
     for k, f in enumerate(schema.fields):
         size = getattr(f.dataType, "length", None)
-        columns.append({"name": f.name, "ordinal": k + 1, "sqlType": f.dataType.simpleString(), "family": "varchar" if size else f.dataType.typeName(), "maxLength": size, "nullable": f.nullable, "generated": False})
+        columns.append({"name": f.name, "ordinal": k + 1, "sqlType": f.dataType.simpleString(), "family": "varchar" if size else f.dataType.typeName(), "maxLength": size, "nullable": f.nullable, "identity": False, "computed": False, "generated": False})
     return {"schema": namespace, "table": table, "columns": columns, "keys": list(keys)}
 
 
+def _sized(family: str, c: dict, length) -> tuple[str, int | None]:
+    """The type with its arguments, and the length in characters: exports give bytes, two for each character of the national types."""
+    size = int(length or 0)
+    chars = size // 2 if family in ("nvarchar", "nchar") and size > 0 else size or None
+    if family in _CHARS or family in ("binary", "varbinary"):
+        return f"{family}({'max' if size < 0 else chars})", chars
+    if family in ("decimal", "numeric"):
+        return f"{family}({c.get('precision')},{c.get('scale')})", chars
+    return (f"{family}({c.get('scale')})" if family in ("datetime2", "datetimeoffset", "time") else family), chars
+
+
+def _column(c: dict, type_key: str, length_key: str, identity: bool, computed: bool) -> dict:
+    family = str(c.get(type_key)).lower()
+    sized, chars = _sized(family, c, c.get(length_key))
+    space = c.get("typeSchema")
+    return {
+        "name": str(c["name"]), "ordinal": int(c["ordinal"]), "sqlType": sized if space in (None, "", "sys") else f"{space}.{sized}", "family": family, "maxLength": chars, "precision": c.get("precision"),
+        "scale": c.get("scale"), "nullable": bool(c.get("nullable")), "identity": identity, "computed": computed, "generated": identity or computed,
+    }
+
+
+def _tracked(x: dict) -> dict:
+    """A table model: type names with byte lengths, identity seeds and computed expressions, indexes of which one may be the primary key."""
+    if not isinstance(x, dict) or not isinstance(x.get("schema"), str) or not isinstance(x.get("name"), str) or not isinstance(x.get("columns"), list):
+        raise ValueError("the table model needs schema, name and columns")
+    columns = [_column(c, "typeName", "maxLength", c.get("identitySeed") is not None, c.get("computedExpression") is not None) for c in x["columns"]]
+    keys = next((i.get("columns") or [] for i in x.get("indexes") or [] if i.get("primaryKey") is True), [])
+    keys = sorted((c for c in keys if not c.get("included")), key=lambda c: c.get("keyOrdinal", 0))
+    return {"schema": x["schema"], "table": x["name"], "source": "database-tracking", "columns": columns, "keys": [str(c["name"]) for c in keys]}
+
+
+def _known(x: dict) -> dict:
+    """A table of a snapshot: data types with byte lengths, flags, and primary keys as lists of columns."""
+    columns = [_column(c, "dataType", "length", bool(c.get("identity")), bool(c.get("computed"))) for c in x["columns"]]
+    keys = (x.get("primaryKeys") or [{}])[0].get("columns") or []
+    return {"schema": str(x["schema"]), "table": str(x["name"]), "source": "database-knowledge", "columns": columns, "keys": [str(c["name"]) for c in keys]}
+
+
 def from_json(text: str) -> list[dict]:
-    """Both catalogue exports: one table with columns and indexes, or {objects: [...]} of tables and views, of which views are left out."""
-    data = json.loads(text)
-    items = [x for x in data["objects"] if x.get("type", "table") == "table"] if "objects" in data else [data]
-    out = []
-    for x in items:
-        columns = []
-        for k, c in enumerate(x.get("columns", [])):
-            family = str(c.get("typeName") or c.get("type") or c.get("sqlType") or "").lower().split("(")[0]
-            size = c.get("maxLength")
-            if size is not None and size > 0 and "maxLengthBytes" not in c and c.get("lengthInBytes", "objects" not in data) and family.startswith("n"):
-                size //= 2
-            generated = bool(c.get("identity") or c.get("isIdentity") or c.get("computed") or c.get("isComputed"))
-            sized = f"{family}({'max' if size == -1 else size})" if size is not None and family in _CHARS else family
-            columns.append({"name": c["name"], "ordinal": c.get("ordinal", k + 1), "sqlType": sized, "family": family, "maxLength": size, "nullable": c.get("nullable", c.get("isNullable", True)), "generated": generated})
-        keys = x.get("primaryKeyColumns") or []
-        for index in x.get("indexes", []):
-            if index.get("isPrimaryKey"):
-                parts = [c for c in index["columns"] if not c.get("isIncluded")]
-                keys = [c["name"] for c in sorted(parts, key=lambda c: c.get("keyOrdinal", 0))]
-        out.append({"schema": x.get("schema", "dbo"), "table": x.get("name") or x.get("table"), "columns": sorted(columns, key=lambda c: c["ordinal"]), "keys": list(keys)})
-    return out
+    """Both catalogue exports: one table model, or a snapshot {objects: [...]} of tables and others, which are left out."""
+    try:
+        data = json.loads(text)
+    except ValueError:
+        raise ValueError("a schema source must be one of the supported JSON exports") from None
+    if not isinstance(data, dict) or not isinstance(data.get("objects"), list):
+        return [_tracked(data)]
+    tables = [_known(x) for x in data["objects"] if str(x.get("type")).lower() == "table" and isinstance(x.get("columns"), list)]
+    if not tables:
+        raise ValueError("the snapshot contains no table objects")
+    return tables
 
 
 def merge(contract: dict, table: dict) -> tuple[dict, dict]:
-    """(contract, preview): missing columns and constraints are filled in; what the contract already says stays and is listed as a conflict."""
-    out, declared = copy.deepcopy(contract), contract["schema"]["columns"]
-    preview = {"added": [], "filled": [], "preserved_conflicts": [], "contract_only": []}
+    """(contract, preview): missing columns and constraints are filled in; what the contract already says stays, and is listed where the source says otherwise. The target is the table's."""
+    out, target = copy.deepcopy(contract), contract.get("sqlServer") or {}
+    declared, ordered = out["schema"]["columns"], sorted(table["columns"], key=lambda c: c["ordinal"])
+    named = {c["name"]: c for c in ordered}
+    preview = {
+        "added": [c for c in named if c not in declared], "existing": [c for c in named if c in declared], "contract_only": [c for c in declared if c not in named], "filled": [], "preserved_conflicts": [],
+        "target_changed": (target.get("schema"), target.get("table")) != (table["schema"], table["table"]), "identity_initialized": False,
+    }
     columns = {}
-    for c in table["columns"]:
-        own = copy.deepcopy(declared.get(c["name"]))
-        wanted = {}
-        if not c["nullable"] and not c["generated"]:
-            wanted["notNull"] = True
-        if c["family"] in _CHARS and c["maxLength"] and c["maxLength"] > 0:
-            wanted["maxLength"] = c["maxLength"]
-        if own is None:
-            own = {"presence": "optional" if c["generated"] else "required"} | ({"constraints": wanted} if wanted else {})
-            preview["added"].append(c["name"])
-        else:
-            have = own.setdefault("constraints", {})
-            for key, v in wanted.items():
-                if key not in have:
-                    have[key] = v
-                    preview["filled"].append(f"{c['name']}.{key}")
-                elif have[key] != v:
-                    preview["preserved_conflicts"].append(f"{c['name']}.{key}")
-            if not have:
-                del own["constraints"]
-        columns[c["name"]] = own
-    for name in declared:
-        if name not in columns:
-            columns[name] = copy.deepcopy(declared[name])
-            preview["contract_only"].append(name)
-    out["schema"]["columns"] = columns
-    generated = {c["name"] for c in table["columns"] if c["generated"]}
-    if "identity" not in out and table["keys"] and not generated & set(table["keys"]):
+    for name, c in named.items():
+        own = declared.get(name) or {"presence": "optional" if c["generated"] else "required"}
+        have = own.setdefault("constraints", {})
+        facts = [] if c["generated"] else [("notNull", not c["nullable"])]
+        if c["family"] in _CHARS and c["maxLength"] is not None and c["maxLength"] >= 0:
+            facts.append(("maxLength", c["maxLength"]))
+        for key, fact in facts:
+            if have.get(key) is None:
+                if fact is not False:
+                    have[key] = fact
+                    preview["filled"].append(f"{name}.{key}")
+            elif have[key] != fact:
+                preview["preserved_conflicts"].append(f"{name}.{key}")
+        if not have:
+            del own["constraints"]
+        columns[name] = own
+    out["schema"]["columns"] = columns | {c: declared[c] for c in preview["contract_only"]}
+    kept = [{k: v for k, v in c.items() if k not in ("family", "generated") and v not in (None, False) or k == "nullable"} for c in ordered]
+    out["sqlServer"] = target | {"schema": table["schema"], "table": table["table"], "importedSchema": {"formatVersion": 1, "sourceKind": table.get("source", "spark"), "columns": kept}}
+    if "identity" not in out and table["keys"] and all(k in named and not named[k]["generated"] for k in table["keys"]):
         out["identity"] = {"columns": list(table["keys"]), "unique": True}
-    out["sqlServer"] = {"schema": table["schema"], "table": table["table"]} | (contract.get("sqlServer") or {})
-    out["importedSchema"] = {"formatVersion": 1, "schema": table["schema"], "table": table["table"], "columns": table["columns"], "primaryKeyColumns": table["keys"]}
+        preview["identity_initialized"] = True
     return out, preview

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 
 from veritab.functions.text import trim_text
-from veritab.sources.contracts import csv_options
+from veritab.sources.contracts import conditional_rules, csv_options
 
-SAFE_TYPE = re.compile(r"^(bigint|int|smallint|tinyint|bit|uniqueidentifier|date|datetime2(\([0-7]\))?|n?varchar\((\d+|max)\))$", re.IGNORECASE)
+SAFE_TYPE = re.compile(r"^(bigint|int|smallint|tinyint|bit|uniqueidentifier|date|datetime2(\([0-7]\))?|n?varchar\(([1-9]\d{0,3}|max)\))$", re.IGNORECASE)
 
 
 def name(x: str) -> str:
@@ -91,7 +91,7 @@ def script(contract: dict) -> dict:
     identity = contract.get("identity")
     if identity and identity.get("unique", True):
         rules.append(("identity.unique", "identity: unique", "error", repeated(identity["columns"])))
-    for r in contract.get("conditionalRules", []):
+    for r in conditional_rules(contract):
         rules.append((r["id"], r.get("name", r["id"]), r.get("severity", "error"), f"{tree(r['when']) if r.get('when') else '1 = 1'} AND NOT {tree(r['expect'])}"))
     if contract.get("rowTests"):
         warnings.append("Row tests have no translation.")

@@ -108,7 +108,7 @@ def checked(contract: dict) -> dict:
             raise ContractError("a row test needs an id, select and expect")
         if "count" in test["expect"]:
             _count(test["expect"]["count"], f"test {test['id']}")
-    for rule in contract.get("conditionalRules", []):
+    for rule in conditional_rules(contract):
         _known(rule, "rule", "conditional rule")
         if not ID.match(str(rule.get("id", ""))) or rule.get("severity", "error") not in ("error", "warning"):
             raise ContractError("a conditional rule needs an id, and severity error or warning")
@@ -121,6 +121,11 @@ def checked(contract: dict) -> dict:
     return contract
 
 
+def conditional_rules(contract: dict) -> list[dict]:
+    """Rules stand under sqlServer, or at the top."""
+    return [*contract.get("conditionalRules", []), *(contract.get("sqlServer") or {}).get("conditionalRules", [])]
+
+
 def parse(text: str) -> dict:
     return checked(yaml.load(text, _Loader))
 

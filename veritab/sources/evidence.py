@@ -12,30 +12,69 @@ from veritab.operators.compare import Comparison, column_status
 
 
 def field(x) -> str:
-    return '"' + ("" if x is None else str(x)).replace('"', '""') + '"'
+    return '"' + ("" if x is None else str(x).lower() if isinstance(x, bool) else str(x)).replace('"', '""') + '"'
 
 
 def csv_text(header: list[str], rows) -> str:
     return "".join(",".join(map(field, r)) + "\n" for r in [header, *rows])
 
 
+def _titled(table: DataFrame, *titles: str) -> DataFrame:
+    """The table with its last columns under these titles."""
+    return table.toDF(*table.columns[: -len(titles)], *titles)
+
+
 def details(c: Comparison) -> dict[str, DataFrame]:
     """File name -> table, by mode. All lazy."""
     if c.schema["left_only"] or c.schema["right_only"]:
         out = {}
     elif c.keys:
         out = {
-            "KeysOnlyInLeft": c.keys_only(0), "KeysOnlyInRight": c.keys_only(1), "ChangedRows": c.changed_cells(), "DuplicateKeysLeft": c.duplicate_rows(0),
-            "DuplicateKeysRight": c.duplicate_rows(1), "ColumnChangeSummary": c.changed_by_column(),
+            "KeysOnlyInLeft": _titled(c.keys_only(0, False), "OccurrenceCount"), "KeysOnlyInRight": _titled(c.keys_only(1, False), "OccurrenceCount"),
+            "ChangedRows": _titled(c.changed_cells(False), "ChangedColumn", "LeftValue", "RightValue"), "DuplicateKeysLeft": _titled(c.duplicate_rows(0, False), "KeyOccurrence", "KeyCount"),
+            "DuplicateKeysRight": _titled(c.duplicate_rows(1, False), "KeyOccurrence", "KeyCount"), "ColumnChangeSummary": _titled(c.changed_by_column(), "ColumnName", "ChangedCellCount"),
         }
     else:
         out = {"LeftOnly": c.only(0), "RightOnly": c.only(1)}
     return out | {"NormalizedLeft": c.normalized(0), "NormalizedRight": c.normalized(1)}
 
 
+#: The counts of the evidence file, as name -> place in a summary's differences.
+COUNTS = {
+    "added": "added", "removed": "removed", "changed": "changed", "unchanged": "unchanged", "changedCells": "changed_cells", "schemaChanges": "schema_changes", "duplicateKeysLeft": "duplicate_keys_left",
+    "duplicateKeysRight": "duplicate_keys_right",
+}
+
+
+def _reference(kind: str, name: str) -> str:
+    """The key that a diagnostic's id starts with; other diagnostics have none."""
+    return "-".join(name.split("-")[:2]) if name.startswith("key-") else ""
+
+
+def evidence_rows(summary: dict) -> list[tuple]:
+    """(recordType, name, countOrValue, column, keyReference, diagnosticId) of a summary."""
+    sums = summary["differences"]
+    rows = [("summary", "status", summary["status"], str(summary["semantic_equal"]).lower(), summary["exit_code"], ""), ("summary", "mode", summary["mode"], "", "", "")]
+    rows += [("count", f"{side}Rows", summary[side]["row_count"], "", "", "") for side in ("left", "right")]
+    rows += [("count", name, sums[key], "", "", "") for name, key in COUNTS.items()]
+    return rows + [("diagnostic", kind, n, column[0] if column else "", _reference(kind, name), name) for name, kind, n, *column in summary["diagnostics"]]
+
+
 def summary_markdown(summary: dict) -> str:
-    lines = [f"# {summary['name']}", "", f"Status: {summary['status']} (exit code {summary['exit_code']})", "", "| Difference | Count |", "| --- | --- |"]
-    return "\n".join(lines + [f"| {k} | {v} |" for k, v in summary["differences"].items()]) + "\n"
+    columns, d = summary["columns"], summary["differences"]
+    listed = lambda names: ", ".join(names) or "(none)"
+    facts = {"Status": f"**{summary['status']}**", "Mode": summary["mode"], "Semantically equal": str(summary["semantic_equal"]).lower()}
+    facts |= {"Left rows": summary["left"]["row_count"], "Right rows": summary["right"]["row_count"], "Comparable columns": len(columns["comparable"])}
+    schema = {"Columns only in left": listed(columns["left_only"]), "Columns only in right": listed(columns["right_only"]), "Shared columns reordered": str(columns["reordered"]).lower()}
+    sums = [d["added"], d["removed"], d["changed"], d["unchanged"], d["changed_cells"], f"{d['duplicate_keys_left']}/{d['duplicate_keys_right']}"]
+    lines = [f"# {summary['name']}", "", *(f"- {k}: {v}" for k, v in facts.items()), "", "## Results", ""]
+    lines += ["| Added | Removed | Changed keys | Unchanged | Changed cells | Duplicate keys (left/right) |", "|" + " ---: |" * 6, "| " + " | ".join(map(str, sums)) + " |"]
+    lines += ["", "## Schema", "", *(f"- {k}: {v}" for k, v in schema.items()), "", "## Diagnostics", ""]
+    lines += [f"Diagnostics are aggregate and redacted. Included {len(summary['diagnostics'])} of {summary['diagnostics_total']}.", "Detailed review CSV rows are complete."]
+    if summary["diagnostics"]:
+        lines += ["", "| Kind | Count | Column | Reference |", "| --- | ---: | --- | --- |"]
+        lines += [f"| {kind} | {n} | {column[0] if column else ''} | {_reference(kind, name)} |" for name, kind, n, *column in summary["diagnostics"]]
+    return "\n".join(lines) + "\n"
 
 
 def write_evidence(c: Comparison, folder: str) -> list[str]:
@@ -44,7 +83,7 @@ def write_evidence(c: Comparison, folder: str) -> list[str]:
     status = csv_text(["Status", "ColumnName", "LeftOrdinal", "RightOrdinal", "Comparable", "Ignored"], column_status(*c.headers, c.options.ignored))
     files = {
         "ComparisonSummary.json": json.dumps(summary, indent=2) + "\n", "ComparisonSummary.md": summary_markdown(summary), "ColumnSummary.csv": status,
-        "ComparisonEvidence.csv": csv_text(["Id", "Kind", "Count"], [d[:3] for d in summary["diagnostics"]]),
+        "ComparisonEvidence.csv": csv_text(["recordType", "name", "countOrValue", "column", "keyReference", "diagnosticId"], evidence_rows(summary)),
     }
     os.makedirs(folder, exist_ok=True)
     for name, content in files.items():
