@@ -27,10 +27,16 @@ def decimal(c: Column) -> Column:
     """Exact decimal text: no commas, exponent, plus sign, or needless zeros; -0 is 0. Texts that are so already pass through."""
 
     def parts(plain: Column) -> Column:
-        return F.struct(*(_part(plain, _DECIMAL, k).alias(n) for k, n in enumerate(("sign", "whole", "part", "power"), 1)), plain.rlike(_DECIMAL).alias("fits"))
+        """Cut at fixed marks, which is right where the pattern fits; only that one test is a pattern."""
+        after = lambda x, mark: F.when(F.contains(x, F.lit(mark)), F.substring_index(x, mark, -1)).otherwise("")
+        small = F.lower(plain)
+        number = F.substring_index(small, "e", 1)
+        digits = F.translate(number, "+-", "")
+        sign = F.when(F.startswith(number, F.lit("-")), "-").otherwise("")
+        return F.struct(sign.alias("sign"), F.substring_index(digits, ".", 1).alias("whole"), after(digits, ".").alias("part"), after(small, "e").alias("power"), plain.rlike(_DECIMAL).alias("fits"))
 
     def placed(p: Column) -> Column:
-        exponent = F.when(p["power"] == "", F.lit(0)).when(F.length(F.regexp_replace(p["power"], "^[+-]?0*", "")) <= 6, p["power"].try_cast("int"))
+        exponent = F.when(p["power"] == "", F.lit(0)).when(F.length(F.ltrim(F.translate(p["power"], "+-", ""), F.lit("0"))) <= 6, p["power"].try_cast("int"))
         digits = F.concat(p["whole"], p["part"])
         fits = p["fits"] & (digits != "") & (F.abs(exponent) <= LARGEST_EXPONENT)
         return F.when(fits, F.struct(p["sign"].alias("sign"), digits.alias("digits"), (F.length(p["whole"]) + exponent).cast("int").alias("point")))
@@ -39,16 +45,24 @@ def decimal(c: Column) -> Column:
         point, digits = p["point"], p["digits"]
         padded = F.concat(F.repeat(F.lit("0"), F.greatest(-point, F.lit(0))), digits, F.repeat(F.lit("0"), F.greatest(point - F.length(digits), F.lit(0))))
         at = F.greatest(point, F.lit(0))
-        left = F.regexp_replace(F.left(padded, at), "^0+", "")
-        right = F.regexp_replace(F.substring(padded, at + 1, F.length(padded)), r"0+\z", "")
+        left = F.ltrim(F.left(padded, at), F.lit("0"))
+        right = F.rtrim(F.substring(padded, at + 1, F.length(padded)), F.lit("0"))
         return F.struct(p["sign"].alias("sign"), F.when(left == "", "0").otherwise(left).alias("left"), right.alias("right"))
 
     def written(p: Column) -> Column:
         number = F.when(p["right"] == "", p["left"]).otherwise(F.concat(p["left"], F.lit("."), p["right"]))
         return F.when((p["sign"] == "-") & (number != "0"), F.concat(F.lit("-"), number)).otherwise(number)
 
-    full = bound(bound(bound(bound(F.regexp_replace(c, ",", ""), parts), placed), lambda p: F.when(p.isNotNull(), cut(p))), lambda p: F.when(p.isNotNull(), written(p)))
-    return F.when(c.rlike(r"^(?:0|-?[1-9][0-9]*|-?(?:0|[1-9][0-9]*)\.[0-9]*[1-9])\z"), c).otherwise(full)
+    bare = F.replace(c, F.lit(","), F.lit(""))
+    full = bound(bound(bound(bound(bare, parts), placed), lambda p: F.when(p.isNotNull(), cut(p))), lambda p: F.when(p.isNotNull(), written(p)))
+    # Without an exponent no point moves: zeros and signs are cut off, in code that is compiled.
+    digits = F.translate(bare, "+-", "")
+    left = F.ltrim(F.substring_index(digits, ".", 1), F.lit("0"))
+    right = F.when(F.contains(digits, F.lit(".")), F.rtrim(F.substring_index(digits, ".", -1), F.lit("0"))).otherwise("")
+    plain = F.concat(F.when(left == "", "0").otherwise(left), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
+    plain = F.when(F.startswith(bare, F.lit("-")) & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain)
+    simple = c.rlike(r"^(?:0|-?[1-9][0-9]*|-?(?:0|[1-9][0-9]*)\.[0-9]*[1-9])\z")
+    return F.when(simple, c).when(bare.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)\z"), plain).when(bare.rlike(_DECIMAL), full)
 
 
 def _fields(c: Column, pattern: str, names: str) -> Column:
