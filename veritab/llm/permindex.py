@@ -4,7 +4,7 @@ A vector is represented by the order of its nearest pivots. It is posted in the
 opens the files of its first ``PROBED`` ones, ranks what it finds there by footrule distance between the orders, and reranks the
 first of them by exact cosine: from each file a fixed number, more from its nearest pivots'. A vector that meets a query in several files
 is ranked in one of them only, the query's nearest. Pivots grow with the square root of the rows, so that a query meets a share of the rows that
-shrinks as they grow, and scores about ``2 * sum(RERANKED)`` of them whatever their number.
+shrinks as they grow, and scores at most ``quotas(PROBED).sum()`` of them, some 900, whatever their number.
 Files are split in chunks of at most ``CHUNK`` postings, and only the queries of a file with more than ``BLOCK`` in blocks, so a pivot near a third of all
 rows bounds no task; a task reports a query's k best, never its candidates. Queries that find fewer than k candidates open all files, which is exact.
 
