@@ -100,6 +100,28 @@ def test_suite_and_cli(spark, tmp_path, capsys):
     capsys.readouterr()
 
 
+def test_reports_are_grouped_by_target(spark, tmp_path, capsys):
+    (tmp_path / "a.csv").write_text("Id;Name\n1;Ada\n2;\n")
+    args = ["init", "--csv", str(tmp_path / "a.csv"), "--out", str(tmp_path / "a.csvtest.yaml"), "--delimiter", ";"]
+    assert cli.main([*args, "--no-inference", "--no-sample-tests"], spark) == 0
+    made = ct.parse((tmp_path / "a.csvtest.yaml").read_text())
+    assert made["targets"] == [{"path": "./a.csv"}] and made["csv"]["delimiter"] == ";" and not made.get("rowTests") and made["schema"]["columns"] == {"Id": {"presence": "required"}, "Name": {"presence": "required"}}
+    strict = ct.parse("version: 1\ncsv: {delimiter: ';'}\nschema: {columns: {Name: {presence: required, constraints: {notNull: true}}, Id: {presence: required}}}")
+    (tmp_path / "b.csv").write_text("Id;Name\n1;Ada\n")
+    runs = suite.run_plans(spark, {str(tmp_path / "a.csv"): [("loose", made), ("strict", strict)]})
+    one = suite.as_json(runs)
+    assert (one["csv"], one["valid"], [r["result"]["valid"] for r in one["runs"]]) == (str(tmp_path / "a.csv"), False, [True, False])
+    assert one["performance"]["bytesRead"] == 17 and one["performance"]["passes"] == 1
+    lines = suite.as_text(runs).split("\n")
+    assert lines[:4] == [f"FAIL {tmp_path / 'a.csv'}", "  PASS loose — 2 rows, 2 columns, 0 issues", "  FAIL strict — 2 rows, 2 columns, 1 issues", "    " + suite.issue_line(runs[1].result.issues[0])]
+    assert lines[4].startswith("  Performance: ") and "17 B read, 1 pass(es)" in lines[4] and len(lines) == 5
+    more = runs + suite.run_plans(spark, {str(tmp_path / "b.csv"): [("strict", strict)]})
+    assert [f["valid"] for f in suite.as_json(more)["files"]] == [False, True] and suite.as_text(more).endswith("FAIL 2 CSV targets.")
+    assert [suite.show_bytes(n) for n in (0, 1023, 1536, 5 << 40)] == ["0 B", "1023 B", "1.5 KB", "5.0 TB"]
+    assert [suite.show_duration(n) for n in (12.4, 2500, 59_000, 61_000)] == ["12 ms", "2.5 sec", "59 sec", "1 min 1 sec"]
+    capsys.readouterr()
+
+
 def test_benchmark_rows(spark):
     rows = benchmark_table(spark, 21, 7)
     assert rows.columns[-1] == "Column007" and rows.first()[0] == "000000000001" and rows.where("OptionalComment <> ''").count() == 3

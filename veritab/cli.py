@@ -14,7 +14,7 @@ from veritab.operators.profile import outline
 from veritab.plans import suite, tables, tsql
 from veritab.sources import contracts as ct
 from veritab.sources.evidence import write_evidence
-from veritab.sources.records import from_csv
+from veritab.sources.records import from_csv, head_csv
 
 
 def _save(path: str, text: str, force: bool) -> None:
@@ -24,6 +24,15 @@ def _save(path: str, text: str, force: bool) -> None:
         f.write(text)
 
 
+def _relative(path: str, folder: str) -> str:
+    """A path from a folder with ``/``; one on another drive stays whole."""
+    try:
+        found = os.path.relpath(path, folder).replace(os.sep, "/")
+    except ValueError:
+        return os.path.abspath(path)
+    return found if found.startswith(".") else f"./{found}"
+
+
 def _read(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -43,6 +52,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     i.add_argument("--csv", required=True)
     i.add_argument("--out", required=True)
     i.add_argument("--sample-rows", type=int, default=10_000)
+    i.add_argument("--delimiter", default=",")
+    i.add_argument("--no-inference", action="store_true")
+    i.add_argument("--no-sample-tests", action="store_true")
     i.add_argument("--force", action="store_true")
     q = sub.add_parser("sql")
     q.add_argument("--spec", required=True)
@@ -60,6 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         c.add_argument(f"--{option}", action="append", default=[])
     for option in ("trim", "case-fold", "blank-null"):
         c.add_argument(f"--{option}", action="store_true")
+    c.add_argument("--delimiter", default=",")
     c.add_argument("--evidence")
     a = p.parse_args(argv)
     try:
@@ -89,11 +102,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 _save(a.html, suite.as_html(runs), True)
             return 2 if any(r.error for r in runs) else 0 if suite.rollup(runs)["valid"] else 1
         if a.command == "init":
-            contract = outline(from_csv(spark, a.csv), a.sample_rows)
-            contract["targets"] = [{"path": os.path.relpath(a.csv, os.path.dirname(os.path.abspath(a.out)))}]
+            contract = outline(head_csv(spark, a.csv, a.sample_rows, a.delimiter), a.sample_rows, not a.no_inference, not a.no_sample_tests)
+            contract["csv"]["delimiter"] = a.delimiter
+            place = _relative(a.csv, os.path.dirname(os.path.abspath(a.out)))
+            contract["targets"] = [{"path": place}]
             _save(a.out, "# Review before use.\n" + ct.dump(contract), a.force)
             return 0
-        made = compare(from_csv(spark, a.left), from_csv(spark, a.right), Options(keys=a.keys, context=a.context, ignored=a.ignored, trim=a.trim, case_fold=a.case_fold, blank_null=a.blank_null, dates=a.dates, decimals=a.decimals))
+        made = compare(from_csv(spark, a.left, a.delimiter), from_csv(spark, a.right, a.delimiter), Options(keys=a.keys, context=a.context, ignored=a.ignored, trim=a.trim, case_fold=a.case_fold, blank_null=a.blank_null, dates=a.dates, decimals=a.decimals))
         summary = made.summary()
         if a.evidence:
             write_evidence(made, a.evidence)

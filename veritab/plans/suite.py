@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import urllib.request
 import uuid
 from contextlib import contextmanager
@@ -26,6 +27,24 @@ class Run:
     target: str
     result: Result | None
     error: str | None = None
+    seconds: float = 0.0
+    size: int = 0
+
+
+def show_bytes(n: float) -> str:
+    units = ("B", "KB", "MB", "GB", "TB")
+    k = 0
+    while n >= 1024 and k < len(units) - 1:
+        n, k = n / 1024, k + 1
+    return f"{n:.{1 if k else 0}f} {units[k]}"
+
+
+def show_duration(ms: float) -> str:
+    if ms < 1000:
+        return f"{max(0, round(ms))} ms"
+    if ms < 60_000:
+        return f"{ms / 1000:.{1 if ms < 10_000 else 0}f} sec"
+    return f"{int(ms // 60_000)} min {round(ms % 60_000 / 1000)} sec"
 
 
 def resolve(spec: str, target: dict) -> str:
@@ -49,15 +68,18 @@ def plans(specs: list[tuple[str, dict]], explicit: str | None = None) -> dict[st
     return out
 
 
+def _file(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 @contextmanager
 def local(spark: SparkSession, target: str):
     """The target's path; a URL is copied in chunks to a new folder that driver and executors share, which goes afterwards."""
     if not target.startswith(("http://", "https://")):
         yield target
         return
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{shared_dir(spark)}/veritab-{uuid.uuid4().hex}/target.csv")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, files = _file(spark, f"{shared_dir(spark)}/veritab-{uuid.uuid4().hex}/target.csv")
     try:
         with urllib.request.urlopen(target) as got:  # raises for other answers than 2xx
             out = files.create(path)
@@ -82,10 +104,14 @@ def run_plans(spark: SparkSession, planned: dict, max_issues: int = 1000) -> lis
             o = ct.csv_options(contract)
             groups.setdefault((o["delimiter"], o["quote"], o["allowBlankRows"]), []).append((spec, contract))
         for (delimiter, quote, blank), group in groups.items():
+            began = time.monotonic()
             try:
                 with local(spark, target) as path:
                     results = validate(from_csv(spark, path, delimiter, quote, blank), [c for _, c in group], max_issues)
-                out += [Run(s, target, r) for (s, _), r in zip(group, results)]
+                    at, files = _file(spark, path)
+                    size = files.getFileStatus(at).getLen()
+                took = time.monotonic() - began
+                out += [Run(s, target, r, None, took, size) for (s, _), r in zip(group, results)]
             except Exception as error:  # noqa: BLE001  one target's failure is a finding of the suite
                 out += [Run(s, target, None, str(error).split("\n")[0]) for s, _ in group]
     return sorted(out, key=lambda r: (r.spec, r.target))
@@ -109,8 +135,29 @@ def rollup(runs: list[Run]) -> dict:
     return {"valid": bool(runs) and len(good) == len(runs), "runs": len(runs), "passed": len(good), "failed": len(runs) - len(good), "targets": len({r.target for r in runs if r.target})}
 
 
+def _targets(runs: list[Run]) -> dict[str, list[Run]]:
+    out: dict[str, list[Run]] = {}
+    for r in runs:
+        out.setdefault(r.target, []).append(r)
+    return out
+
+
+def _passed(runs: list[Run]) -> bool:
+    return bool(runs) and all(r.result and r.result.valid for r in runs)
+
+
+def _timing(runs: list[Run]) -> dict:
+    """What reading one target took: contracts that are read alike share a pass."""
+    passes = {(r.seconds, r.size) for r in runs if r.result}
+    seconds, rows = sum(t for t, _ in passes), max((r.result.row_count for r in runs if r.result), default=0)
+    return {"durationMs": round(seconds * 1000), "rowsPerSecond": round(rows / seconds) if seconds else 0, "bytesRead": sum(b for _, b in passes), "passes": len(passes)}
+
+
 def as_json(runs: list[Run]) -> dict:
-    return {"valid": bool(runs) and all(r.result and r.result.valid for r in runs), "files": [{"spec": r.spec, "target": r.target, "error": r.error} | (asdict(r.result) if r.result else {}) for r in runs]}
+    """One object for a single target, else {valid, files}."""
+    entry = lambda r: {"spec": r.spec, "error": r.error, "result": asdict(r.result) if r.result else None}
+    files = [{"csv": t, "valid": _passed(own), "runs": [entry(r) for r in own], "performance": _timing(own)} for t, own in _targets(runs).items()]
+    return files[0] if len(files) == 1 else {"valid": _passed(runs), "files": files}
 
 
 def issue_line(i: dict) -> str:
@@ -119,11 +166,21 @@ def issue_line(i: dict) -> str:
 
 
 def as_text(runs: list[Run]) -> str:
-    lines = []
-    for r in runs:
-        ok = r.result and r.result.valid
-        lines.append(f"{'PASS' if ok else 'FAIL'} {r.spec} -> {r.target}" + (f" ({r.result.row_count} rows, {r.result.issue_count} issues)" if r.result else f": {r.error}"))
-        lines += [f"  {issue_line(i)}" for i in (r.result.issues if r.result else [])]
+    lines, word = [], lambda good: "PASS" if good else "FAIL"
+    targets = _targets(runs)
+    for target, own in targets.items():
+        lines.append(f"{word(_passed(own))} {target}")
+        for r in own:
+            if not r.result:
+                lines.append(f"  FAIL {r.spec} — {r.error}")
+                continue
+            shown = f"; showing first {len(r.result.issues)}" if r.result.issue_count > len(r.result.issues) else ""
+            lines.append(f"  {word(r.result.valid)} {r.spec} — {r.result.row_count:,} rows, {r.result.column_count} columns, {r.result.issue_count:,} issues{shown}")
+            lines += [f"    {issue_line(i)}" for i in r.result.issues]
+        p = _timing(own)
+        lines.append(f"  Performance: {show_duration(p['durationMs'])}, {p['rowsPerSecond']:,} rows/s, {show_bytes(p['bytesRead'])} read, {p['passes']} pass(es)")
+    if len(targets) > 1:
+        lines.append(f"{word(_passed(runs))} {len(targets)} CSV targets.")
     return "\n".join(lines)
 
 

@@ -11,6 +11,8 @@ SAFE_TYPE = re.compile(r"^(bigint|int|smallint|tinyint|bit|uniqueidentifier|date
 
 
 def name(x: str) -> str:
+    if not x.strip():
+        raise ValueError("an identifier cannot be blank")
     return "[" + x.replace("]", "]]") + "]"
 
 

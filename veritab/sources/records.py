@@ -1,21 +1,26 @@
 """Records: a header on the driver and rows of (rec, n_fields, cells) on the cluster.
 
 ``from_frame`` takes any DataFrame and keeps its columns, so that Parquet reads only those that are checked. ``from_csv`` keeps exact record
-numbers, widths, line ends and quotes; a file is one task, of at most 2 GB (Spark's limit for a binary cell). ``native_csv`` is
-Spark's own reader for larger files: it loses record widths and numbers records in file order.
+numbers, widths, line ends and quotes, and splits files of any size. ``native_csv`` is Spark's own reader, for folders of files: it loses
+record widths and numbers records in file order.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.functions.text import BLANKS
+
 RECORDS = "rec long, n_fields int, fields array<string>"
 _SENTINEL = "\ue000end of file"
 
@@ -55,7 +60,7 @@ def parse_records(text: str, delimiter: str = ",", quote: str = '"', allow_blank
             raise RecordError("Unterminated quoted field at end of CSV.")
         number += 1
         row = row or [""]
-        if not allow_blank and len(row) == 1 and not row[0].strip():
+        if not allow_blank and _is_blank(row):
             continue
         yield number, row
         given += 1
@@ -65,36 +70,203 @@ def parse_records(text: str, delimiter: str = ",", quote: str = '"', allow_blank
         raise RecordError("Unterminated quoted field at end of CSV.")
 
 
-def _rows(delimiter: str, quote: str, allow_blank: bool, encoding_errors: str):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shapes(delimiter: str, quote: str) -> tuple[re.Pattern, re.Pattern]:
+    """A quoted cell from its opening quote, and what is left of one that is open; group 1 is empty where it stays open."""
+    d, q = re.escape(delimiter), re.escape(quote)
+    body = f"(?:[^{q}]+|{q}{q})*+({q}?)"
+    return re.compile(f"(?:\\A|(?<=[{d}\r\n])){q}{body}"), re.compile(body)
+
+
+def _walk(text: str, inside: bool, cell: re.Pattern, rest: re.Pattern) -> tuple[int, bool]:
+    """How many records end in whole lines that begin inside or outside a quoted cell, and whether one is open at their end."""
+    if inside:
+        found = rest.match(text)
+        if not found[1]:
+            return 0, True
+        text = "x" + text[found.end() :]
+    still_open = False
+
+    def stand_in(found: re.Match) -> str:
+        nonlocal still_open
+        still_open = not found[1]
+        return "x"
+
+    bare = cell.sub(stand_in, text)
+    return bare.count("\n") + bare.count("\r") - bare.count("\r\n"), still_open
+
+
+def _texts(parts: Iterator[pa.RecordBatch], encoding_errors: str) -> Iterator[tuple[int, str]]:
+    """(start of the file's split, some of its lines)"""
+    begun = False
+    for part in parts:
+        for split, lines in part.to_pandas().groupby("split", sort=False)["value"]:
+            text = (b"\n".join(lines) + b"\n").decode("utf-8", encoding_errors)
+            yield split, text.removeprefix("\ufeff") if split == 0 and not begun else text
+            begun = True
+
+
+def _counts(delimiter: str, quote: str, encoding_errors: str):
+    """For each split, if it begins outside and if it begins inside a quoted cell: the records that end in it, and whether a cell is open at its end."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = _shapes(delimiter, quote)
+        for split, texts in groupby(_texts(parts, encoding_errors), itemgetter(0)):
+            ended, state = [0, 0], [False, True]
+            for _, text in texts:
+                for k in (0, 1):
+                    n, state[k] = _walk(text, state[k], *shapes)
+                    ended[k] += n
+            yield pa.RecordBatch.from_pydict({"split": [split], "n0": [ended[0]], "open0": [state[0]], "n1": [ended[1]], "open1": [state[1]]})
+
+    return run
+
+
+def _is_blank(row: list[str]) -> bool:
+    return len(row) == 1 and re.fullmatch(f"[{BLANKS}]*", row[0]) is not None
+
+
+def _batch(records: list[tuple[int, list[str]]]) -> pa.RecordBatch:
+    widths = [len(r) for _, r in records]
+    fields = pa.ListArray.from_arrays(pa.array([0, *accumulate(widths)], pa.int32()), pa.array(list(chain.from_iterable(r for _, r in records)), pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([n for n, _ in records], pa.int64()), pa.array(widths, pa.int32()), fields], ["rec", "n_fields", "fields"])
+
+
+def _rows(starts: dict[int, tuple[bool, int]], delimiter: str, quote: str, allow_blank: bool, encoding_errors: str, pieces: bool):
+    """The records that lie within a split or, with ``pieces``, the lines of those that do not."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 31)
+        for split, texts in groupby(_texts(parts, encoding_errors), itemgetter(0)):
+            begun, number = starts[split]
+            held: list = []
+
+            def lines(texts=texts, begun=begun, held=held):
+                mark = quote if begun else ""  # an open cell goes on
+                for _, text in texts:
+                    for line in io.StringIO(text, newline=""):
+                        if pieces:
+                            held.append(line)
+                        yield mark + line
+                        mark = ""
+                yield _SENTINEL
+
+            found = []
+            for row in csv.reader(lines(), delimiter=delimiter, quotechar=quote, doublequote=True):
+                if row == [_SENTINEL]:
+                    break
+                row = row or [""]
+                cut = begun or _SENTINEL in row[-1]
+                if pieces and cut:
+                    yield pa.RecordBatch.from_pydict({"rec": [number], "split": [split], "piece": ["".join(held)]})
+                elif not pieces and not cut and (allow_blank or not _is_blank(row)):
+                    found.append((number, row))
+                    if len(found) == 20_000:
+                        yield _batch(found)
+                        found = []
+                held.clear()
+                begun, number = False, number + 1
+            if found:
+                yield _batch(found)
+
+    return run
+
+
+def _joined(delimiter: str, quote: str, allow_blank: bool):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 31)
         for part in parts:
-            for content in part["content"]:
-                held: list[tuple[int, list[str]]] = []
-                for k, record in enumerate(parse_records(content.decode("utf-8", encoding_errors), delimiter, quote, allow_blank)):
-                    if k:
-                        held.append(record)
-                    if len(held) == 20_000:
-                        yield pd.DataFrame({"rec": [n for n, _ in held], "n_fields": [len(r) for _, r in held], "fields": [r for _, r in held]})
-                        held = []
-                if held:
-                    yield pd.DataFrame({"rec": [n for n, _ in held], "n_fields": [len(r) for _, r in held], "fields": [r for _, r in held]})
+            read = [(n, next(csv.reader(io.StringIO(t, newline=""), delimiter=delimiter, quotechar=quote, doublequote=True))) for n, t in zip(part["rec"].to_pylist(), part["text"].to_pylist())]
+            yield _batch([(n, r) for n, r in read if allow_blank or not _is_blank(r)])
 
     return run
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of one file, each with the start of the split that it begins in."""
+    lines = spark.read.text(path, lineSep="\n")
+    if len(lines.inputFiles()) > 1:
+        raise RecordError(f"{path} is more than one file.")
+    return lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_block_start").alias("split"))
+
+
+def _cell(i: int) -> Column:
+    return F.coalesce(F.try_element_at("fields", F.lit(i + 1)), F.lit(""))
+
+
+def _plain(lines: DataFrame, sizes: list, delimiter: str, allow_blank: bool) -> DataFrame:
+    """Records of a file in which each line is one, without Python: a line's number is the count of lines in the splits before it and its place in its own."""
+    starts, number = [], 1
+    for split, n, first in sizes:
+        starts.append((split, number - first))
+        number += n
+    base = lines.sparkSession.createDataFrame(starts, "split long, base long")
+    numbered = lines.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(base), "split", "left")  # 16 bytes a split
+    rec = F.coalesce(F.col("base") + F.col("place"), F.raise_error(F.lit("the file's splits changed while it was read")).cast("long"))
+    text = F.make_valid_utf8(F.col("value").cast("string"))
+    text = F.when(text.endswith("\r"), text.substr(F.lit(1), F.char_length(text) - 1)).otherwise(text)
+    rows = numbered.select(rec.alias("rec"), text.alias("text")).select("rec", F.split(F.when(F.col("rec") == 1, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")), re.escape(delimiter), -1).alias("fields"))
+    rows = rows.select("rec", F.size("fields").alias("n_fields"), "fields")
+    return rows if allow_blank else rows.where((F.col("n_fields") > 1) | F.element_at("fields", 1).rlike(f"[^{BLANKS}]"))
+
+
 def from_csv(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', allow_blank: bool = False, encoding_errors: str = "replace") -> Records:
-    """One file with exact records. The header is read by a task that stops after it."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """One file of any size with exact records; each task reads one split of it.
 
-    def first(parts):
-        for part in parts:
-            for content in part["content"]:
-                for _, row in parse_records(content.decode("utf-8", encoding_errors), delimiter, quote, allow_blank, most=1):
-                    yield pd.DataFrame({"header": [row]})
+    A first pass counts the lines of each split and looks for quotes and bare carriage returns. Without any, each line is a record, and Python sees none of them. Else a second
+    pass counts the records of each split, once for each way it may begin (outside or inside a quoted cell). The driver, which sees a few numbers a split, then
+    knows how each one begins and which number its first record has. The last pass parses; only records that splits cut are shuffled, to be put together.
+    """
+    lines = _lines(spark, path)
+    value = F.col("value").cast("string")
+    odd = F.contains(value, F.lit(quote)) | (F.contains(value, F.lit("\r")) & value.rlike("\r(?!\\z)"))
+    if encoding_errors != "replace":
+        odd |= ~F.is_valid_utf8(value)
+    seen = lines.withColumn("place", F.monotonically_increasing_id()).groupBy("split").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.bool_or(odd).alias("odd"))
+    sizes = sorted(seen.collect())
+    if not any(odd for *_, odd in sizes):
+        frame = _plain(lines, [(split, n, first) for split, n, first, _ in sizes], delimiter, allow_blank)
+        return _headed(frame, frame.limit(1).collect())
+    starts, inside, number = {}, False, 1
+    for row in sorted(lines.mapInArrow(_counts(delimiter, quote, encoding_errors), "split long, n0 long, open0 boolean, n1 long, open1 boolean").collect()):
+        starts[row["split"]] = (inside, number)
+        number += row["n1"] if inside else row["n0"]
+        inside = row["open1"] if inside else row["open0"]
+    if inside:
+        raise RecordError("Unterminated quoted field at end of CSV.")
+    rows = lambda schema, pieces: lines.mapInArrow(_rows(starts, delimiter, quote, allow_blank, encoding_errors, pieces), schema)
+    frame = rows(RECORDS, False)
+    first = frame.limit(1).collect()  # splits come in the file's order
+    if any(begun for begun, _ in starts.values()):
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "piece"))), lambda x: x["piece"]), "")
+        cut = rows("rec long, split long, piece string", True).groupBy("rec").agg(text.alias("text")).mapInArrow(_joined(delimiter, quote, allow_blank), RECORDS)
+        first = sorted(first + cut.orderBy("rec").limit(1).collect())[:1]
+        frame = frame.unionByName(cut)
+    return _headed(frame, first)
 
-    got = files.mapInPandas(first, "header array<string>").limit(1).collect()
-    frame = files.mapInPandas(_rows(delimiter, quote, allow_blank, encoding_errors), RECORDS)
-    return Records(list(got[0][0]) if got else [], frame, lambda i: F.coalesce(F.try_element_at("fields", F.lit(i + 1)), F.lit("")), True)
+
+def _headed(frame: DataFrame, first: list) -> Records:
+    if not first:
+        return Records([], frame, _cell, True)
+    return Records(list(first[0]["fields"]), frame.where(F.col("rec") > first[0]["rec"]), _cell, True)
+
+
+def head_csv(spark: SparkSession, path: str, most: int, delimiter: str = ",", quote: str = '"') -> Records:
+    """The header and the first ``most`` records, from as many of the file's first lines as hold them; the rest of the file is not read."""
+    lines, want = _lines(spark, path), most + 1
+    while True:
+        got = lines.limit(want).collect()
+        text = "".join(text for _, text in _texts([pa.RecordBatch.from_pylist([r.asDict() for r in got])], "replace")) if got else ""
+        found = []
+        try:
+            found += parse_records(text, delimiter, quote, most=most + 1)
+        except RecordError:
+            if len(got) < want:
+                raise
+        if len(got) < want or len(found) > most:
+            break
+        want *= 2
+    rows = [(n, len(r), r) for n, r in found[1:]]
+    return Records(found[0][1] if found else [], spark.createDataFrame(rows, RECORDS), _cell, True)
 
 
 def native_csv(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"') -> Records:
