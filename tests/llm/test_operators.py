@@ -34,7 +34,7 @@ def test_media_query(spark, docs):
     want, got = brute.media(docs), run(spark, "op1_media_sequences")
     assert len(got) == len(docs)
     for r in got.itertuples():
-        assert want[r.doc_id] == (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) and r.caption == f"document of {r.n_bytes} bytes"
+        assert want[r.doc_id] == (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) and r.caption == f"document of {r.n_bytes} bytes" and r.position == 1
     same = docs.merge(got, on="doc_id").groupby("text")["feature"].nunique()
     assert (same == 1).all()
 

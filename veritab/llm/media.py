@@ -232,11 +232,11 @@ def resolve(sequences: DataFrame, index: DataFrame, sequence: str = "sequence")
 
 
 def op1_media_sequences(spark, sf_dir):
-    """Every document as a page with one figure whose image holds the whole text."""
+    """Every document as a page: a paragraph, a figure whose image holds the whole text, a paragraph. The figure's position and caption come with it."""
     store = write_store(documents(spark, sf_dir).select("doc_id", "text"))
     index = store_index(store)
     caption = F.concat(F.lit("document of "), F.col("n_bytes").cast("string"), F.lit(" bytes"))
-    page = F.concat(F.lit('<article><figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure></article>"))
+    page = F.concat(F.lit('<article><p>Before</p><figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure><p>After</p></article>"))
     pages = store.select("doc_id", "n_bytes", interleaved(page).alias("sequence"))
     found = resolve(pages, index).where("kind = 'media'")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
