@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
+from veritab.llm.align import op12_tokenizer_alignment
 from veritab.llm.credentials import credentials_sql, op6_credentials
 from veritab.llm.langid import op5_language
 from veritab.llm.media import op1_media_sequences
@@ -14,7 +15,7 @@ from veritab.llm.urlfilter import op9_url_filter, url_filter_sql
 
 
 def queries():
-    found = (op1_media_sequences, op2_mix_sources, op3_simhash, op4_quality, op5_language, op6_credentials, op7_permutation_index, op8_pack_windows, op9_url_filter, op10_token_files, op13_importance_resampling)
+    found = (op1_media_sequences, op2_mix_sources, op3_simhash, op4_quality, op5_language, op6_credentials, op7_permutation_index, op8_pack_windows, op9_url_filter, op10_token_files, op12_tokenizer_alignment, op13_importance_resampling)
     return {f.__name__: f for f in found}
 
 

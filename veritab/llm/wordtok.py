@@ -95,6 +95,18 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_heads(self, pieces: list[str]) -> list[list[int]]:
+        """Pieces that no blank comes before."""
+        return self.encode(pieces)
+
+    def encode_run(self, run: str) -> list[int]:
+        """Pieces with a blank before each."""
+        return self.encode([run])[0]
+
+    def encode_led(self, texts: list[str]) -> list[list[int]]:
+        """Texts with a blank put before each."""
+        return self.encode([" " + x for x in texts])
+
     def _learn(self) -> None:
         """Encode the new pieces: those with a blank in long runs, cut where the bytes of the ids reach a piece's end."""
         new, self.number.new = self.number.new, []
@@ -102,7 +114,7 @@ class WordTokenizer:
         numbers = np.arange(first, len(self.number))
         later = np.fromiter((p[0] != _BARE and p != _LINE for p in new), bool, len(new))
         ids, sizes = [], np.zeros(len(new), np.int64)
-        heads = self.encode([p.lstrip(_BARE) for p, blank in zip(new, later.tolist()) if not blank])
+        heads = self.encode_heads([p.lstrip(_BARE) for p, blank in zip(new, later.tolist()) if not blank])
         order = [*np.flatnonzero(~later).tolist()]
         for k, got in zip(order, heads):
             ids.append(np.array(got, np.uint32))
@@ -113,7 +125,7 @@ class WordTokenizer:
         ends = np.cumsum(width)
         cuts = [0, *(np.flatnonzero(np.diff(ends // RUN)) + 1).tolist(), len(pieces)] if len(pieces) else [0]
         for s, e in zip(cuts[:-1], cuts[1:]):
-            got = np.array(self.encode(["".join(pieces[s:e])])[0], np.uint32)
+            got = np.array(self.encode_run("".join(pieces[s:e])), np.uint32)
             reach = np.cumsum(self.bytes_of[got])
             last = np.searchsorted(reach, np.cumsum(width[s:e]), side="left") + 1
             ids.append(got)
@@ -128,12 +140,12 @@ class WordTokenizer:
         self.size[numbers[place]] = at
         self.used += total
 
-    def ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after another, each text followed by ``end``; and the number of each text's."""
+    def ids(self, texts: list[str], end: int | None = None, led: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, each text followed by ``end``; and the number of each text's. With ``led``, a blank is put before each text."""
         if len(self.number) > TABLE:
             self._shrink()
         given = pa.array(texts, pa.string())
-        marked = pc.binary_join_element_wise(pa.scalar(_BARE), given, pa.scalar(""))
+        marked = given if led else pc.binary_join_element_wise(pa.scalar(_BARE), given, pa.scalar(""))
         marked = pc.replace_substring(marked, _LINE, f" {_LINE} {_BARE}")
         marked = pc.replace_substring_regex(marked, _MARK, _APART)
         parts = pc.split_pattern(marked, " ")
@@ -152,7 +164,7 @@ class WordTokenizer:
         last = np.cumsum(n)
         flat = self.flat[np.arange(last[-1] if len(last) else 0) + np.repeat(self.start[numbers][indices] - last + n, n)]
         ends = np.concatenate([[0], last])[first].tolist()
-        whole = dict(zip(np.flatnonzero(odd).tolist(), self.encode([texts[k] for k in np.flatnonzero(odd)])))
+        whole = dict(zip(np.flatnonzero(odd).tolist(), (self.encode_led if led else self.encode)([texts[k] for k in np.flatnonzero(odd)])))
         out, sizes = [], np.zeros(len(texts), np.int64)
         tail = [] if end is None else [np.array([end], np.uint32)]
         for k in range(len(texts)):
