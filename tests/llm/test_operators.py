@@ -377,9 +377,9 @@ def test_range_coder(block):
         assert (rangecoder.decode(data) == ids).all()
         if block == 1000 and len(ids) == 999:
             assert len(data) < len(ids)
-    for at in range(0, len(data), 7):
+    for bit in range(8 * len(data)):
         damaged = bytearray(data)
-        damaged[at] ^= 1 << at % 8
+        damaged[bit // 8] ^= 1 << bit % 8
         with pytest.raises(ValueError):
             rangecoder.decode(bytes(damaged))
     with pytest.raises(ValueError):

@@ -8,7 +8,7 @@ their bits are stored plainly beside the coder's words.
 
 A block starts from the same state as every other, so blocks code and decode in any order; numpy runs many blocks in step. Outcomes depend on
 outcomes alone, so a block's are decoded first; the ids follow in a second pass, which looks up only the models that were right.
-Layout: magic, kind, steps, ids, bytes and the CRC-32 of the ids (little-endian), and the CRC-32 of these; then for ids below 2^16, or for each half of wider ones,
+Layout: magic, kind, steps, ids, bytes and the CRC-32 of the ids (little-endian), and the CRC-32 of these and all that follows; then for ids below 2^16, or for each half of wider ones,
 the number of words, the 32-bit words, unforeseen ids (16 bits) and table places (8 bits). A block that would not shrink is kept raw.
 """
 
@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"VTR3"
+MAGIC = b"VTR4"
 HEAD, CHECK = struct.Struct("<4sBIIII"), struct.Struct("<I")
 RAW, CODED, WIDE = 0, 1, 2
 #: Ids between two updates of the mixture.
@@ -136,9 +136,15 @@ def _encode_lanes(ids: np.ndarray) -> list[bytes]:
                 ready, to = low.take(done), at.take(done)
                 words[to], at[done] = ready >> _U(32), to + n
                 low[done], wide[done] = ready << _U(32), wide.take(done) << _U(32)
-    for k in (32, 0):
-        words[at] = low >> _U(k) & _LOW32
-        at += n
+    # one word more: the range holds a number whose lower half is 0, which needs no word
+    more = low + _LOW32
+    back = at.compress(more < low)
+    while len(back):
+        back -= n
+        words[back] += np.uint32(1)
+        back = back.compress(words.take(back) == 0)
+    words[at] = more >> _U(32)
+    at += n
     by_lane, rows = np.ascontiguousarray(words.reshape(-1, n).T).astype("<u4"), (at // n).tolist()
     fresh, found = (np.flatnonzero(outcomes == k) for k in (3, 2))
     after3, after2 = (np.searchsorted(x, np.arange(1, n + 1) * steps).tolist() for x in (fresh, found))
@@ -152,7 +158,7 @@ def _encode_lanes(ids: np.ndarray) -> list[bytes]:
 
 def _decode_outcomes(words: list[np.ndarray], steps: int) -> np.ndarray:
     """The lanes' words -> outcomes, lanes x steps."""
-    n, most = len(words), max(2, *map(len, words))
+    n, most = len(words), max(map(len, words)) + 1  # with the word of zeros at the end
     by_lane = np.zeros((n, most), np.uint32)
     for k, own in enumerate(words):
         by_lane[k, : len(own)] = own
@@ -191,7 +197,7 @@ def _decode_lanes(payloads: list[bytes], steps: int) -> np.ndarray:
     n, words = len(payloads), []
     for p in payloads:
         size = struct.unpack_from("<I", p)[0] if len(p) >= 4 else -1
-        if size < 2 or 4 + 4 * size > len(p):
+        if size < 1 or 4 + 4 * size > len(p):
             raise ValueError("a block does not hold its words")
         words.append(np.frombuffer(p, "<u4", size, 4))
     outcomes = _decode_outcomes(words, steps)
@@ -255,7 +261,7 @@ def encode(ids: np.ndarray, block: int) -> bytes:
             if len(payload) >= (2 if kind == CODED else 4) * len(own):
                 mine, payload = RAW, raw
             head = HEAD.pack(MAGIC, mine, steps, len(own), len(payload), zlib.crc32(raw))
-            out += [head, CHECK.pack(zlib.crc32(head)), payload]
+            out += [head, CHECK.pack(zlib.crc32(payload, zlib.crc32(head))), payload]
     return b"".join(out)
 
 
@@ -264,11 +270,13 @@ def decode(data: bytes) -> np.ndarray:
     blocks, at = [], 0
     while at < len(data):
         head, start = data[at : at + HEAD.size], at + HEAD.size + CHECK.size
-        if len(data) < start or data[at + HEAD.size : start] != CHECK.pack(zlib.crc32(head)):
-            raise ValueError("a block's head is cut short or damaged")
+        if len(data) < start:
+            raise ValueError("a block's head is cut short")
         magic, kind, steps, n, size, crc = HEAD.unpack(head)
         if magic != MAGIC or len(data) < start + size or (kind == WIDE and size < 4):
             raise ValueError("not a block of this format, or cut short")
+        if data[at + HEAD.size : start] != CHECK.pack(zlib.crc32(data[start : start + size], zlib.crc32(head))):
+            raise ValueError("a block is damaged")
         blocks.append((kind, steps, n, crc, data[start : start + size]))
         at = start + size
     lanes: dict[int, list[tuple[int, int, bytes]]] = {}
