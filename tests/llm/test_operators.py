@@ -377,7 +377,7 @@ def test_range_coder(block):
         assert (rangecoder.decode(data) == ids).all()
         if block == 1000 and len(ids) == 999:
             assert len(data) < len(ids)
-    for bit in range(8 * len(data)):
+    for bit in range(0, 8 * len(data), 1 if len(data) < 4000 else 61):
         damaged = bytearray(data)
         damaged[bit // 8] ^= 1 << bit % 8
         with pytest.raises(ValueError):
