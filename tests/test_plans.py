@@ -103,7 +103,7 @@ def test_suite_and_cli(spark, tmp_path, capsys):
 def test_reports_are_grouped_by_target(spark, tmp_path, capsys):
     (tmp_path / "a.csv").write_text("Id;Name\n1;Ada\n2;\n")
     args = ["init", "--csv", str(tmp_path / "a.csv"), "--out", str(tmp_path / "a.csvtest.yaml"), "--delimiter", ";"]
-    assert cli.main([*args, "--no-inference", "--no-sample-tests"], spark) == 0
+    assert cli.main([*args, "--no-sample-tests"], spark) == 0
     made = ct.parse((tmp_path / "a.csvtest.yaml").read_text())
     assert made["targets"] == [{"path": "./a.csv"}] and made["csv"]["delimiter"] == ";" and not made.get("rowTests") and made["schema"]["columns"] == {"Id": {"presence": "required"}, "Name": {"presence": "required"}}
     strict = ct.parse("version: 1\ncsv: {delimiter: ';'}\nschema: {columns: {Name: {presence: required, constraints: {notNull: true}}, Id: {presence: required}}}")

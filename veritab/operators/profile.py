@@ -30,7 +30,7 @@ def longest(records: Records) -> dict[str, int]:
     return {h: got[f"m{i}"] or 0 for i, h in enumerate(records.header)}
 
 
-def outline(records: Records, sample_rows: int = 10_000, infer: bool = True, sample_tests: bool = True) -> dict:
+def outline(records: Records, sample_rows: int = 10_000, infer: bool = False, sample_tests: bool = True) -> dict:
     """A starter contract: presence, and with ``infer`` not-null, unique and longest length of the sample; with ``sample_tests`` tests of the first record."""
     if not records.header:
         raise ValueError("Cannot create a contract from an empty CSV.")

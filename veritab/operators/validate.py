@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import patterns
@@ -146,7 +146,7 @@ def bind(contract: dict, records: Records) -> Bound:
 
 
 def keyed(bound: Bound | list[Bound], records: Records) -> DataFrame | None:
-    """(target, key, rec, shown) of every uniqueness check, numbered over all the contracts, in one pass: one shuffle serves them all."""
+    """(target, key, rec, shown) of every uniqueness check, numbered over all the contracts, in one pass: one shuffle serves them all. Keys of several files have the file too."""
     uniques = [u for b in (bound if isinstance(bound, list) else [bound]) for u in b.uniques]
     if not uniques:
         return None
@@ -154,7 +154,13 @@ def keyed(bound: Bound | list[Bound], records: Records) -> DataFrame | None:
     for k, (_, key, when, shown) in enumerate(uniques):
         row = F.struct(F.lit(k).alias("target"), F.array(*key).alias("key"), (tx.display(shown) if shown is not None else F.lit(None).cast("string")).alias("shown"))
         rows.append(F.when(when, row))
-    return records.frame.select(records.rec.alias("rec"), F.explode(F.array_compact(F.array(*rows))).alias("u")).select("rec", "u.*")
+    by = _by(records)
+    return records.frame.select(*by, records.rec.alias("rec"), F.explode(F.array_compact(F.array(*rows))).alias("u")).select(*by, "rec", "u.*")
+
+
+def _by(records: Records) -> list[str]:
+    """What tells the records of several files apart."""
+    return ["file"] if "file" in records.frame.columns and records.files else []
 
 
 def duplicates(bound: Bound, records: Records) -> DataFrame | None:
@@ -162,17 +168,20 @@ def duplicates(bound: Bound, records: Records) -> DataFrame | None:
     keys = keyed(bound, records)
     if keys is None:
         return None
-    twice = keys.groupBy("target", "key").agg(F.count("*").alias("n"), F.min("rec").alias("first")).where("n > 1").select(F.col("target").alias("t"), F.col("key").alias("k"), "first")
-    return keys.join(twice, (F.col("target") == F.col("t")) & (F.col("key") == F.col("k"))).where("rec > first").select("target", "rec", "first", "shown")
+    by = _by(records)
+    names = [*by, "target", "key"]
+    twice = keys.groupBy(*names).agg(F.count("*").alias("n"), F.min("rec").alias("first")).where("n > 1").select(*(F.col(c).alias(f"_{c}") for c in names), "first")
+    return keys.join(twice, tx.all_of(F.col(c) == F.col(f"_{c}") for c in names)).where("rec > first").select(*by, "target", "rec", "first", "shown")
 
 
 def cell_issues(bound: Bound, records: Records) -> DataFrame:
     """An issue row for each check that a record fails, with ``phase`` and ``ord`` for the order."""
     hits = [F.when(c.condition, c.issue(k, records.rec)) for k, c in enumerate(bound.checks)]
     if not hits:
-        return records.frame.sparkSession.createDataFrame([], f"phase int, ord int, {ISSUE}")
+        return records.frame.sparkSession.createDataFrame([], f"{'file int, ' if _by(records) else ''}phase int, ord int, {ISSUE}")
     failing = records.frame.where(tx.any_of(c.condition for c in bound.checks))
-    return failing.select(F.explode(F.array_compact(F.array(*hits))).alias("i")).select(F.lit(1).alias("phase"), "i.*")
+    by = _by(records)
+    return failing.select(*by, F.explode(F.array_compact(F.array(*hits))).alias("i")).select(*by, F.lit(1).alias("phase"), "i.*")
 
 
 def duplicate_issues(bound: Bound, records: Records) -> DataFrame | None:
@@ -185,7 +194,7 @@ def duplicate_issues(bound: Bound, records: Records) -> DataFrame | None:
     said = F.when(name.isNull(), F.concat(F.lit("Composite identity duplicates CSV record "), text, F.lit("."))).otherwise(F.concat(F.lit('"'), name, F.lit('" duplicates CSV record '), text, F.lit(".")))
     none = F.lit(None).cast("string")
     return found.select(
-        F.lit(2).alias("phase"), F.col("target").alias("ord"), F.when(name.isNull(), "row").otherwise("cell").alias("level"),
+        *_by(records), F.lit(2).alias("phase"), F.col("target").alias("ord"), F.when(name.isNull(), "row").otherwise("cell").alias("level"),
         F.when(name.isNull(), "IDENTITY_NOT_UNIQUE").otherwise("NOT_UNIQUE").alias("code"), said.alias("message"), name.alias("column"), F.col("rec").alias("row"), none.alias("test_id"), F.col("shown").alias("actual"), none.alias("expected"),
     )
 
@@ -201,47 +210,74 @@ class Result:
     issues: list[dict]
 
 
-def totals(bounds: list[Bound], records: Records) -> list[dict]:
-    """One scan for all contracts: rows, failures of each check, matches of each test; one shuffle for surplus records of keys."""
-    cols = [F.count("*").alias("rows")]
+def totals(bounds: list[Bound], records: Records) -> list[list[dict]]:
+    """One scan for all contracts: rows, failures of each check, matches of each test; one shuffle for surplus records of keys. A list for each file, or one."""
+    cols, by = [F.count("*").alias("rows")], _by(records)
     for b, bound in enumerate(bounds):
         cols += [F.count_if(c.condition).alias(f"c{b}_{k}") for k, c in enumerate(bound.checks)]
         cols += [F.count_if(m).alias(f"m{b}_{k}") for k, (_, m) in enumerate(bound.tests)]
-    got = records.frame.agg(*cols).first()
-    out, surplus, first = [], {}, 0
+    file_of = lambda row: row["file"] if by else 0
+    got = {file_of(r): r.asDict() for r in records.frame.groupBy(*by).agg(*cols).collect()}
+    surplus: dict[tuple[int, int], int] = {}
     keys = keyed(bounds, records)
     if keys is not None:
-        counted = keys.groupBy("target", "key").agg((F.count("*") - 1).alias("n")).groupBy("target").agg(F.sum("n").alias("n"))
-        surplus = {r["target"]: r["n"] for r in counted.collect()}
-    for b, bound in enumerate(bounds):
-        mine = range(first, first + len(bound.uniques))
-        first = mine.stop
-        out.append({"rows": got["rows"], "checks": [got[f"c{b}_{k}"] for k in range(len(bound.checks))], "tests": [got[f"m{b}_{k}"] for k in range(len(bound.tests))], "duplicates": sum(surplus.get(k, 0) for k in mine)})
+        counted = keys.groupBy(*by, "target", "key").agg((F.count("*") - 1).alias("n")).groupBy(*by, "target").agg(F.sum("n").alias("n"))
+        surplus = {(file_of(r), r["target"]): r["n"] for r in counted.collect()}
+    out = []
+    for file in range(len(records.files) if by else 1):
+        row, own, first = got.get(file, {}), [], 0
+        for b, bound in enumerate(bounds):
+            mine = range(first, first + len(bound.uniques))
+            first = mine.stop
+            sums = {"rows": row.get("rows", 0), "checks": [row.get(f"c{b}_{k}", 0) for k in range(len(bound.checks))], "tests": [row.get(f"m{b}_{k}", 0) for k in range(len(bound.tests))]}
+            own.append(sums | {"duplicates": sum(surplus.get((file, k), 0) for k in mine)})
+        out.append(own)
     return out
 
 
-def validate(records: Records, contracts: list[dict], max_issues: int = 1000) -> list[Result]:
-    """A result per contract, all from one scan of the records; issues are fetched only for contracts that have any, ``max_issues`` at most."""
+def _first_issues(rows, bound: Bound, records: Records, room: dict[int, int]) -> dict[int, list[dict]]:
+    """The first issues of each file, in one job; a file with many is cut in every task before its rest is sorted."""
+    order, by = ("row", "ord") if rows is cell_issues else ("ord", "row"), _by(records)
+    found = rows(bound, records)
+    if not by:
+        return {0: [r.asDict() for r in found.orderBy(*order).limit(room[0]).select(*_FIELDS).collect()]}
+    found = found.where(F.col("file").isin(list(room))).withColumn("_k", F.row_number().over(Window.partitionBy("file").orderBy(*order))).where(F.col("_k") <= max(room.values()))
+    out: dict[int, list[dict]] = {}
+    for r in sorted(found.select("file", "_k", *_FIELDS).collect(), key=lambda r: (r["file"], r["_k"])):
+        if r["_k"] <= room[r["file"]]:
+            out.setdefault(r["file"], []).append({c: r[c] for c in _FIELDS})
+    return out
+
+
+def validate_files(records: Records, contracts: list[dict], max_issues: int = 1000) -> list[list[Result]]:
+    """For each file of the records (or once, where they are of one source) a result per contract, all from one scan. Issues are fetched, ``max_issues`` at most a result, only
+    for contracts that have any: one job for those of all files."""
     bounds = [bind(c, records) for c in contracts]
-    out = []
-    for bound, sums in zip(bounds, totals(bounds, records)):
+    by_file = totals(bounds, records)
+    out: list[list[Result]] = [[] for _ in by_file]
+    for b, bound in enumerate(bounds):
         schema = bound.contract["schema"]
         first = list(bound.structure)
         if not records.header:
             first.append(issue("file", "CSV_EMPTY", "CSV is empty."))
-        last = count_issues("row_count", sums["rows"], schema.get("rowCount"), "file")
-        for (test, _), n in zip(bound.tests, sums["tests"]):
-            last += count_issues("match_count", n, test["expect"].get("count") or {"exact": 1}, "row", test["id"])
-        on_rows = sum(sums["checks"])
-        total = len(first) + on_rows + sums["duplicates"] + len(last)
-        kept, room = first[:max_issues], max_issues - len(first)
-        for n, rows in ((on_rows, cell_issues), (sums["duplicates"], duplicate_issues)):
-            if n and room > 0:
-                order = ("row", "ord") if rows is cell_issues else ("ord", "row")
-                got = rows(bound, records).orderBy(*order).limit(room).select(*_FIELDS).collect()
-                kept += [r.asDict() for r in got]
-                room -= len(got)
-        kept += last[: max(0, room)]
-        tests = len(schema["columns"]) + len(bound.contract.get("rowTests", []))
-        out.append(Result(total == 0, sums["rows"], len(records.header), tests, total, total > len(kept), kept))
+        kept = [first[:max_issues] for _ in by_file]
+        for name, rows in (("checks", cell_issues), ("duplicates", duplicate_issues)):
+            room = {k: max_issues - len(kept[k]) for k, sums in enumerate(by_file) if (sum(sums[b]["checks"]) if name == "checks" else sums[b]["duplicates"]) and len(kept[k]) < max_issues}
+            if room:
+                for k, found in _first_issues(rows, bound, records, room).items():
+                    kept[k] += found
+        for k, sums in enumerate(by_file):
+            last = count_issues("row_count", sums[b]["rows"], schema.get("rowCount"), "file")
+            for (test, _), n in zip(bound.tests, sums[b]["tests"]):
+                last += count_issues("match_count", n, test["expect"].get("count") or {"exact": 1}, "row", test["id"])
+            total = len(first) + sum(sums[b]["checks"]) + sums[b]["duplicates"] + len(last)
+            kept[k] += last[: max(0, max_issues - len(kept[k]))]
+            tests = len(schema["columns"]) + len(bound.contract.get("rowTests", []))
+            out[k].append(Result(total == 0, sums[b]["rows"], len(records.header), tests, total, total > len(kept[k]), kept[k]))
     return out
+
+
+def validate(records: Records, contracts: list[dict], max_issues: int = 1000) -> list[Result]:
+    """A result per contract, all from one scan of the records of one source."""
+    (results,) = validate_files(records, contracts, max_issues)
+    return results

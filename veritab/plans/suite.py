@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 import time
+import urllib.parse
 import urllib.request
 import uuid
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from veritab.operators.number import shared_dir
-from veritab.operators.validate import Result, validate
+from veritab.operators.validate import Result, validate_files
 from veritab.sources import contracts as ct
-from veritab.sources.records import from_csv
+from veritab.sources.records import open_files
 
+#: Folders of a workspace that hold no contracts of its own.
+LEFT_OUT = {"node_modules", ".git", "dist", ".vscode-test", ".vscode-test-web"}
 #: Bytes of a URL target that the driver holds at once.
 CHUNK = 1 << 20
 
@@ -50,15 +54,50 @@ def show_duration(ms: float) -> str:
 def resolve(spec: str, target: dict) -> str:
     """A configured target's address; paths are relative to the contract."""
     if "url" in target:
+        if not is_url(target["url"]):
+            raise ValueError(f"{spec}: a target's URL must use HTTP or HTTPS, not {target['url']}")
         return target["url"]
+    if not (target.get("path") or "").strip():
+        raise ValueError(f"{spec}: a target must have a path or a URL")
     return os.path.normpath(os.path.join(os.path.dirname(os.path.abspath(spec)), target["path"]))
 
 
-def plans(specs: list[tuple[str, dict]], explicit: str | None = None) -> dict[str, list[tuple[str, dict]]]:
-    """target -> the contracts that check it, each once. An explicit target takes the place of the configured ones."""
+def is_url(target: str) -> bool:
+    return re.match("https?://", target, re.IGNORECASE) is not None
+
+
+def located(target: str) -> str:
+    """One spelling of a target: a URL with its scheme and host in lower case, an absolute path; names of other file systems stay."""
+    if is_url(target):
+        parts = urllib.parse.urlsplit(target)
+        return parts._replace(scheme=parts.scheme.lower(), netloc=parts.netloc.lower(), path=parts.path or "/").geturl()
+    return target if re.match("[a-zA-Z][a-zA-Z0-9+.-]+:/", target) else os.path.abspath(target)
+
+
+def within_folders(spark: SparkSession, targets: list[str]) -> list[str]:
+    """Targets, with a folder's CSV files in its place."""
+    out = []
+    for target in targets:
+        path, files = (None, None) if is_url(target) else _file(spark, target)
+        if path is not None and files.exists(path) and files.getFileStatus(path).isDirectory():
+            base = target.rstrip("/")
+            out += sorted(f"{base}/{name}" for name in (s.getPath().getName() for s in files.listStatus(path)) if name.lower().endswith(".csv"))
+        else:
+            out.append(target)
+    return out
+
+
+def plans(specs: list[tuple[str, dict]], explicit: list[str] | str | None = None) -> dict[str, list[tuple[str, dict]]]:
+    """target -> the contracts that check it, each once. Explicit targets take the place of the configured ones, for every contract."""
+    given = [explicit] if isinstance(explicit, str) else list(explicit or [])
     out: dict[str, list[tuple[str, dict]]] = {}
+    if given:
+        for t in map(located, given):
+            own = out.setdefault(t, [])
+            own += [(spec, contract) for spec, contract in specs if spec not in [s for s, _ in own]]
+        return out
     for spec, contract in specs:
-        targets = [explicit] if explicit else [resolve(spec, t) for t in contract.get("targets", [])]
+        targets = [located(resolve(spec, t)) for t in contract.get("targets", [])]
         if not targets:
             raise ValueError(f"{spec} has no targets, and none was given")
         for t in targets:
@@ -76,7 +115,7 @@ def _file(spark: SparkSession, name: str):
 @contextmanager
 def local(spark: SparkSession, target: str):
     """The target's path; a URL is copied in chunks to a new folder that driver and executors share, which goes afterwards."""
-    if not target.startswith(("http://", "https://")):
+    if not is_url(target):
         yield target
         return
     path, files = _file(spark, f"{shared_dir(spark)}/veritab-{uuid.uuid4().hex}/target.csv")
@@ -96,31 +135,60 @@ def local(spark: SparkSession, target: str):
 
 
 def run_plans(spark: SparkSession, planned: dict, max_issues: int = 1000) -> list[Run]:
-    """One scan for the contracts of a target that read it alike. A target that cannot be read gives error entries."""
-    out = []
+    """One scan for all targets that the same contracts check and read alike, however many. A target that cannot be read gives error entries."""
+    batches: dict[tuple, tuple[list[tuple[str, dict]], list[str]]] = {}
     for target, specs in planned.items():
         groups: dict[tuple, list[tuple[str, dict]]] = {}
         for spec, contract in specs:
             o = ct.csv_options(contract)
             groups.setdefault((o["delimiter"], o["quote"], o["allowBlankRows"]), []).append((spec, contract))
-        for (delimiter, quote, blank), group in groups.items():
-            began = time.monotonic()
+        for how, group in groups.items():
+            batches.setdefault((how, tuple(s for s, _ in group)), (group, []))[1].append(target)
+    out = []
+    for (how, _), (group, targets) in batches.items():
+        out += _run_batch(spark, how, group, targets, max_issues)
+    return sorted(out, key=lambda r: (r.spec, r.target))
+
+
+def _run_batch(spark: SparkSession, how: tuple, group: list[tuple[str, dict]], targets: list[str], max_issues: int) -> list[Run]:
+    """Runs of contracts on targets. What the batch took is shared out by the targets' bytes."""
+    failed = lambda target, error: [Run(s, target, None, str(error).split("\n")[0]) for s, _ in group]
+    out, by_path, sizes, began = [], {}, {}, time.monotonic()
+    with ExitStack() as copies:
+        for target in targets:
             try:
-                with local(spark, target) as path:
-                    results = validate(from_csv(spark, path, delimiter, quote, blank), [c for _, c in group], max_issues)
-                    at, files = _file(spark, path)
-                    size = files.getFileStatus(at).getLen()
-                took = time.monotonic() - began
-                out += [Run(s, target, r, None, took, size) for (s, _), r in zip(group, results)]
+                path = copies.enter_context(local(spark, target))
+                at, files = _file(spark, path)
+                if not files.exists(at):
+                    raise FileNotFoundError(f"{target} does not exist")
+                sizes[target], by_path[path] = files.getFileStatus(at).getLen(), target
             except Exception as error:  # noqa: BLE001  one target's failure is a finding of the suite
-                out += [Run(s, target, None, str(error).split("\n")[0]) for s, _ in group]
-    return sorted(out, key=lambda r: (r.spec, r.target))
+                out += failed(target, error)
+        done = []
+        try:
+            records, errors = open_files(spark, list(by_path), *how)
+        except Exception as error:  # noqa: BLE001
+            records, errors = [], dict.fromkeys(by_path, error)
+        for path, error in errors.items():
+            out += failed(by_path[path], error)
+        for some in records:
+            try:
+                done += zip(some.files, validate_files(some, [c for _, c in group], max_issues))
+            except Exception as error:  # noqa: BLE001
+                out += [r for path in some.files for r in failed(by_path[path], error)]
+        share = (time.monotonic() - began) / max(1, sum(sizes[by_path[path]] for path, _ in done))
+        for path, results in done:
+            target = by_path[path]
+            out += [Run(s, target, r, None, sizes[target] * share, sizes[target]) for (s, _), r in zip(group, results)]
+    return out
 
 
 def run_suite(spark: SparkSession, folder: str, max_issues: int = 1000) -> list[Run]:
     """Every contract under a folder; those that cannot be parsed are error entries."""
     specs, broken = [], []  # a contract without targets is a finding of its own, not the end of the run
     for path in sorted([*Path(folder).rglob("*.csvtest.yaml"), *Path(folder).rglob("*.csvtest.yml")]):
+        if LEFT_OUT & set(path.relative_to(folder).parts[:-1]):
+            continue
         try:
             specs.append((str(path), ct.parse(path.read_text("utf-8"))))
             plans(specs[-1:])
@@ -177,6 +245,8 @@ def as_text(runs: list[Run]) -> str:
             shown = f"; showing first {len(r.result.issues)}" if r.result.issue_count > len(r.result.issues) else ""
             lines.append(f"  {word(r.result.valid)} {r.spec} — {r.result.row_count:,} rows, {r.result.column_count} columns, {r.result.issue_count:,} issues{shown}")
             lines += [f"    {issue_line(i)}" for i in r.result.issues]
+        if not any(r.result for r in own):
+            continue
         p = _timing(own)
         lines.append(f"  Performance: {show_duration(p['durationMs'])}, {p['rowsPerSecond']:,} rows/s, {show_bytes(p['bytesRead'])} read, {p['passes']} pass(es)")
     if len(targets) > 1:
