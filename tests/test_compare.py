@@ -108,3 +108,46 @@ def test_csv_records(spark, tmp_path):
         assert error.value.code == "CSV_PARSE" and str(error.value) == f"{side_name} CSV could not be parsed: {said}"
     s = compare(*sides("A,B\n1,2\n , \n,\n", "A,B\n1,2\n")).summary()
     assert (s["status"], s["left"]["row_count"], s["right"]["row_count"]) == ("equal", 1, 1)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_frequent_key_are_numbered_over_all_tasks(spark):
+    rows = [("hot" if k % 3 else f"k{k % 5}", str(k)) for k in range(300)] + [(None, "x"), (None, "y")]
+    c = made(spark, "Id,Name", rows, [("hot", "1")], keys=["Id"])
+    found = c.duplicate_rows(0)
+    assert "Window" not in plan_of(found)
+    seen = {}
+    for r in sorted(found.collect(), key=lambda r: r["key_occurrence"]):
+        seen.setdefault(r["Id"], []).append((r["key_occurrence"], r["Name"], r["key_count"]))
+    want = {}
+    for name, value in rows:
+        want.setdefault("" if name is None else name, []).append(value)
+    assert seen == {k: [(n + 1, x, len(v)) for n, x in enumerate(v)] for k, v in want.items() if len(v) > 1}
+
+
+def test_rows_repeat_any_number_of_times(spark):
+    from veritab.operators.number import repeated, running
+
+    rows = spark.createDataFrame([("a", 1), ("b", 4), ("c", 5), ("d", 16), ("e", 17), ("f", 64), ("g", 63)], "x string, n long")
+    got = {r["x"]: r["count"] for r in repeated(rows, F.col("n"), 4).groupBy("x").count().collect()}
+    assert got == {r["x"]: r["n"] for r in rows.collect()}
+    many = repeated(spark.createDataFrame([("a", 3_000_000_000)], "x string, n long"), F.col("n"))
+    assert many.limit(5).count() == 5 and "cast(" not in plan_of(many).replace("as bigint", "").replace("cast(0", "")
+    more = repeated(spark.createDataFrame([("a", 70_000), ("b", 2)], "x string, n long"), F.col("n"))
+    assert more.groupBy("x").count().orderBy("x").collect() == [("a", 70_000), ("b", 2)]
+    sums = running(spark.range(1000).selectExpr("id", "id % 7 as v"), "before", F.col("v"), F.col("id").desc())
+    want, total = {}, 0
+    for k in reversed(range(1000)):
+        want[k], total = total, total + k % 7
+    assert {r["id"]: r["before"] for r in sums.collect()} == want
+
+
+def test_blank_is_not_empty_unless_trimmed(spark):
+    left, right = [("1", "  "), ("2", "")], [("1", ""), ("2", "")]
+    assert made(spark, "Id,V", left, right, keys=["Id"], blank_null=True).summary()["differences"]["changed_cells"] == 1
+    assert made(spark, "Id,V", left, right, keys=["Id"], blank_null=True, trim=True).summary()["status"] == "equal"
+    with pytest.raises(ComparisonError):
+        made(spark, "Id,V", left, right, blank_null=True, dates=["V"])

@@ -87,7 +87,7 @@ def test_tables():
 def test_suite_and_cli(spark, tmp_path, capsys):
     (tmp_path / "a.csv").write_text("Id,Name\n1,Ada\n2,Grace\n")
     (tmp_path / "b.csv").write_text("Id,Name\n1,Ada\n1,Ada\n")
-    assert cli.main(["init", "--csv", str(tmp_path / "a.csv"), "--out", str(tmp_path / "a.csvtest.yaml")], spark) == 0
+    assert cli.main(["init", "--csv", str(tmp_path / "a.csv"), "--out", str(tmp_path / "a.csvtest.yaml"), "--infer-constraints"], spark) == 0
     assert cli.main(["init", "--csv", str(tmp_path / "a.csv"), "--out", str(tmp_path / "a.csvtest.yaml")], spark) == 2
     assert cli.main(["test", "--spec", str(tmp_path / "a.csvtest.yaml")], spark) == 0
     assert cli.main(["test", "--spec", str(tmp_path / "a.csvtest.yaml"), "--csv", str(tmp_path / "b.csv"), "--json"], spark) == 1

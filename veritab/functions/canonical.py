@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritab.functions.text import BLANKS, trimmed
+
 LARGEST_EXPONENT = 100_000
 _DECIMAL = r"^([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?\z"
-_TIME = r"^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,7}))?)?(?:[ ]*([AaPp])[Mm])?\z"
+_TIME = r"^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,7}))?)?(?:[" + BLANKS + r"]*([AaPp])[Mm])?\z"
 _SHORT = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\z"
 _DAY = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})\z"
-_MOMENT = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[Tt ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]{1,7}))?)?([Zz]|[+-][0-9]{2}:?[0-9]{2})?\z"
+_MOMENT = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[Tt ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]{1,7}))?)?([Zz]|[+-][0-9]{2}:[0-9]{2})?\z"
 _MIDNIGHT = "T00:00:00.0000000Z"
 
 
@@ -126,17 +128,16 @@ def moment(c: Column) -> Column:
 
 
 def date(c: Column) -> Column:
-    """A time, or a date from month/day/year, ISO date, or ISO date and time."""
+    """A time, or a date from month/day/year, ISO date, or ISO date and time; white space around it doesn't count."""
+    c = trimmed(c)
     return F.coalesce(time(c), _day(c, _SHORT, "m d y"), _day(c, _DAY, "y m d"), moment(c))
 
 
 def comparison_value(c: Column, *, trim: bool = False, case_fold: bool = False, blank_null: bool = False, kind: str | None = None) -> tuple[Column, Column]:
-    """(value, failed) in the order trim, blank to null, date or decimal, upper case. A null input stays null."""
-    from veritab.functions.text import trimmed
-
+    """(value, failed) in the order trim, empty to null, date or decimal, upper case. A null input stays null; blanks are empty only where they are trimmed."""
     x = trimmed(c) if trim else c
     if blank_null:
-        x = F.when(trimmed(x) != "", x)
+        x = F.when(x != "", x)
     out = {"decimal": decimal, "date": date}[kind](x) if kind else x
     failed = x.isNotNull() & out.isNull() if kind else F.lit(False)
     return (F.upper(out) if case_fold else out), failed

@@ -9,12 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.canonical import comparison_value
 from veritab.functions.text import BLANKS, any_of, canonical
-from veritab.operators.number import numbered, written
+from veritab.operators.number import numbered, repeated, running, written
 from veritab.sources.records import Records
 
 DIFFERENCES = ("added", "removed", "changed", "unchanged", "changed_cells", "schema_changes", "duplicate_row_count_differences", "duplicate_keys_left", "duplicate_keys_right")
@@ -211,7 +211,8 @@ class Comparison:
     def only(self, side: int) -> DataFrame:
         """Rows that one side has more often, each as often as it does so."""
         more = F.col("lc") - F.col("rc") if side == 0 else F.col("rc") - F.col("lc")
-        return self.bag.where(more > 0).select(*(c.alias(n) for c, n in zip(self.values(), self.columns)), F.explode(F.sequence(F.lit(1), more.cast("int"))).alias("_n")).drop("_n")
+        rows = self.bag.where(more > 0).select(*self.values(), more.alias("more"))
+        return repeated(rows, F.col("more")).select(*(c.alias(n) for c, n in zip(self.values(), self.columns)))
 
     def _groups(self, references: bool) -> tuple[DataFrame, list[Column]]:
         """The key groups, and the column that names them. References rank all keys, which costs a range sort, so they are left out where nobody asks."""
@@ -233,14 +234,19 @@ class Comparison:
         return cells.select(*named, *self._named(self.keys), *self._named(self.context, "r"), name.alias("changed_column"), pick("l").alias("left_value"), pick("r").alias("right_value"))
 
     def duplicate_rows(self, side: int, references: bool = True) -> DataFrame:
-        """Every row of a key that a side has more than once, numbered within the key. Only such keys are joined and sorted."""
+        """Every row of a key that a side has more than once, numbered within the key. Only such keys are joined and sorted.
+
+        Keys in order know from their counts how many rows come before theirs; rows are numbered in the same order, by key and record, over range partitions.
+        So a frequent key is spread over tasks.
+        """
         count = "lc" if side == 0 else "rc"
         groups, named = self._groups(references)
         rank = [F.col("rank")] if references else []
         keys = groups.where(F.col(count) > 1).select(*(c.alias(f"k{i}") for i, c in zip(self.keys, self.values(self.keys))), *rank, F.col(count).alias("key_count"))
+        keys = running(keys, "rows_before", F.col("key_count"), *(F.col(f"k{i}") for i in self.keys))
         met = self.sides[side].join(keys, on=[F.col(f"v{i}").eqNullSafe(F.col(f"k{i}")) for i in self.keys])
-        within = F.row_number().over(Window.partitionBy(*self.values(self.keys)).orderBy("rec"))
-        return met.select(*named, *self._named(range(len(self.columns))), within.alias("key_occurrence"), "key_count")
+        placed = numbered(met.drop("bad", "ragged"), "place", *self.values(self.keys), F.col("rec"))
+        return placed.select(*named, *self._named(range(len(self.columns))), (F.col("place") - F.col("rows_before")).alias("key_occurrence"), "key_count")
 
     def _named(self, at, row: str | None = None) -> list[Column]:
         return [F.col(f"{row}.v{i}" if row else f"v{i}").alias(self.columns[i]) for i in at]

@@ -191,7 +191,27 @@ def duplicate_keys(spark, d):
     names = ["l_orderkey", "l_linenumber", "l_partkey"]
     rec = F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 1_000 + F.col("l_suppkey")
     lines = from_frame(table(spark, d, "lineitem").select(*names, "l_suppkey"), rec, names)
-    return cp.compare(lines, lines, cp.Options(keys=["l_orderkey", "l_linenumber"])).duplicate_rows(0, references=False)
+    found = cp.compare(lines, lines, cp.Options(keys=["l_orderkey", "l_linenumber"])).duplicate_rows(0, references=False)
+    return found.withColumn("key_occurrence", F.col("key_occurrence").cast("int"))
+
+
+def hot_key_rows(spark, d):
+    """Every line numbered within its return flag, which a third of all lines and more share."""
+    names = ["l_returnflag", "l_partkey"]
+    rec = F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 1_000 + F.col("l_suppkey")
+    lines = from_frame(table(spark, d, "lineitem").select(*names, "l_orderkey", "l_suppkey"), rec, names)
+    return cp.compare(lines, lines, cp.Options(keys=["l_returnflag"])).duplicate_rows(0, references=False)
+
+
+def blank_cells(spark, d):
+    """Orders whose comment-like column is empty on one side and blank or empty on the other, keyed: empty is null, blanks are not, unless trimmed."""
+    orders = table(spark, d, "orders").select("o_orderkey")
+    side = lambda odd: from_frame(orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, odd).otherwise("").alias("note")), F.col("o_orderkey"), ["o_orderkey", "note"])
+    rows = []
+    for trim in (False, True):
+        made = cp.compare(side(F.lit("")), side(F.lit(" \t")), cp.Options(keys=["o_orderkey"], blank_null=True, trim=trim))
+        rows.append(made.difference_sums().select(F.lit(trim).alias("trim"), "changed", "unchanged"))
+    return rows[0].unionByName(rows[1])
 
 
 def key_references(spark, d):
@@ -214,10 +234,12 @@ def decimal_canonical(spark, d):
 
 
 def date_canonical(spark, d):
-    """Order dates written three ways, shifted moments, and clock times."""
+    """Order dates written three ways, shifted moments, and clock times; with white space around and in them, and an offset without its colon."""
     t = F.col("o_orderdate")
     f = lambda p: F.date_format(t, p)
     forms = F.array(f("M/d/yyyy"), f("yyyy-MM-dd"), F.concat(f("yyyy-MM-dd"), F.lit("T01:30:00+02:00")), F.lit("2:05 pm"), F.concat(f("yyyy"), F.lit("-02-30")))
+    odd = F.array(F.concat(F.lit(" "), f("yyyy-MM-dd"), F.lit("\t")), F.concat(F.lit("\u00a0"), f("M/d/yyyy"), F.lit("\n")), F.lit("\t2:05\t\u2003PM "), F.concat(f("yyyy-MM-dd"), F.lit("T01:30:00+0200")), F.concat(f("yyyy-MM-dd"), F.lit("t01:30z ")))
+    forms = F.concat(forms, odd)
     return table(spark, d, "orders").select("o_orderkey", F.posexplode(forms).alias("form", "text")).select("o_orderkey", "form", cn.date(F.col("text")).alias("value"))
 
 
@@ -336,7 +358,7 @@ def suite_rollup(spark, d):
 def queries():
     plain = (
         cell_violations_by_code, cell_issues, bounded_issues, unique_violations, identity_violations, unique_multi_target, row_test_matches, cell_assertions, count_expectations, norm_trim_case, multiset_diff,
-        multiset_diagnostics, side_summary, keyed_diff_summary, keyed_changed_cells, keyed_references, changed_by_column, duplicate_keys, key_references, decimal_canonical, date_canonical, rules_summary,
+        multiset_diagnostics, side_summary, keyed_diff_summary, keyed_changed_cells, keyed_references, changed_by_column, duplicate_keys, hot_key_rows, blank_cells, key_references, decimal_canonical, date_canonical, rules_summary,
         rules_samples, rule_leaf_matrix, rule_nested, unique_rule_members, schema_diff, suite_rollup,
     )
     out = {f.__name__: f for f in plain}
@@ -376,10 +398,12 @@ def oracle_sql():
         "keyed_removed": f"select l.k as o_orderkey, l.p as o_orderpriority, cast(1 as bigint) as occurrences from {joined} where r.k is null",
         "keyed_added": f"select r.k as o_orderkey, r.p as o_orderpriority, cast(1 as bigint) as occurrences from {joined} where l.k is null",
         "changed_by_column": f"select 'o_orderstatus' as \"column\", count(*) filter (where l.s <> r.s) as changed_cells from {joined} union all select 'o_orderpriority', count(*) filter (where l.p <> r.p) from {joined}",
+        "hot_key_rows": f"select l_returnflag, cast(l_partkey as varchar) as l_partkey, row_number() over (partition by l_returnflag order by {line_rec}) as key_occurrence, count(*) over (partition by l_returnflag) as key_count from lineitem",
+        "blank_cells": "select false as trim, count(*) filter (where o_orderkey % 3 = 0) as changed, count(*) filter (where o_orderkey % 3 <> 0) as unchanged from orders union all select true, 0, count(*) from orders",
         "duplicate_keys": f"select cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber, cast(l_partkey as varchar) as l_partkey, cast(k as int) as key_occurrence, n as key_count from (select *, row_number() over (partition by l_orderkey, l_linenumber order by {line_rec}) as k, count(*) over (partition by l_orderkey, l_linenumber) as n from lineitem) where n > 1",
         "key_references": f"select {ref('key', 'n')} as key_reference, n_name from (select n_name, row_number() over (order by {canon('n_name')}) as n from nation)",
         "decimal_canonical": " union all ".join(f"select o_orderkey, {k} as form, {v} as value from orders" for k, v in enumerate([plain.format(f"cast({x} as varchar)")] * 3 + [whole(100), plain.format(f"cast(cast({x} * 0.001 as decimal(18,5)) as varchar)"), "cast(null as varchar)"])),
-        "date_canonical": " union all ".join(f"select o_orderkey, {k} as form, {v} as value from orders" for k, v in enumerate([f"{day} || 'T00:00:00.0000000Z'"] * 2 + ["strftime(o_orderdate - interval 1 day, '%Y-%m-%d') || 'T23:30:00.0000000Z'", "'14:05:00.0000000'", "cast(null as varchar)"])),
+        "date_canonical": " union all ".join(f"select o_orderkey, {k} as form, {v} as value from orders" for k, v in enumerate([f"{day} || 'T00:00:00.0000000Z'"] * 2 + ["strftime(o_orderdate - interval 1 day, '%Y-%m-%d') || 'T23:30:00.0000000Z'", "'14:05:00.0000000'", "cast(null as varchar)"] + [f"{day} || 'T00:00:00.0000000Z'"] * 2 + ["'14:05:00.0000000'", "cast(null as varchar)", f"{day} || 'T01:30:00.0000000Z'"])),
         "rules_summary": _SCOPED + " " + " union all ".join(f"select '{r}' as rule_id, '{s}' as severity, count(*) filter (where {w}) as failure_count from o" for r, s, w in _RULES_SQL),
         "rules_samples": _SCOPED + " select rule_id, o_orderkey, o_orderpriority from (select *, row_number() over (partition by rule_id order by o_orderkey) as k from (" + " union all ".join(f"select '{r}' as rule_id, * from o where {w}" for r, _, w in _RULES_SQL) + ")) where k <= 10",
         "rule_leaf_matrix": f"with e as ({_LEAF_SQL}) select event_id, " + ", ".join(f"coalesce({w}, false) as {op.lower()}" for op, (_, w) in _LEAVES.items()) + " from e",
