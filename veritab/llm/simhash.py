@@ -22,7 +22,8 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm.shared import documents, stored
@@ -98,15 +99,12 @@ def forest(values: list[int], radius: int) -> list[int]:
             i = root[i]
         return i
 
-    if len(values) <= 4:  # a tree of so few nodes compares about as often
-        near = (([j for j in range(i) if (values[i] ^ values[j]).bit_count() <= radius]) for i in range(len(values)))
-    else:
-        tree = BKTree()
-        near = ((tree.within(v, radius), tree.add(v))[0] for v in values)
-    for i, found in enumerate(near):
-        for j in found:
+    tree = BKTree()
+    for i, value in enumerate(values):
+        for j in tree.within(value, radius):
             a, b = top(i), top(j)
             root[max(a, b)] = min(a, b)
+        tree.add(value)
     return [top(i) for i in range(len(values))]
 
 
@@ -233,15 +231,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id", "links")
 
 
+def _placed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows of a table in files, and the column that tells each from all others: a digest of its file's name, and its place there. Other rows are written first."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place.getField("row_index")).schema  # noqa: B018  raises where rows don't come from such files
+    except AnalysisException:
+        docs = stored(docs, "documents")
+        place = docs.metadataColumn("_metadata")
+    return docs, F.struct(F.xxhash64(place.getField("file_path")).alias("file"), place.getField("row_index").alias("at"))
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: the first by doc_id (nulls last), then by the text's hash."""
-    marked = docs.select("doc_id", fingerprints("text").alias("fp"), F.xxhash64("text").alias("hash"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash"))
-    kept = rooted(marked, first, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("d"), F.col("first.hash").alias("h"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left_semi")
-    order = Window.partitionBy("id", "hash").orderBy("hash")  # repeated rows
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
+    """``docs`` with one row of each component: the first by doc_id (nulls last), then by the text's hash. Texts are shuffled once, to be met by the places of the rows kept."""
+    docs, place = _placed(docs)
+    marked = docs.select("doc_id", fingerprints("text").alias("fp"), F.xxhash64("text").alias("hash"), place.alias("place"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "place"))
+    kept = rooted(marked, first, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.place.*")
+    rows = docs.select(F.struct("*").alias("row"), place.alias("place"))
+    return rows.join(stored(kept, "kept"), (F.col("place.file") == F.col("file")) & (F.col("place.at") == F.col("at")), "left_semi").select("row.*")
 
 
 def op3_simhash(spark, sf_dir):
