@@ -46,3 +46,31 @@ def test_patterns(spark):
     for bad in ("[unterminated", "(", "a\\"):
         with pytest.raises(InvalidPattern):
             to_java(bad)
+
+
+VALID = {
+    # pattern: (texts that it finds something in, texts in which it doesn't)
+    r"(?<=a+)b$": (["aab", "ab"], ["b", "cb"]), r"(?<!a*x)b": (["ab"], ["aaxb"]), r"^(?<y>\d{4})-\k<y>$": (["2024-2024"], ["2024-2025"]), r"^a{2}$": (["aa"], ["a", "a{2}"]), r"^a{,2}$": (["a{,2}"], ["aa"]), r"^x{$": (["x{"], ["x"]),
+    r"^[\d-x]+$": (["1-x"], ["y"]), r"^[^\S]$": ([" ", "　"], ["a"]), r"^[\S\n]$": (["a", "\n"], [" "]), r"^\p{L}$": (["p{L}"], ["a"]), r"^\cJ$": (["\n"], ["J"]), r"^\c$": (["\\c"], ["c"]), r"^\v$": (["\x0b"], ["\n"]), r"^[\b]$": (["\x08"], ["b"]),
+    r"^\0$": (["\0"], ["0"]), r"^\101$": (["A"], ["101"]), r"^\8$": (["8"], []), r"^(a)\1$": (["aa"], ["a"]), r"^\1(a)$": (["a"], ["aa"]), r"^(a\1)$": (["a"], ["aa"]), r"^(a)\10$": (["a\x08"], ["aa0"]), r"^\u0041\x42$": (["AB"], []), r"^\ud83d\ude00$": (["\U0001f600"], []),
+    r"\bé": ([], ["é"]), r"é\b": ([], ["é"]), r"\Bé\B": (["é"], ["aé"]), r"^(?=a)*a$": (["a"], ["b"]), r"^(?i:a)b$": (["Ab", "ab"], ["AB"]), r"^(?s:.)$": (["\n"], []), r"^(?m:^b$)": (["b", "b\nc"], ["a\nb"]), r"(?m:^b$)": (["a\nb"], ["ab"]), r"^a]}$": (["a]}"], []),
+    r"^[[]&&[^a]$": (["[&&b"], ["[&&a"]), r"^(?:(?<n>a)|(?<n>b))\k<n>$": (["aa", "bb"], ["ab"]), r"^\k<n>$": (["k<n>"], []), r"^[a-]$": (["-", "a"], ["b"]), r"^[]-a]$": ([], ["-"]), r"[^]": (["\n"], [""]), r"a{99999999999}": ([], ["a"]), r"^\-\/$": (["-/"], []), r"^#x ~$": (["#x ~"], []), r"": ([""], []),
+    r"(?<=^(?:ab?)?)c": (["abc", "ac", "c"], ["bc"]), r"(?<=(?:ab)+)c": (["ababc"], ["bc"]), r"^a??b+?$": (["b", "abb"], ["aab"]),
+}
+INVALID = ["a++", "(?>a)", "a**", "a?+", "*a", "+", "?", "{1}", "a{2,1}", "(", ")", "a)", "(?", "(?a)", "[a", "[b-a]", "a\\", "(?<=a)*", "(?<!a)+", "^*", "$+", "\\b?", "(?<1>a)", "(?<n>a)(?<n>b)", "(?<n>a)\\k<m>", "(?<n>a)\\k", "(?ii:a)", "(?i-i:a)", "(?-:a)", "(?P<n>a)", "(?#c)", "[\\d-\\w", "(?:", "x{1}{2}", "(?<=(?:ab*)+)c"]
+
+
+def test_ecmascript_patterns(spark):
+    cases = [(p, t, want) for p, (good, bad) in VALID.items() for want, texts in ((True, good), (False, bad)) for t in texts]
+    for p in VALID:
+        assert to_java(p) and to_java(p, ignore_case=True) or p == ""
+    rows = spark.createDataFrame([(t,) for _, t, _ in cases], "t string")
+    found = rows.select(*(F.col("t").rlike(to_java(p)).alias(f"p{k}") for k, p in enumerate(VALID))).collect()
+    at = {p: k for k, p in enumerate(VALID)}
+    assert [(p, t) for (p, t, want), row in zip(cases, found) if row[at[p]] != want] == []
+
+
+@pytest.mark.parametrize("pattern", INVALID)
+def test_what_is_no_ecmascript_pattern(pattern):
+    with pytest.raises(InvalidPattern):
+        to_java(pattern)
