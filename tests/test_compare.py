@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,8 +74,7 @@ def test_options_and_empty(spark):
 def test_evidence(spark, tmp_path):
     names = write_evidence(made(spark, "Id,Name", [("1", 'a"b')], [("1", "c")], keys=["Id"]), str(tmp_path / "out"))
     assert {"ComparisonSummary.json", "ChangedRows.csv", "NormalizedLeft.csv", "ColumnSummary.csv"} <= set(names)
-    text = "".join(p.read_text() for p in (tmp_path / "out" / "ChangedRows.csv").glob("part-*"))
-    assert '"Id","ChangedColumn","LeftValue","RightValue"' in text and '"1","Name","a""b","c"' in text
+    assert (tmp_path / "out" / "ChangedRows.csv").read_text() == '"Id","ChangedColumn","LeftValue","RightValue"\n"1","Name","a""b","c"\n'
     evidence = (tmp_path / "out" / "ComparisonEvidence.csv").read_text()
     assert evidence.startswith('"recordType","name","countOrValue","column","keyReference","diagnosticId"\n"summary","status","different","false","1",""\n')
     assert '"diagnostic","key-changed","1","","key-000001","key-000001-changed"' in evidence
@@ -81,6 +82,61 @@ def test_evidence(spark, tmp_path):
     assert "| 0 | 0 | 1 | 0 | 1 | 0/0 |" in page and "Included 1 of 1." in page
 
 
+def test_evidence_in_full(spark, tmp_path):
+    """Complete files in canonical order, whatever the order of records and the number of tasks."""
+    left = [("2", "b", "x"), ("10", "a", "y"), ("3", "c", "z"), ("10", "q", "y"), ("\U0001f600", "e", "1"), ("\uff5e", "e", "1"), ("4", "two\nlines", "k")]
+    right = [("5", "n", "w"), ("2", "B", "X"), ("4", "two\nlines", None), ("5", "m", "w")]
+    c = made(spark, "Id,Name,Note", left, right, keys=["Id"], context=["Note"])
+    names = write_evidence(c, str(tmp_path / "out"))
+    read = {p.name: p.read_text() for p in (tmp_path / "out").glob("*.*")}
+    assert sorted(names) == sorted(n for n in read if not n.startswith(".") and n != "Manifest.json")
+    assert [f["name"] for f in json.loads(read["Manifest.json"])["files"]] == names
+    assert read["KeysOnlyInLeft.csv"] == '"Id","Note","OccurrenceCount"\n"3","z","1"\n"\uff5e","1","1"\n"10","y","2"\n"\U0001f600","1","1"\n'
+    assert read["KeysOnlyInRight.csv"] == '"Id","Note","OccurrenceCount"\n"5","w","2"\n'
+    assert read["ChangedRows.csv"] == '"Id","Note","ChangedColumn","LeftValue","RightValue"\n"2","X","Name","b","B"\n"2","X","Note","x","X"\n"4","","Note","k",""\n'
+    assert read["DuplicateKeysLeft.csv"] == '"Id","Name","Note","KeyOccurrence","KeyCount"\n"10","a","y","1","2"\n"10","q","y","2","2"\n'
+    assert read["ColumnChangeSummary.csv"] == '"ColumnName","ChangedCellCount"\n"Name","1"\n"Note","2"\n'
+    assert read["NormalizedRight.csv"] == '"Id","Name","Note"\n"2","B","X"\n"4","two\nlines",""\n"5","m","w"\n"5","n","w"\n'
+    made_of = json.loads(read["ComparisonSummary.json"])
+    assert list(made_of) == ["schema", "name", "mode", "options", "columns", "status", "semanticEqual", "exitCode", "left", "right", "differences", "diagnostics"]
+    assert made_of["diagnostics"]["items"][0] == {"id": "key-000001-changed", "kind": "key-changed", "count": 1, "keyReference": "key-000001"} and made_of["diagnostics"]["truncated"] is False
+    assert made_of["differences"]["changedCellsByColumn"] == {"Name": 1, "Note": 2} and made_of["left"]["duplicateKeyCount"] == 1 and made_of["options"]["normalization"]["caseFold"] is False
+    bag = made(spark, "A,B", [("b", "1"), ("a", "2"), ("b", "1"), ("b", "1")], [("b", "1")])
+    write_evidence(bag, str(tmp_path / "bag"))
+    assert (tmp_path / "bag" / "LeftOnly.csv").read_text() == '"A","B"\n"a","2"\n"b","1"\n"b","1"\n' and (tmp_path / "bag" / "RightOnly.csv").read_text() == '"A","B"\n'
+    assert json.loads((tmp_path / "bag" / "ComparisonSummary.json").read_text())["left"]["uniqueKeyCount"] is None
+    other = compare(side(spark, "Id,Name", [("1", "a")]), side(spark, "Id,FullName", [("1", "a")]), Options(keys=["Id"]))
+    found = write_evidence(other, str(tmp_path / "other"))
+    assert {"ChangedRows.csv", "DuplicateKeysLeft.csv", "ColumnChangeSummary.csv"} <= set(found) and (tmp_path / "other" / "ChangedRows.csv").read_text() == '"Id","ChangedColumn","LeftValue","RightValue"\n'
+    assert json.loads((tmp_path / "other" / "ComparisonSummary.json").read_text())["diagnostics"]["items"][0] == {"id": "schema-left-1", "kind": "schema-left-only", "count": 1, "column": "Name"}
+
+
+def test_evidence_appears_at_once(spark, tmp_path, monkeypatch):
+    from veritab.sources import evidence
+
+    out = tmp_path / "out"
+    write_evidence(made(spark, "A", [("1",)], [("1",)]), str(out))
+    before = {p.name: p.read_bytes() for p in out.iterdir()}
+    lines = evidence.Staged.lines
+
+    def fails(self, name, head, rows):
+        if name == "NormalizedLeft.csv":
+            raise OSError("no room")
+        lines(self, name, head, rows)
+
+    monkeypatch.setattr(evidence.Staged, "lines", fails)
+    with pytest.raises(OSError, match="no room"):
+        write_evidence(made(spark, "A", [("2",)], [("1",)]), str(out))
+    monkeypatch.undo()
+    assert {p.name: p.read_bytes() for p in out.iterdir()} == before and [p.name for p in tmp_path.iterdir()] == ["out"]
+    out.rename(tmp_path / ".out.old")  # as if the process had ended between the two renamings
+    staged = evidence.Staged(spark, str(out))
+    assert {p.name: p.read_bytes() for p in out.iterdir()} == before
+    staged.clean()
+    write_evidence(made(spark, "A", [("2",)], [("1",)]), str(out))
+    assert (out / "LeftOnly.csv").read_text() == '"A"\n"2"\n' and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
 def exchanges(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") + df._jdf.queryExecution().optimizedPlan().toString().count("Repartition")
 

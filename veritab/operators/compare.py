@@ -268,6 +268,10 @@ class Comparison:
             named = self.ranked_rows.where(lc != rc).select("rank", F.lit(0).alias("place"), reference_text("row").alias("id"), kind.alias("kind"), F.abs(lc - rc).alias("count"))
         return named.orderBy("rank", "place").limit(most).select("rank", "id", "kind", "count")
 
+    def side_rows(self, side: int) -> DataFrame:
+        """One side's rows as they are compared."""
+        return self.sides[side].select(*self._named(range(len(self.columns))))
+
     def normalized(self, side: int) -> DataFrame:
         """One side's rows in canonical order."""
         return self.sides[side].orderBy(F.encode(canonical(self.values()), "UTF-16BE"), "rec").select(*self._named(range(len(self.columns))))
