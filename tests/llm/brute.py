@@ -16,10 +16,29 @@ def media(docs):
     for d in docs.itertuples():
         raw = (d.text or "").encode()
         padded = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
-        out[d.doc_id] = (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        image = b"P6\n64 %d\n255\n" % (len(padded) // 192) + padded
+        lines = (d.text or "").split("\n")
+        half = -(-len(lines) // 2)
+        parts = [[" ".join(x.split()) for x in some] for some in (lines[:half], lines[half:])]
+        caption = f"document of {len(raw)} bytes"
+        items = [*(("text", x, "", "") for x in parts[0] if x), ("media", "", hashlib.sha256(padded).hexdigest(), caption), *(("text", x, "", "") for x in parts[1] if x)]
+        whole = "".join("\x1f".join((str(k), *i)) + "\x1e" for k, i in enumerate(items))
+        out[d.doc_id] = {
+            "n_bytes": len(raw), "payload_bytes": len(padded), "payload_sha256": hashlib.sha256(padded).hexdigest(), "tail_crc32": zlib.crc32(padded[-16:]), "media_bytes": len(image), "media_sha256": hashlib.sha256(image).hexdigest(),
+            "feature": feature(padded), "position": sum(map(bool, parts[0])), "caption": caption, "n_items": len(items), "sequence_sha256": hashlib.sha256(whole.encode()).hexdigest(),
+        }
     return out
 
 
+def feature(data):
+    """Mean, spread, and which of 65 equal stretches have more than the one before."""
+    edges = [len(data) * k // 65 for k in range(66)]
+    sums = [sum(data[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+    mean = sum(data) / len(data)
+    bits = int("".join("1" if b > a else "0" for a, b in zip(sums[:-1], sums[1:])), 2)
+    return f"{mean:.3f}:{sum(x * x for x in data) / len(data) - mean ** 2:.3f}:{bits:016x}"
+
+
 def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
     """sizes: source -> words. Deals, caps, and deals the excess again."""
     names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]

@@ -3,7 +3,7 @@
 A page is parsed into an ordered sequence of text and media-reference structs. A reference names its payload by
 digest; a join on the digest resolves it, so that position, caption and payload stay in one row. Payload bytes live
 in a store, a Parquet table of losslessly encoded images (binary PPM, 64 RGB pixels a row, so 192 bytes a row).
-The join carries what is asked of a payload (by default what ``describe`` reads from the stored bytes), not the bytes.
+The join carries what is asked of a payload (by default what ``described`` reads from the stored bytes), not the bytes.
 
 Defined results: a null text is an empty one; a null page has an empty sequence; a reference whose digest the store lacks keeps
 its position and caption with null payload columns; a payload stored more than once resolves to one row; repeated rows stay repeated; an empty
@@ -13,9 +13,7 @@ table gives no rows; a text of any length is stored whole.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import Counter
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,7 +25,7 @@ from veritab.llm.shared import documents, stored
 
 ROW_BYTES = 192
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
-DESCRIBED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+OUTLINE = "n_items int, sha256 string, media array<struct<position:int,digest:string,caption:string>>"
 _RAW = {"script", "style"}
 #: Left out where they have an end tag of their own; of one without, nobody knows where it ends, so its content stays.
 _ASIDE = {"nav", "footer"}
@@ -168,6 +166,33 @@ def interleaved(html: Column) -> Column:
     return F.pandas_udf(_sequences, SEQUENCE)(html)
 
 
+def outline_of(html: str | None) -> dict:
+    """How many items a page's sequence has, a digest of all of them in order, and its media references with their positions and captions."""
+    items, whole = sequence_of(html), hashlib.sha256()
+    for i in items:
+        whole.update("\x1f".join("" if x is None else str(x) for x in (i["position"], i["kind"], i["text"], i["digest"], i["caption"])).encode("utf-8", "surrogatepass") + b"\x1e")
+    return {"n_items": len(items), "sha256": whole.hexdigest(), "media": [{k: i[k] for k in ("position", "digest", "caption")} for i in items if i["kind"] == "media"]}
+
+
+def _outlines(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([outline_of(x) for x in html], columns=["n_items", "sha256", "media"])
+
+
+def outlined(html: Column) -> Column:
+    """Column form of ``outline_of``: for long pages, whose texts then don't come back from Python."""
+    return F.pandas_udf(_outlines, OUTLINE)(html)
+
+
+def page_of(text: Column, digest: Column, caption: Column) -> Column:
+    """A page of a text's lines as paragraphs, with a figure of its payload after the first half of them."""
+    safe = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split(safe, "\n", -1)
+    half = F.ceil(F.size(lines) / 2).cast("int")
+    shown = lambda some: F.concat(F.lit("<p>"), F.array_join(some, "</p><p>"), F.lit("</p>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), shown(F.slice(lines, F.lit(1), half)), figure, shown(F.slice(lines, half + 1, F.size(lines))), F.lit("</article>"))
+
+
 def payload(text: Column) -> Column:
     """UTF-8 bytes of a text, padded with blanks to a positive multiple of 192."""
     raw = F.coalesce(text, F.lit("")).cast("binary")
@@ -199,28 +224,33 @@ def samples_of(media: bytes) -> bytes:
 def feature_of(samples: bytes) -> str:
     """Mean and spread of the samples, and a 64-bit difference hash of 65 equal stretches."""
     x = np.frombuffer(samples, np.uint8)
-    edges = np.linspace(0, len(x), 66).astype(np.int64)[:-1]
+    edges = np.arange(65) * len(x) // 65
     sums = np.add.reduceat(x.astype(np.int64), np.minimum(edges, len(x) - 1))
     bits = int("".join("1" if b > a else "0" for a, b in zip(sums[:-1], sums[1:])), 2)
     mean, square = int(x.sum(dtype=np.int64)), int((x.astype(np.int64) ** 2).sum())
     return f"{mean / len(x):.3f}:{square / len(x) - (mean / len(x)) ** 2:.3f}:{bits:016x}"
 
 
-def describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Read stored images back: digest plus the DESCRIBED columns."""
-    for part in parts:
-        rows = []
-        for digest, media in zip(part["digest"], part["media"]):
-            got = samples_of(media)
-            rows.append((digest, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(got)))
-        yield pd.DataFrame(rows, columns=["digest", *(c.split()[0] for c in DESCRIBED.split(", "))])
+def _features(samples: pd.Series) -> pd.Series:
+    return samples.map(feature_of)
+
+
+def described(media: Column) -> Column:
+    """What a stored image holds, read back from its bytes; an image that this store can't have written is an error. Only the feature needs Python."""
+    head = F.decode(F.substring(media, 1, 40), "ISO-8859-1")
+    start, rows = (F.regexp_extract(head, "^P6\n64 ([0-9]+)\n255\n", k) for k in (0, 1))
+    whole = (start != "") & (F.octet_length(media) == F.length(start) + rows.cast("int") * ROW_BYTES)
+    samples = F.when(whole, F.substring(media, F.length(start) + 1, F.octet_length(media))).otherwise(F.raise_error(F.lit("not an image of this store")).cast("binary"))
+    return F.struct(
+        F.octet_length(samples).cast("long").alias("payload_bytes"), F.sha2(samples, 256).alias("payload_sha256"), F.crc32(F.substring(samples, -16, 16)).alias("tail_crc32"),
+        F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), F.pandas_udf(_features, "string")(samples).alias("feature"),
+    )
 
 
 def store_index(store: DataFrame) -> DataFrame:
     """One row per digest with what the stored bytes hold. Written, so that a later join deals out both sides itself and can split a hot digest."""
-    read = store.select("digest", "media").mapInPandas(describe, f"digest string, {DESCRIBED}")
-    names = [c.split()[0] for c in DESCRIBED.split(", ")]
-    return stored(read.groupBy("digest").agg(F.min(F.struct(*names)).alias("d")).select("digest", "d.*"), "media_index")
+    read = store.select("digest", described(F.col("media")).alias("d"))
+    return stored(read.groupBy("digest").agg(F.min("d").alias("d")).select("digest", "d.*"), "media_index")
 
 
 def resolve(sequences: DataFrame, index: DataFrame, sequence: str = "sequence") -> DataFrame:
@@ -232,11 +262,11 @@ def resolve(sequences: DataFrame, index: DataFrame, sequence: str = "sequence")
 
 
 def op1_media_sequences(spark, sf_dir):
-    """Every document as a page: a paragraph, a figure whose image holds the whole text, a paragraph. The figure's position and caption come with it."""
-    store = write_store(documents(spark, sf_dir).select("doc_id", "text"))
-    index = store_index(store)
-    caption = F.concat(F.lit("document of "), F.col("n_bytes").cast("string"), F.lit(" bytes"))
-    page = F.concat(F.lit('<article><p>Before</p><figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure><p>After</p></article>"))
-    pages = store.select("doc_id", "n_bytes", interleaved(page).alias("sequence"))
-    found = resolve(pages, index).where("kind = 'media'")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    """Every document as a page of its own paragraphs around a figure whose image holds the whole text. The figure's place among them, its caption and a digest of the whole sequence come with it."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    index = store_index(write_store(docs))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    caption = F.concat(F.lit("document of "), n_bytes.cast("string"), F.lit(" bytes"))
+    pages = docs.select("doc_id", n_bytes.alias("n_bytes"), outlined(page_of(F.col("text"), F.sha2(payload(F.col("text")), 256), caption)).alias("o"))
+    found = resolve(pages.select("doc_id", "n_bytes", F.col("o.n_items").alias("n_items"), F.col("o.sha256").alias("sequence_sha256"), F.col("o.media").alias("sequence")), index)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "sequence_sha256")
