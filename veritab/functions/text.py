@@ -36,12 +36,16 @@ def normal_text(s: str, trim: bool, case_sensitive: bool) -> str:
 
 
 def display(c: Column) -> Column:
-    """At most 160 units: longer texts keep 157 and get three dots."""
-    return F.when(length(c) > 160, F.concat(F.left(c, F.lit(157)), F.lit("..."))).otherwise(c)
+    """At most 160 UTF-16 units: longer texts keep 157 and get three dots; half a character at the cut becomes U+FFFD."""
+    units = F.encode(c, "UTF-16BE")
+    half = F.hex(F.substring(units, 313, 1)).between("D8", "DB")
+    cut = F.concat(F.decode(F.substring(units, F.lit(1), F.when(half, 312).otherwise(314)), "UTF-16BE"), F.when(half, "\ufffd").otherwise(""), F.lit("..."))
+    return F.when(length(c) > 160, cut).otherwise(c)
 
 
 def display_text(s: str) -> str:
-    return s if len(s.encode("utf-16-be")) <= 320 else s[:157] + "..."
+    units = s.encode("utf-16-be", "surrogatepass")
+    return s if len(units) <= 320 else units[:314].decode("utf-16-be", "replace") + "..."
 
 
 def canonical(columns: list[Column]) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import patterns
 from veritab.functions.text import all_of, any_of, length, trim_text
+from veritab.operators.validate import registered
 from veritab.sources.contracts import check_predicate, conditional_rules, csv_options
 
 
@@ -75,8 +76,12 @@ def is_null(c: Column, contract: dict) -> Column:
 
 
 def rules_of(contract: dict) -> list[Rule]:
-    """Column rules in declared order, then identity, then conditional rules. Patterns run here too; only the SQL text leaves them out."""
+    """Column rules in declared order, then identity, then conditional rules. Patterns and registered checks run here too; only the SQL text leaves them out."""
     trim, cased, _ = _options(contract)
+    target = contract.get("sqlServer") or {}
+    for column in [*target.get("rowLocator", []), *([target["scope"]["column"]] if target.get("scope") else [])]:
+        if column not in contract["schema"]["columns"]:
+            raise ValueError(f'sqlServer references undeclared column "{column}"')
     out = []
     for name, definition in contract["schema"]["columns"].items():
         want = definition.get("constraints") or {}
@@ -93,6 +98,11 @@ def rules_of(contract: dict) -> list[Rule]:
             add("allowed-values", f"{name} must be an allowed value", ~empty & ~normal(c, trim, cased).isin([literal(v, trim, cased) for v in want["allowedValues"]]))
         if want.get("matches"):
             add("matches", f"{name} must match {want['matches']}", ~empty & ~(F.trim(c) if trim else c).rlike(patterns.to_java(want["matches"], not cased)))
+        for own, parameter in (want.get("checks") or {}).items():
+            check = registered(own)
+            if check is None:
+                raise ValueError(f'check "{own}" is not registered')
+            add(f"check-{own}", check.message(name, parameter), ~empty & F.coalesce(check.fails(normal(c, trim, cased), parameter), F.lit(False)))
         if want.get("unique"):
             add("unique", f"{name} must be unique", ~empty, [name])
     identity = contract.get("identity")

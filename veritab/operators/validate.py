@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import patterns
 from veritab.functions import text as tx
+from veritab.operators.number import written
 from veritab.sources.contracts import csv_options
 from veritab.sources.records import Records
 
@@ -50,6 +52,28 @@ class Check:
         return F.struct(*parts, text(F.lit(self.test_id)).alias("test_id"), text(self.actual).alias("actual"), text(self.expected).alias("expected"))
 
 
+@dataclass(frozen=True)
+class Registered:
+    """A check of one's own: whether a cell fails, given its normalised text and the contract's parameter; what an issue is called and says."""
+
+    fails: Callable[[Column, object], Column]
+    code: str
+    message: Callable[[str, object], str]
+
+
+_REGISTERED: dict[str, Registered] = {}
+
+
+def register_check(name: str, fails: Callable[[Column, object], Column], code: str | None = None, message: Callable[[str, object], str] | None = None) -> None:
+    """Make ``constraints: {checks: {name: parameter}}`` mean ``fails``: cells that aren't null and for which it is true are issues, counted, fetched and
+    reported like those of the built-in checks, in files, tables and streams. A condition that is null doesn't fail."""
+    _REGISTERED[name] = Registered(fails, code or name.upper().replace("-", "_"), message or (lambda column, parameter: f'"{column}" fails {name} ({parameter}).'))
+
+
+def registered(name: str) -> Registered | None:
+    return _REGISTERED.get(name)
+
+
 @dataclass
 class Bound:
     """A contract bound to a header."""
@@ -111,6 +135,12 @@ def bind(contract: dict, records: Records) -> Bound:
                 add("REGEX_MISMATCH", ~empty & ~value.rlike(java), F.concat(F.lit(f'"{name}" value "'), shown, F.lit(f'" does not match {want["matches"]}.')), shown)
             except patterns.InvalidPattern as error:
                 found.append(issue("column", "INVALID_REGEX", f'"{name}" has an invalid regex: {error}', column=name))
+        for own, parameter in (want.get("checks") or {}).items():
+            check = registered(own)
+            if check is None:
+                found.append(issue("column", "UNKNOWN_CHECK", f'"{name}" asks for a check "{own}" that is not registered.', column=name))
+            else:
+                add(check.code, ~empty & F.coalesce(check.fails(plain, parameter), F.lit(False)), F.lit(check.message(name, parameter)), shown, F.lit(str(parameter)))
         if want.get("unique"):
             out.uniques.append((name, [plain], ~empty, plain))
     if schema.get("allowAdditionalColumns") is False:
@@ -277,6 +307,59 @@ def validate_files(records: Records, contracts: list[dict], max_issues: int = 10
     return out
 
 
+def all_issues(records: Records, contracts: list[dict]) -> tuple[list[Result], DataFrame]:
+    """Every issue of every contract, and a result each, without issues of its own. The records, of one source, are read once.
+
+    Failing cells and the keys of uniqueness checks are written in one pass, which counts as it writes; duplicates then come from the written keys. The table
+    has the contract's place in the list, and phase, place and row, which put its issues in order.
+    """
+    bounds, seen = [bind(c, records) for c in contracts], Observation()
+    metrics, rows, targets = [F.count(F.lit(1)).alias("rows")], [], []
+    names = [*_FIELDS, "key"]
+    kinds = dict.fromkeys(names, "string") | {"row": "long", "key": "array<string>"}
+
+    def row(contract: int, phase: int, place: int, **given: Column) -> Column:
+        cells = [given.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names]
+        return F.struct(F.lit(contract).alias("contract"), F.lit(phase).alias("phase"), F.lit(place).alias("place"), *cells)
+
+    for b, bound in enumerate(bounds):
+        for k, c in enumerate(bound.checks):
+            metrics.append(F.count_if(c.condition).alias(f"c{b}_{k}"))
+            texts = {n: x for n, x in (("actual", c.actual), ("expected", c.expected)) if x is not None}
+            rows.append(F.when(c.condition, row(b, 1, k, level=F.lit(c.level), code=F.lit(c.code), message=c.message, column=F.lit(c.column), row=records.rec, test_id=F.lit(c.test_id), **texts)))
+        metrics += [F.count_if(m).alias(f"m{b}_{k}") for k, (_, m) in enumerate(bound.tests)]
+        for k, (_, key, when, shown) in enumerate(bound.uniques):
+            shown = {} if shown is None else {"actual": tx.display(shown)}
+            rows.append(F.when(when, row(b, 2, k, row=records.rec, key=F.array(*key), **shown)))
+            targets.append((b, k))
+    none = F.when(F.lit(False), row(0, 1, 0))
+    found = written(records.frame.observe(seen, *metrics).select(F.explode(F.array_compact(F.array(*(rows or [none])))).alias("x")).select("x.*"), "found")
+    got = seen.get
+    keys = found.where("phase = 2")
+    by = ["contract", "place", "key"]
+    twice = keys.groupBy(*by).agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").select(*(F.col(c).alias(f"_{c}") for c in by), "first")
+    later = keys.join(twice, tx.all_of(F.col(c) == F.col(f"_{c}") for c in by)).where(F.col("row") > F.col("first"))
+    name = F.coalesce(*(F.when((F.col("contract") == b) & (F.col("place") == k), F.lit(bounds[b].uniques[k][0])) for b, k in targets)) if targets else F.lit(None).cast("string")
+    first = F.col("first").cast("string")
+    said = F.when(name.isNull(), F.concat(F.lit("Composite identity duplicates CSV record "), first, F.lit("."))).otherwise(F.concat(F.lit('"'), name, F.lit('" duplicates CSV record '), first, F.lit(".")))
+    made = {"level": F.when(name.isNull(), "row").otherwise("cell"), "code": F.when(name.isNull(), "IDENTITY_NOT_UNIQUE").otherwise("NOT_UNIQUE"), "message": said, "column": name}
+    shape = [F.col(c) for c in ("contract", "phase", "place")]
+    repeats = written(later.select(*shape, *(made.get(n, F.col(n)).alias(n) for n in _FIELDS)), "repeats")
+    surplus = dict(map(tuple, repeats.groupBy("contract").count().collect()))
+    results, others = [], []
+    for b, bound in enumerate(bounds):
+        schema = bound.contract["schema"]
+        before = bound.structure + ([] if records.header else [issue("file", "CSV_EMPTY", "CSV is empty.")])
+        after = count_issues("row_count", got["rows"], schema.get("rowCount"), "file")
+        for k, (test, _) in enumerate(bound.tests):
+            after += count_issues("match_count", got[f"m{b}_{k}"], test["expect"].get("count") or {"exact": 1}, "row", test["id"])
+        others += [(b, phase, k, *(i[n] for n in _FIELDS)) for phase, some in ((0, before), (3, after)) for k, i in enumerate(some)]
+        total = len(before) + sum(got[f"c{b}_{k}"] for k in range(len(bound.checks))) + surplus.get(b, 0) + len(after)
+        results.append(Result(total == 0, got["rows"], len(records.header), len(schema["columns"]) + len(bound.contract.get("rowTests", [])), total, total > 0, []))
+    fixed = records.frame.sparkSession.createDataFrame(others, f"contract int, phase int, place int, {ISSUE}")
+    return results, fixed.unionByName(found.where("phase = 1").drop("key")).unionByName(repeats)
+
+
 def validate(records: Records, contracts: list[dict], max_issues: int = 1000) -> list[Result]:
     """A result per contract, all from one scan of the records of one source."""
     (results,) = validate_files(records, contracts, max_issues)

@@ -70,6 +70,59 @@ def bounded_issues(spark, d):
     return va.cell_issues(va.bind(ORDER_CONTRACT, records), records).orderBy("row", "ord").limit(100).select("code", "column", "row")
 
 
+va.register_check("multiple-of", lambda cell, n: cell.try_cast("long") % int(n) != 0)
+COMPLETE_CONTRACT = {
+    "version": 1, "identity": {"columns": ["cust", "st"]},
+    "schema": {"rowCount": {"max": 10}, "columns": ORDER_CONTRACT["schema"]["columns"] | {"cust": {"presence": "required", "constraints": {"unique": True, "checks": {"multiple-of": 7}}}, "gone": {"presence": "required"}}},
+}
+
+
+def complete_issues(spark, d):
+    """Every issue of two contracts with their places, from one reading of the orders: cells, a registered check, keys, structure and counts."""
+    _, found = va.all_issues(order_records(spark, d), [ORDER_CONTRACT, COMPLETE_CONTRACT])
+    return found.select("contract", "phase", "code", "column", "row")
+
+
+def file_issues(spark, d):
+    """Structure of three tables against contracts that they don't fit: missing, additional and doubled columns, counts of columns, invalid patterns and tests of what isn't there."""
+    wanted = {"version": 1, "identity": {"columns": ["gone"]}, "schema": {"columnCount": {"exact": 9}, "allowAdditionalColumns": False, "columns": {"name": {"presence": "required", "constraints": {"matches": "a++"}}, "gone": {"presence": "required"}, "maybe": {"presence": "optional"}}}, "rowTests": [
+        {"id": "t", "select": {"name": "x"}, "expect": {"cells": {"other": {"equals": "1"}}}}, {"id": "t", "select": {"maybe": "x"}, "expect": {}},
+    ]}
+    rows = []
+    for t, key in (("nation", "n_nationkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey")):
+        prefix = key.split("_")[0]
+        frame = table(spark, d, t).select(F.col(key).alias("rec"), F.col(f"{prefix}_name").alias("c0"), F.lit("").alias("c1"), F.lit("").alias("c2"))
+        records = Records(["name", "again", "again"], frame, lambda i: F.col(f"c{i}"), False)
+        (result,) = va.validate(records, [wanted])
+        rows += [(t, i["level"], i["code"], i["column"], i["test_id"], result.row_count) for i in result.issues]
+    return spark.createDataFrame(rows, "table string, level string, code string, column string, test_id string, rows long")
+
+
+_FILE_ISSUES = (
+    ("file", "DUPLICATE_HEADER", "again", None), ("file", "COLUMN_COUNT_EXACT", None, None), ("column", "INVALID_REGEX", "name", None), ("column", "REQUIRED_COLUMN_MISSING", "gone", None), ("column", "ADDITIONAL_COLUMN", "again", None),
+    ("column", "ADDITIONAL_COLUMN", "again", None), ("column", "IDENTITY_COLUMN_MISSING", "gone", None), ("row", "UNDECLARED_TEST_COLUMN", "other", "t"), ("row", "DUPLICATE_TEST_ID", None, "t"), ("row", "TEST_COLUMN_MISSING", "maybe", "t"),
+)
+
+
+def comparison_errors(spark, d):
+    """The codes that stop comparisons of customers: options that can't hold, and values that can't be read, with the data record."""
+    names = ["c_custkey", "c_name", "c_acctbal"]
+    customers = table(spark, d, "customer").select(*names)
+    left = from_frame(customers, F.col("c_custkey"), names)
+    cases = (
+        ("twice", {"keys": ["c_name", "c_name"]}), ("missing", {"ignored": ["gone"]}), ("both", {"dates": ["c_name"], "decimals": ["c_name"]}), ("key ignored", {"keys": ["c_name"], "ignored": ["c_name"]}),
+        ("context ignored", {"keys": ["c_custkey"], "context": ["c_name"], "ignored": ["c_name"]}), ("context alone", {"context": ["c_name"]}), ("no date", {"dates": ["c_acctbal"]}), ("no decimal", {"decimals": ["c_name"]}), ("none", {"decimals": ["c_acctbal"]}),
+    )
+    rows = []
+    for name, options in cases:
+        try:
+            made = cp.compare(left, left, cp.Options(**options))
+            rows.append((name, None, None, None, made.sides[0].count()))
+        except cp.ComparisonError as error:
+            rows.append((name, error.code, error.column, error.record, None))
+    return spark.createDataFrame(rows, "case string, code string, column string, record long, rows long")
+
+
 def unique_violations(spark, d):
     records = from_frame(table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id"), ["text"])
     return va.duplicates(va.bind(contract_of(text={"unique": True}), records), records).select(F.col("rec").alias("row"), F.col("first").alias("first_row"))
@@ -357,7 +410,7 @@ def suite_rollup(spark, d):
 
 def queries():
     plain = (
-        cell_violations_by_code, cell_issues, bounded_issues, unique_violations, identity_violations, unique_multi_target, row_test_matches, cell_assertions, count_expectations, norm_trim_case, multiset_diff,
+        cell_violations_by_code, cell_issues, bounded_issues, complete_issues, file_issues, comparison_errors, unique_violations, identity_violations, unique_multi_target, row_test_matches, cell_assertions, count_expectations, norm_trim_case, multiset_diff,
         multiset_diagnostics, side_summary, keyed_diff_summary, keyed_changed_cells, keyed_references, changed_by_column, duplicate_keys, hot_key_rows, blank_cells, key_references, decimal_canonical, date_canonical, rules_summary,
         rules_samples, rule_leaf_matrix, rule_nested, unique_rule_members, schema_diff, suite_rollup,
     )
@@ -380,6 +433,12 @@ def oracle_sql():
         "cell_violations_by_code": f"with o as ({ORDERS_SQL}) " + " union all ".join(f"select '{c}' as code, '{k}' as \"column\", count(*) filter (where {w}) as n from o" for c, k, w in _CHECKS),
         "cell_issues": _CELLS_SQL,
         "bounded_issues": f"with o as ({ORDERS_SQL}), i as (" + " union all ".join(f"select {n} as ord, '{c}' as code, '{k}' as \"column\", rec as row from o where {w}" for n, (c, k, w) in enumerate(_CHECKS)) + ') select code, "column", row from i order by row, ord limit 100',
+        "complete_issues": f"with o as ({ORDERS_SQL}), i as ({_CELLS_SQL.removeprefix(f'with o as ({ORDERS_SQL}) ')}) select 0 as contract, 1 as phase, * from i union all select 1, 1, * from i where \"column\" <> 'cust' union all select 1, 1, 'MULTIPLE_OF', 'cust', rec from o where cast(cust as bigint) % 7 <> 0 "
+        "union all select 1, 2, 'NOT_UNIQUE', 'cust', rec from (select *, min(rec) over (partition by cust) as f from o) where rec > f union all select 1, 2, 'IDENTITY_NOT_UNIQUE', null, rec from (select *, min(rec) over (partition by cust, st) as f from o) where rec > f "
+        "union all select 1, 0, 'REQUIRED_COLUMN_MISSING', 'gone', null union all select 1, 3, 'ROW_COUNT_MAX', null, null from (select count(*) as n from o) where n > 10",
+        "file_issues": "with s as (" + " union all ".join(f"select '{t}' as \"table\", count(*) as rows from {t}" for t in ("nation", "region", "supplier")) + '), i(level, code, "column", test_id) as (values ' + ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in r) + ")" for r in _FILE_ISSUES) + ') select "table", level, code, "column", test_id, rows from s, i',
+        "comparison_errors": "select * from (values ('twice', 'DUPLICATE_OPTION_COLUMN', 'c_name', null), ('missing', 'CONFIGURED_COLUMN_MISSING', 'gone', null), ('both', 'CONFLICTING_NORMALIZATION', 'c_name', null), ('key ignored', 'INVALID_KEY_COLUMN', 'c_name', null), ('context ignored', 'INVALID_CONTEXT_COLUMN', 'c_name', null), "
+        "('context alone', 'CONTEXT_REQUIRES_KEYS', null, null)) t(\"case\", code, \"column\", record), (select cast(null as bigint) as rows) union all select 'no date', 'DATE_NORMALIZATION', 'c_acctbal', 1, null union all select 'no decimal', 'DECIMAL_NORMALIZATION', 'c_name', 1, null union all select 'none', null, null, null, count(*) from customer",
         "unique_violations": "select * from (select doc_id as row, min(doc_id) over (partition by text) as first_row from documents where text <> '') where row > first_row",
         "identity_violations": f"select * from (select {line_rec} as row, min({line_rec}) over (partition by l_orderkey, l_linenumber) as first_row from lineitem) where row > first_row",
         "unique_multi_target": " union all ".join(f"select '{c}' as \"column\", cast(count(*) - count(distinct {c}) as bigint) as surplus from customer" for c in ("c_name", "c_nationkey", "c_mktsegment")),

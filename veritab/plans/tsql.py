@@ -88,6 +88,8 @@ def script(contract: dict) -> dict:
             n = want.get(key)
             if n is not None and n is not False and n != []:
                 rules.append((f"{c}.{kind}", f"{c}: {kind}", "error", violation(n)))
+        for own in want.get("checks") or {}:
+            warnings.append(f"The check {own} of {c} has no translation.")
         if want.get("matches"):
             warnings.append(f"The pattern of {c} has no translation.")
     identity = contract.get("identity")

@@ -35,12 +35,13 @@ def _integer(loader, node):
 
 _Loader.add_constructor("tag:yaml.org,2002:int", _integer)
 
+# The keys of a contract's parts.
 _KEYS = {
     "contract": {"version", "name", "description", "targets", "csv", "identity", "schema", "rowTests", "sqlServer", "conditionalRules", "importedSchema"},
     "csv": {"delimiter", "quote", "encoding", "header", "nullValues", "trimValues", "caseSensitive", "allowBlankRows", "allowRaggedRows"},
     "schema": {"columns", "rowCount", "columnCount", "allowAdditionalColumns"},
     "column": {"presence", "description", "constraints"},
-    "constraints": {"notNull", "unique", "minLength", "maxLength", "allowedValues", "matches"},
+    "constraints": {"notNull", "unique", "minLength", "maxLength", "allowedValues", "matches", "checks"},
     "rowTest": {"id", "name", "description", "select", "expect"},
     "count": {"exact", "min", "max"},
     "rule": {"id", "name", "description", "severity", "when", "expect"},
@@ -94,6 +95,8 @@ def checked(contract: dict) -> dict:
         if column.get("presence") not in ("required", "optional"):
             raise ContractError(f"column {name} needs presence: required or optional")
         _known(column.get("constraints", {}), "constraints", f"column {name}")
+        if not isinstance((column.get("constraints") or {}).get("checks", {}), dict):
+            raise ContractError(f"column {name}: checks must map names of registered checks to their parameters")
     for key in ("rowCount", "columnCount"):
         if key in contract["schema"]:
             _count(contract["schema"][key], key)
