@@ -1,12 +1,13 @@
 """Approximate nearest neighbours with a permutation index.
 
 A vector is represented by the order of its nearest pivots. It is posted in the inverted files of its first ``POSTED`` pivots; a query
-opens the files of its first ``PROBED`` ones, ranks what it finds there by footrule distance between the orders, and reranks the
-first of them by exact cosine: from each file a fixed number, more from its nearest pivots'. A vector that meets a query in several files
+opens the files of its first ones, ranks what it finds there by footrule distance between the orders, and reranks the
+first of them by exact cosine: from each file a number of its own, more from its nearest pivots'. A vector that meets a query in several files
 is ranked in one of them only, the query's nearest. Pivots grow with the square root of the rows, so that a query meets a share of the rows that
-shrinks as they grow, and scores at most ``quotas(PROBED).sum()`` of them, some 900, whatever their number.
-Files are split in chunks of at most ``CHUNK`` postings, and only the queries of a file with more than ``BLOCK`` in blocks, so a pivot near a third of all
-rows bounds no task; a task reports a query's k best, never its candidates. Queries that find fewer than k candidates open all files, which is exact.
+shrinks as they grow. The files that it opens grow with their fourth root (``probes``), as measured recall needs; it scores some 28 rows of each.
+Files are split in chunks of at most ``CHUNK`` postings, which share a file's number, one row a chunk at least; only the queries of a file with more
+than ``BLOCK`` are dealt to blocks. So a pivot near a third of all rows bounds no task; a task reports a query's k best, never its candidates. Queries that
+find fewer than k candidates open all files, which is exact; with ``exact`` all queries do.
 
 Pivots are drawn from a bounded seeded sample. Every row is indexed. Measured recall and shares are in the README.
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors of different lengths aren't compared, each
@@ -24,25 +25,33 @@ from pyspark.sql import functions as F
 
 from veritab.llm.shared import stored
 
-#: Pivots for n rows: PIVOTS_ROOT * sqrt(n), between these.
-PIVOTS_ROOT, PIVOTS_LEAST, PIVOTS_MOST = 2.0, 32, 16384
+#: Pivots for n rows: PIVOTS_ROOT * sqrt(n), between these; beyond a billion rows files grow instead, and what is reranked of each with them.
+PIVOTS_ROOT, PIVOTS_LEAST, PIVOTS_MOST = 2.0, 32, 65535
 ORDERED = 128
 POSTED = 8
-PROBED = 32
+#: Files that a query opens among so many rows; more among more.
+PROBED, PROBED_ROWS = 32, 50_000
 CHUNK = 4096
 BLOCK = 8192
 #: Rows of a file that are reranked: from the query's nearest pivot's to its last probed one's.
 RERANKED = (48, 8)
-_ROWS = 512
+#: Numbers of a block of distances to pivots.
+_CELLS = 1 << 20
+
+
+def probes(rows: int, probed: int = PROBED) -> int:
+    return int(np.ceil(probed * max(1.0, rows / PROBED_ROWS) ** 0.25))
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, ordered: int) -> np.ndarray:
     """The ``ordered`` nearest pivots of each vector, nearest first."""
-    unit, out = pivots / np.linalg.norm(pivots, axis=1, keepdims=True), []
-    for at in range(0, len(x), _ROWS):
-        part = x[at : at + _ROWS]
-        near = (part / np.linalg.norm(part, axis=1, keepdims=True)) @ unit.T
-        out.append(np.argsort(-near, axis=1, kind="stable")[:, :ordered].astype(np.uint16))
+    unit, out, rows = pivots / np.linalg.norm(pivots, axis=1, keepdims=True), [], max(1, _CELLS // len(pivots))
+    for at in range(0, len(x), rows):
+        part = x[at : at + rows]
+        far = -(part / np.linalg.norm(part, axis=1, keepdims=True)) @ unit.T
+        first = np.sort(np.argpartition(far, ordered - 1, axis=1)[:, :ordered], axis=1)
+        order = np.argsort(np.take_along_axis(far, first, 1), axis=1, kind="stable")
+        out.append(np.take_along_axis(first, order, 1).astype(np.uint16))
     return np.concatenate(out)
 
 
@@ -99,7 +108,7 @@ def _search(pivots: int, posted: int, probed: int, k: int, reranked, everything:
             if not len(here):
                 continue
             if not everything:
-                take = max(2 * k, -(-int(wanted[place[pivot]]) // chunks))
+                take = -(-max(2 * k, int(wanted[place[pivot]])) // chunks)
                 if take < len(here):
                     here = here[np.argsort(-agreement(order[here], mine, pivots), kind="stable")[:take]]
             vector = np.frombuffer(v, np.float64)
@@ -112,9 +121,13 @@ def _search(pivots: int, posted: int, probed: int, k: int, reranked, everything:
     return run
 
 
-def _found(fine: DataFrame, total: int, is_query, k: int, pivots: int | None, ordered: int, posted: int, probed: int, chunk: int, block: int, reranked, seed: int) -> DataFrame:
+def _found(fine: DataFrame, total: int, is_query, k: int, pivots: int | None, ordered: int, posted: int, probed: int, chunk: int, block: int, reranked, seed: int, exact: bool) -> DataFrame:
     """Vectors of one length (id, v, row) -> q, qrow, id, score: at least each query's k best finds."""
-    n_pivots = pivots or int(min(PIVOTS_MOST, max(PIVOTS_LEAST, PIVOTS_ROOT * total**0.5)))
+    wished = max(PIVOTS_LEAST, PIVOTS_ROOT * total**0.5)
+    n_pivots = pivots or int(min(PIVOTS_MOST, wished))
+    if not pivots:
+        probed, reranked = probes(total, probed), [x * max(1.0, wished / n_pivots) for x in reranked]
+        ordered = max(ordered, probed)
     drawn = fine.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n_pivots).toPandas()  # a bounded sample
     centres = np.array(drawn["v"].tolist(), np.float64)
     n_pivots = len(centres)
@@ -137,6 +150,8 @@ def _found(fine: DataFrame, total: int, is_query, k: int, pivots: int | None, or
         return cells.applyInPandas(_search(n_pivots, posted, probed, k, reranked, everything), "q long, qrow long, id long, score double, scored long")
 
     queries = index.where(is_query(F.col("id")))
+    if exact:
+        return stored(search(queries, True), "found")
     found = stored(search(queries, False), "found")
     met = found.groupBy("qrow").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, total - 1))
     short = queries.join(met, queries.row == met.qrow, "left_anti")
@@ -147,16 +162,16 @@ def _found(fine: DataFrame, total: int, is_query, k: int, pivots: int | None, or
 
 
 def nearest(
-    vectors: DataFrame, is_query, k: int = 5, *, pivots: int | None = None, ordered: int = ORDERED, posted: int = POSTED, probed: int = PROBED, chunk: int = CHUNK, block: int = BLOCK, reranked=RERANKED, seed: int = 7,
+    vectors: DataFrame, is_query, k: int = 5, *, pivots: int | None = None, ordered: int = ORDERED, posted: int = POSTED, probed: int = PROBED, chunk: int = CHUNK, block: int = BLOCK, reranked=RERANKED, seed: int = 7, exact: bool = False,
 ) -> DataFrame:
-    """(id long, v array of numbers) -> each query's k nearest other rows by cosine: query_id, rank, vec_id, score."""
+    """(id long, v array of numbers) -> each query's k nearest other rows by cosine: query_id, rank, vec_id, score. With ``exact`` each query meets every row, once."""
     v = F.transform("v", lambda x: x.cast("double"))
     fine = vectors.select("id", v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = fine.where(~F.exists("v", odd)).where(F.exists("v", lambda x: x != 0)).withColumn("row", F.monotonically_increasing_id())
     found = None
     for n, total in sorted(map(tuple, fine.groupBy(F.size("v").alias("n")).count().collect())):  # one row per length
-        part = _found(fine.where(F.size("v") == n), total, is_query, k, pivots, ordered, posted, probed, chunk, block, reranked, seed)
+        part = _found(fine.where(F.size("v") == n), total, is_query, k, pivots, ordered, posted, probed, chunk, block, reranked, seed, exact)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -249,7 +249,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "place"))
     kept = rooted(marked, first, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.place.*")
     rows = docs.select(F.struct("*").alias("row"), place.alias("place"))
-    return rows.join(stored(kept, "kept"), (F.col("place.file") == F.col("file")) & (F.col("place.at") == F.col("at")), "left_semi").select("row.*")
+    kept = stored(kept, "kept").hint("merge")  # as many as the documents kept, so never broadcast, at small sizes neither
+    return rows.join(kept, (F.col("place.file") == F.col("file")) & (F.col("place.at") == F.col("at")), "left_semi").select("row.*")
 
 
 def op3_simhash(spark, sf_dir):
