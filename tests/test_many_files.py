@@ -145,3 +145,41 @@ def test_a_head_is_bounded(spark, tmp_path):
     (tmp_path / "x.csv").write_text('a,b\n1,"' + "open\n" * 4000)
     with pytest.raises(RecordError, match="bytes"):
         head_csv(spark, str(tmp_path / "x.csv"), 5, most_bytes=5000)
+
+
+def test_progress_goes_to_standard_error(spark, tmp_path, capsys):
+    (tmp_path / "c.csvtest.yaml").write_text("version: 1\nschema: {columns: {a: {presence: required, constraints: {unique: true}}}}")
+    (tmp_path / "x.csv").write_text("a,b\n" + "".join(f"{k},1\n" for k in range(20_000)))
+    args = ["test", "--spec", str(tmp_path / "c.csvtest.yaml"), "--csv", str(tmp_path / "x.csv"), "--format", "json", "--progress-interval"]
+    assert cli.main([*args, "0"], spark) == 0
+    assert "Progress" not in capsys.readouterr().err
+    assert cli.main([*args, "1"], spark) == 0
+    got = capsys.readouterr()
+    assert json.loads(got.out)["valid"] and f"Progress {tmp_path / 'x.csv'}: " in got.err and " rows, " in got.err
+    with pytest.raises(SystemExit):
+        cli.main([*args, "-1"], spark)
+
+
+def test_contracts_from_files(spark, tmp_path, capsys):
+    """init infers only when asked; a schema source needs no contract."""
+    (tmp_path / "x.csv").write_text("a,b\n1,x\n2,\n2,long\n")
+    out = tmp_path / "x.csvtest.yaml"
+    assert cli.main(["init", "--csv", str(tmp_path / "x.csv"), "--out", str(out)], spark) == 0
+    assert capsys.readouterr().out == f"Created {out} (2 columns, 1 sampled rows).\n"
+    text = out.read_text()
+    assert text.startswith("# Generated from x.csv.\n# Review column presence") and "# No data constraints were inferred;" in text and "constraints" not in text.split("\n", 3)[3]
+    assert ct.parse(text)["csv"]["encoding"] == "utf-8" and len(ct.parse(text)["rowTests"]) == 2
+    assert cli.main(["init", "--csv", str(tmp_path / "x.csv"), "--out", str(out), "--infer-constraints", "--sample-rows", "2", "--force"], spark) == 0
+    made = ct.parse(out.read_text())["schema"]["columns"]
+    assert made == {"a": {"presence": "required", "constraints": {"notNull": True, "unique": True, "maxLength": 1}}, "b": {"presence": "required", "constraints": {"notNull": False, "unique": False, "maxLength": 1}}}
+    assert "inferred from the first 2 data rows" in out.read_text()
+    for head, said in (("a,,b\n", "empty column name"), ("a,b,a\n", "duplicate column names: a.")):
+        (tmp_path / "y.csv").write_text(head)
+        assert cli.main(["init", "--csv", str(tmp_path / "y.csv"), "--out", str(tmp_path / "y.yaml")], spark) == 2
+        assert said in capsys.readouterr().err
+    tables_json = {"schema": "s", "name": "T", "columns": [{"ordinal": 1, "name": "Id", "typeName": "int", "maxLength": 4, "nullable": False}]}
+    (tmp_path / "t.json").write_text(json.dumps(tables_json))
+    assert cli.main(["schema", "--source", str(tmp_path / "t.json"), "--out", str(tmp_path / "t.yaml")], spark) == 0
+    assert "Imported 1 columns from s.T into" in capsys.readouterr().out and ct.parse((tmp_path / "t.yaml").read_text())["schema"]["columns"]["Id"]["presence"] == "required"
+    assert cli.main(["schema", "--source", str(tmp_path / "t.json"), "--out", str(tmp_path / "t.yaml"), "--table", "s.none"], spark) == 2
+    assert "was not found. Available tables: s.T" in capsys.readouterr().err

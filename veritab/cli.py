@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from veritab.operators.compare import ComparisonError, Options, compare
 from veritab.operators.profile import outline
 from veritab.plans import suite, tables, tsql
+from veritab.plans.progress import progress
 from veritab.sources import contracts as ct
 from veritab.sources.evidence import write_evidence
 from veritab.sources.records import from_csv, head_csv
@@ -28,6 +29,12 @@ def _positive(text: str) -> int:
     return int(text)
 
 
+def _whole(text: str) -> int:
+    if not text.isdecimal():
+        raise argparse.ArgumentTypeError(f"{text} is not a non-negative integer")
+    return int(text)
+
+
 def _save(path: str, text: str, force: bool) -> None:
     if os.path.exists(path) and not force:
         raise ValueError(f"{path} exists; --force overwrites it")
@@ -86,6 +93,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     t.add_argument("--json", action="store_const", const="json", dest="format")
     t.add_argument("--html")
     t.add_argument("--max-issues", type=_positive, default=1000)
+    t.add_argument("--progress-interval", type=_whole, default=250_000, help="rows between two lines on standard error; 0: none")
     i = sub.add_parser("init")
     i.add_argument("--csv", required=True)
     i.add_argument("--out", required=True)
@@ -124,12 +132,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return _import_schema(a)
         spark = spark or SparkSession.builder.appName("veritab").getOrCreate()
         if a.command == "test":
-            if a.suite:
-                runs = suite.run_suite(spark, a.suite, a.max_issues)
-            elif a.spec:
-                runs = suite.run_plans(spark, suite.plans([(x, ct.parse(_read(x))) for x in a.spec], suite.within_folders(spark, a.csv)), a.max_issues)
-            else:
+            if not a.suite and not a.spec:
                 raise ValueError("test needs --spec or --suite")
+            with progress(spark, a.suite or ", ".join(a.csv or a.spec), a.progress_interval, suite.show_bytes):
+                if a.suite:
+                    runs = suite.run_suite(spark, a.suite, a.max_issues)
+                else:
+                    runs = suite.run_plans(spark, suite.plans([(x, ct.parse(_read(x))) for x in a.spec], suite.within_folders(spark, a.csv)), a.max_issues)
             print(json.dumps(suite.as_json(runs), indent=2) if a.format == "json" else suite.as_text(runs))
             if a.html:
                 _save(a.html, suite.as_html(runs), True)

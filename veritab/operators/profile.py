@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from veritab.functions.text import length
 from veritab.sources.records import Records
 
 
+# The csv section of contracts that are made from files.
+CSV = {"delimiter": ",", "encoding": "utf-8", "quote": '"', "header": "required", "nullValues": [""], "trimValues": False, "caseSensitive": True, "allowBlankRows": False, "allowRaggedRows": False}
+
+
 def column_profile(records: Records, sample_rows: int | None = 10_000) -> DataFrame:
     """(column, sampled, max_length, null_count, distinct_count) of the first ``sample_rows`` records (None: all), in one aggregate.
 
@@ -27,15 +33,17 @@ def column_profile(records: Records, sample_rows: int | None = 10_000) -> DataFr
 def longest(records: Records) -> dict[str, int]:
     """The greatest length in each column over all records."""
     got = records.frame.agg(*(F.max(length(records.cell(i))).alias(f"m{i}") for i in range(len(records.header)))).first()
-    return {h: got[f"m{i}"] or 0 for i, h in enumerate(records.header)}
+    return {h: got[f"m{records.header.index(h)}"] or 0 for h in records.header}
 
 
 def outline(records: Records, sample_rows: int = 10_000, infer: bool = False, sample_tests: bool = True) -> dict:
     """A starter contract: presence, and with ``infer`` not-null, unique and longest length of the sample; with ``sample_tests`` tests of the first record."""
     if not records.header:
         raise ValueError("Cannot create a contract from an empty CSV.")
-    if any(not h.strip() for h in records.header) or len(set(records.header)) != len(records.header):
-        raise ValueError("Headers must be distinct and not empty.")
+    if not all(records.header):
+        raise ValueError("The CSV header contains an empty column name.")
+    if doubled := [h for h, n in Counter(records.header).items() if n > 1]:
+        raise ValueError(f"The CSV header contains duplicate column names: {', '.join(doubled)}.")
     columns = {h: {"presence": "required"} for h in records.header}
     if infer:
         found = {r["column"]: r for r in column_profile(records, sample_rows).collect()}
@@ -53,4 +61,13 @@ def outline(records: Records, sample_rows: int = 10_000, infer: bool = False, sa
             {"id": "sample-cell-value", "name": "Sample cell has its value", "select": dict(select), "expect": {"count": {"min": 1}, "cells": {records.header[picked[0]]: {"equals": first[picked[0]]}}}},
         ]
     schema = {"allowAdditionalColumns": True, "rowCount": {"min": 1}, "columnCount": {"exact": len(records.header)}, "columns": columns}
-    return {"version": 1, "csv": {"delimiter": ","}, "schema": schema, "rowTests": tests}
+    return {"version": 1, "csv": dict(CSV), "schema": schema, "rowTests": tests}
+
+
+def contract_of_lengths(records: Records) -> dict:
+    """A contract that all records fit: every column is required and no longer than its longest cell; nothing else is said of it."""
+    if not records.header:
+        raise ValueError("Cannot create a contract from an empty CSV.")
+    most = longest(records)
+    columns = {h: {"presence": "required", "constraints": {"notNull": False, "unique": False, "maxLength": most[h]}} for h in records.header}
+    return {"version": 1, "csv": dict(CSV), "schema": {"allowAdditionalColumns": True, "rowCount": {"min": 1}, "columnCount": {"exact": len(records.header)}, "columns": columns}, "rowTests": []}

@@ -16,7 +16,7 @@ from veritab.operators import compare as cp
 from veritab.operators import rules as ru
 from veritab.operators import validate as va
 from veritab.operators.number import numbered
-from veritab.operators.profile import column_profile
+from veritab.operators.profile import column_profile, contract_of_lengths, outline
 from veritab.plans.suite import Run, rollup
 from veritab.sources.records import Records, from_frame
 
@@ -123,6 +123,21 @@ def comparison_errors(spark, d):
     return spark.createDataFrame(rows, "case string, code string, column string, record long, rows long")
 
 
+_INFERRED = {"nation": ["n_name", "n_regionkey"], "customer": ["c_custkey", "c_mktsegment", "c_name"], "documents": ["doc_id", "lang", "text"]}
+
+
+def inferred_constraints(spark, d):
+    """What a contract made from whole tables says of columns: not null, unique, longest value; and the lengths alone."""
+    rows = []
+    for t, names in _INFERRED.items():
+        records = from_frame(table(spark, d, t).select(*names), F.monotonically_increasing_id(), names)
+        made, lengths = outline(records, 1 << 30, infer=True, sample_tests=False), contract_of_lengths(records)
+        for c in names:
+            own = made["schema"]["columns"][c]["constraints"]
+            rows.append((t, c, own["notNull"], own["unique"], own["maxLength"], lengths["schema"]["columns"][c]["constraints"]["maxLength"]))
+    return spark.createDataFrame(rows, "table string, column string, not_null boolean, unique boolean, max_length long, longest long")
+
+
 def unique_violations(spark, d):
     records = from_frame(table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id"), ["text"])
     return va.duplicates(va.bind(contract_of(text={"unique": True}), records), records).select(F.col("rec").alias("row"), F.col("first").alias("first_row"))
@@ -410,7 +425,7 @@ def suite_rollup(spark, d):
 
 def queries():
     plain = (
-        cell_violations_by_code, cell_issues, bounded_issues, complete_issues, file_issues, comparison_errors, unique_violations, identity_violations, unique_multi_target, row_test_matches, cell_assertions, count_expectations, norm_trim_case, multiset_diff,
+        cell_violations_by_code, cell_issues, bounded_issues, complete_issues, file_issues, comparison_errors, inferred_constraints, unique_violations, identity_violations, unique_multi_target, row_test_matches, cell_assertions, count_expectations, norm_trim_case, multiset_diff,
         multiset_diagnostics, side_summary, keyed_diff_summary, keyed_changed_cells, keyed_references, changed_by_column, duplicate_keys, hot_key_rows, blank_cells, key_references, decimal_canonical, date_canonical, rules_summary,
         rules_samples, rule_leaf_matrix, rule_nested, unique_rule_members, schema_diff, suite_rollup,
     )
@@ -436,6 +451,9 @@ def oracle_sql():
         "complete_issues": f"with o as ({ORDERS_SQL}), i as ({_CELLS_SQL.removeprefix(f'with o as ({ORDERS_SQL}) ')}) select 0 as contract, 1 as phase, * from i union all select 1, 1, * from i where \"column\" <> 'cust' union all select 1, 1, 'MULTIPLE_OF', 'cust', rec from o where cast(cust as bigint) % 7 <> 0 "
         "union all select 1, 2, 'NOT_UNIQUE', 'cust', rec from (select *, min(rec) over (partition by cust) as f from o) where rec > f union all select 1, 2, 'IDENTITY_NOT_UNIQUE', null, rec from (select *, min(rec) over (partition by cust, st) as f from o) where rec > f "
         "union all select 1, 0, 'REQUIRED_COLUMN_MISSING', 'gone', null union all select 1, 3, 'ROW_COUNT_MAX', null, null from (select count(*) as n from o) where n > 10",
+        "inferred_constraints": " union all ".join(
+            f"select '{t}' as \"table\", '{c}' as \"column\", count(*) = count(v) as not_null, count(*) > 0 and count(*) = count(v) and count(distinct v) = count(*) as \"unique\", coalesce(max(u), 0) as max_length, coalesce(max(u), 0) as longest "
+            f"from (select nullif(cast({c} as varchar), '') as v, length(v) + length(regexp_replace(v, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) as u from {t})" for t, names in _INFERRED.items() for c in names),
         "file_issues": "with s as (" + " union all ".join(f"select '{t}' as \"table\", count(*) as rows from {t}" for t in ("nation", "region", "supplier")) + '), i(level, code, "column", test_id) as (values ' + ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in r) + ")" for r in _FILE_ISSUES) + ') select "table", level, code, "column", test_id, rows from s, i',
         "comparison_errors": "select * from (values ('twice', 'DUPLICATE_OPTION_COLUMN', 'c_name', null), ('missing', 'CONFIGURED_COLUMN_MISSING', 'gone', null), ('both', 'CONFLICTING_NORMALIZATION', 'c_name', null), ('key ignored', 'INVALID_KEY_COLUMN', 'c_name', null), ('context ignored', 'INVALID_CONTEXT_COLUMN', 'c_name', null), "
         "('context alone', 'CONTEXT_REQUIRES_KEYS', null, null)) t(\"case\", code, \"column\", record), (select cast(null as bigint) as rows) union all select 'no date', 'DATE_NORMALIZATION', 'c_acctbal', 1, null union all select 'no decimal', 'DECIMAL_NORMALIZATION', 'c_name', 1, null union all select 'none', null, null, null, count(*) from customer",
