@@ -6,7 +6,7 @@ how well their classifier separates its sides, and flags texts whose best two co
 Learning counts n-grams by language over all learning rows; what reaches the driver is languages x buckets numbers.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, and for all texts if nothing was learned; with one
-learned language every other text gets it; a null lang is not learned; a null doc_id is not held out; repeated rows count and are answered each;
+learned language every other text gets it; a null lang is not learned; more than ``LANGUAGES_MOST`` languages are an error; a null doc_id is not held out; repeated rows count and are answered each;
 a text of any length counts whole; other columns may have any name; an empty table gives no rows.
 """
 
@@ -25,6 +25,8 @@ BUCKETS = 8192
 _HALF = BUCKETS // 2
 #: Margins are mean log-odds times this.
 SHARPNESS = 25.0
+#: More languages than this are an error: a task holds BUCKETS numbers of each, and so does the driver.
+LANGUAGES_MOST = 1000
 AMBIGUOUS = 0.75
 
 
@@ -94,6 +96,8 @@ def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for lang, text in zip(part["lang"], part["text"]):
             if lang not in counts:
+                if len(counts) == LANGUAGES_MOST:
+                    raise ValueError(f"there are more than {LANGUAGES_MOST} languages")
                 counts[lang] = np.zeros(BUCKETS, np.int64)
             counts[lang] += ngrams(text)
     for lang, c in counts.items():
@@ -108,7 +112,10 @@ def held_out(doc_id: Column) -> Column:
 def fit_languages(docs: DataFrame) -> Codes:
     """Learn from all rows of (doc_id, text, lang) that aren't held out."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    got = rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = sums.limit(LANGUAGES_MOST * BUCKETS + 1).toPandas()
+    if len(got) > LANGUAGES_MOST * BUCKETS or got["lang"].nunique() > LANGUAGES_MOST:
+        raise ValueError(f"there are more than {LANGUAGES_MOST} languages")
     counts: dict[str, np.ndarray] = {}
     for lang, rows in got.groupby("lang"):
         counts[lang] = np.bincount(rows["bucket"], rows["n"], BUCKETS)
