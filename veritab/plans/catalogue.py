@@ -5,7 +5,9 @@ The tables hold no nulls, blanks or padding, so failures come from derived colum
 
 from __future__ import annotations
 
-from functools import partial
+import uuid
+from functools import partial, reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,10 @@ from veritab.functions import text as tx
 from veritab.operators import compare as cp
 from veritab.operators import rules as ru
 from veritab.operators import validate as va
-from veritab.operators.number import numbered
+from veritab.operators.number import numbered, shared_dir
 from veritab.operators.profile import column_profile, contract_of_lengths, outline
-from veritab.plans.suite import Run, rollup
-from veritab.sources.records import Records, from_frame
+from veritab.plans.suite import Run, located, plans, rollup, run_plans
+from veritab.sources.records import Records, from_frame, open_files
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
 ORDER_CONTRACT = {
@@ -138,6 +140,52 @@ def inferred_constraints(spark, d):
     return spark.createDataFrame(rows, "table string, column string, not_null boolean, unique boolean, max_length long, longest long")
 
 
+def _csv_files(spark: SparkSession, df: DataFrame) -> list[str]:
+    """``df`` as CSV files in the shared folder, which go when the driver ends; and the files' names."""
+    folder = f"{shared_dir(spark)}/veritab-{uuid.uuid4().hex}"
+    df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}/csv")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return sorted(unquote(f) for f in spark.read.text(f"{folder}/csv").inputFiles())
+
+
+def csv_records(spark, d):
+    """Customers through CSV files and exact records: quotes, delimiters, line ends and blanks in cells come back as they were."""
+    odd = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit('"'), F.col("c_name"), F.lit('", ,'))).when(F.col("c_custkey") % 7 == 0, F.concat(F.col("c_name"), F.lit("\n\n two"))).when(F.col("c_custkey") % 11 == 0, F.lit("")).otherwise(F.col("c_name"))
+    records, errors = open_files(spark, _csv_files(spark, table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), odd.alias("note"), F.lit(" ").alias("end"))))
+    if errors:
+        raise next(iter(errors.values()))
+    parts = [r.frame.select(r.cell(0).cast("long").alias("c_custkey"), r.cell(1).alias("note"), r.cell(2).alias("last"), "n_fields") for r in records]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_TARGETS = {"nation": ("n_nationkey", "n_name"), "supplier": ("s_suppkey", "s_name"), "customer": ("c_custkey", "c_name")}
+
+
+def targets_in_one_scan(spark, d):
+    """Files of three tables against two contracts in one batch, added up by table and contract: files, rows, failing cells and repeated names."""
+    owner = {}
+    for t, (key, name) in _TARGETS.items():
+        frame = table(spark, d, t).select(F.col(key).cast("string").alias("key"), F.when(F.col(key) % 4 == 0, "same").otherwise(F.col(name)).alias("name"))
+        owner |= dict.fromkeys(map(located, _csv_files(spark, frame.repartitionByRange(3, F.col(key)))), t)
+    contracts = [("lengths", contract_of(name={"maxLength": 9, "minLength": 5})), ("keys", contract_of(key={"unique": True, "matches": "^[0-9]+$"}, name={"notNull": True}))]
+    sums: dict[tuple, list[int]] = {}
+    for r in run_plans(spark, plans(contracts, list(owner))):
+        own = sums.setdefault((owner[r.target], r.spec), [0, 0, 0])
+        for k, n in enumerate((1, r.result.row_count, r.result.issue_count)):
+            own[k] += n
+    return spark.createDataFrame([(*k, v[0] > 0, *v[1:]) for k, v in sums.items()], "table string, contract string, has_files boolean, rows long, issues long")
+
+
+def normalized_rows(spark, d):
+    """One side of a comparison as it is compared: trimmed, upper case, empty as null, exact decimals."""
+    names = ["c_custkey", "c_name", "c_acctbal"]
+    padded = F.when(F.col("c_custkey") % 9 == 0, F.lit(" \t")).otherwise(F.concat(F.lit("\u00a0 "), F.lower("c_name"), F.lit("\n")))
+    customers = table(spark, d, "customer").select("c_custkey", padded.alias("c_name"), F.concat(F.lit("+0"), F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("0")).alias("c_acctbal")).where("c_acctbal not like '+0-%'")
+    side = from_frame(customers, F.col("c_custkey"), names)
+    return cp.compare(side, side, cp.Options(trim=True, case_fold=True, blank_null=True, decimals=["c_acctbal"])).normalized(0)
+
+
 def unique_violations(spark, d):
     records = from_frame(table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id"), ["text"])
     return va.duplicates(va.bind(contract_of(text={"unique": True}), records), records).select(F.col("rec").alias("row"), F.col("first").alias("first_row"))
@@ -425,7 +473,7 @@ def suite_rollup(spark, d):
 
 def queries():
     plain = (
-        cell_violations_by_code, cell_issues, bounded_issues, complete_issues, file_issues, comparison_errors, inferred_constraints, unique_violations, identity_violations, unique_multi_target, row_test_matches, cell_assertions, count_expectations, norm_trim_case, multiset_diff,
+        cell_violations_by_code, cell_issues, bounded_issues, complete_issues, file_issues, comparison_errors, inferred_constraints, csv_records, targets_in_one_scan, normalized_rows, unique_violations, identity_violations, unique_multi_target, row_test_matches, cell_assertions, count_expectations, norm_trim_case, multiset_diff,
         multiset_diagnostics, side_summary, keyed_diff_summary, keyed_changed_cells, keyed_references, changed_by_column, duplicate_keys, hot_key_rows, blank_cells, key_references, decimal_canonical, date_canonical, rules_summary,
         rules_samples, rule_leaf_matrix, rule_nested, unique_rule_members, schema_diff, suite_rollup,
     )
@@ -454,6 +502,10 @@ def oracle_sql():
         "inferred_constraints": " union all ".join(
             f"select '{t}' as \"table\", '{c}' as \"column\", count(*) = count(v) as not_null, count(*) > 0 and count(*) = count(v) and count(distinct v) = count(*) as \"unique\", coalesce(max(u), 0) as max_length, coalesce(max(u), 0) as longest "
             f"from (select nullif(cast({c} as varchar), '') as v, length(v) + length(regexp_replace(v, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) as u from {t})" for t, names in _INFERRED.items() for c in names),
+        "csv_records": "select c_custkey, case when c_custkey % 5 = 0 then '\"' || c_name || '\", ,' when c_custkey % 7 = 0 then c_name || chr(10) || chr(10) || ' two' when c_custkey % 11 = 0 then '' else c_name end as note, ' ' as last, 3 as n_fields from customer",
+        "targets_in_one_scan": " union all ".join(
+            f"select '{t}' as \"table\", c as contract, true as has_files, (select count(*) from {t}) as rows, n as issues from (select 'lengths' as c, (select count(*) filter (where length(x) > 9 or length(x) < 5) from (select case when {key} % 4 = 0 then 'same' else {name} end as x from {t})) as n union all select 'keys', 0)" for t, (key, name) in _TARGETS.items()),
+        "normalized_rows": f"select cast(c_custkey as varchar) as c_custkey, case when c_custkey % 9 = 0 then null else upper(c_name) end as c_name, {plain.format('cast(cast(c_acctbal as decimal(18,2)) as varchar)')} as c_acctbal from customer where c_acctbal >= 0",
         "file_issues": "with s as (" + " union all ".join(f"select '{t}' as \"table\", count(*) as rows from {t}" for t in ("nation", "region", "supplier")) + '), i(level, code, "column", test_id) as (values ' + ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in r) + ")" for r in _FILE_ISSUES) + ') select "table", level, code, "column", test_id, rows from s, i',
         "comparison_errors": "select * from (values ('twice', 'DUPLICATE_OPTION_COLUMN', 'c_name', null), ('missing', 'CONFIGURED_COLUMN_MISSING', 'gone', null), ('both', 'CONFLICTING_NORMALIZATION', 'c_name', null), ('key ignored', 'INVALID_KEY_COLUMN', 'c_name', null), ('context ignored', 'INVALID_CONTEXT_COLUMN', 'c_name', null), "
         "('context alone', 'CONTEXT_REQUIRES_KEYS', null, null)) t(\"case\", code, \"column\", record), (select cast(null as bigint) as rows) union all select 'no date', 'DATE_NORMALIZATION', 'c_acctbal', 1, null union all select 'no decimal', 'DECIMAL_NORMALIZATION', 'c_name', 1, null union all select 'none', null, null, null, count(*) from customer",
