@@ -209,20 +209,28 @@ def aligner(path_a: str | None, path_b: str | None) -> Aligner:
     return _KEPT[key]
 
 
+def _runs(sizes: np.ndarray, most: int) -> list[slice]:
+    """Runs of rows whose sizes add up to about ``most``, a row at least."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    bounds = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(ends)]
+    return [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:]) if a < b]
+
+
 def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> rows of ALIGNED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(path_a, path_b)
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "").to_pylist()
-            for at in wordtok.batches(texts):
-                can = [bool(x) and BLANK not in x for x in texts[at]]
+            column = pc.fill_null(batch.column(1), "")
+            for at in _runs(pc.utf8_length(column).to_numpy(zero_copy_only=False), wordtok.BATCH):
+                texts = column[at].to_pylist()
+                can = [bool(x) and BLANK not in x for x in texts]
                 filled = np.array(can, bool)
                 numbers, digests = np.zeros((3, len(filled)), np.int64), np.full(len(filled), "", object)
                 links = np.zeros(0, np.int32)
                 if filled.any():
-                    *got, names, links = own.align([x for x, y in zip(texts[at], can) if y])
+                    *got, names, links = own.align([x for x, y in zip(texts, can) if y])
                     numbers[:, filled], digests[filled] = np.array(got), names
                 ends = pa.array(np.concatenate([[0], np.cumsum(numbers[2])]), pa.int32())
                 columns = [batch.column(0)[at], *(pa.array(x) for x in numbers), pa.array(digests, pa.string()), pa.ListArray.from_arrays(ends, pa.array(links))]
@@ -234,12 +242,11 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with about LOOKED_UP links: first row, row after the last, links, and how many links there are up to each row's end."""
     column = batch.column(batch.schema.get_field_index("links"))
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64))])
-    links = column.flatten().to_numpy()
-    bounds = [0, *(np.flatnonzero(np.diff(ends[1:] // LOOKED_UP)) + 1).tolist(), len(column)]
-    for s, e in zip(bounds[:-1], bounds[1:]):
-        if s < e:
-            yield s, e, links[ends[s] : ends[e]], ends[s + 1 : e + 1] - ends[s]
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, links = np.concatenate([[0], np.cumsum(sizes)]), column.flatten().to_numpy()
+    for at in _runs(sizes, LOOKED_UP):
+        s, e = at.start, at.stop
+        yield s, e, links[ends[s] : ends[e]], ends[s + 1 : e + 1] - ends[s]
 
 
 def link_counts(rows: DataFrame, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
