@@ -28,6 +28,8 @@ from veritab.llm.shared import documents, stored
 
 #: What pieces write a blank as; as that is read back as a blank, no text that holds it comes back.
 BLANK = "▁"
+#: Pieces that a table holds before it is cut down; a worker has two tables.
+PIECES_MOST = 180_000
 #: Links that are looked up at a time.
 LOOKED_UP = 1 << 20
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>"
@@ -57,6 +59,11 @@ class ByteLevel(wordtok.WordTokenizer):
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.tokens[i] = bytes(map(byte.__getitem__, token))
 
+    def ids(self, texts, end=None, led=False):
+        if len(self.number) > PIECES_MOST:
+            self._shrink()
+        return super().ids(texts, end, led)
+
 
 class Pieces(wordtok.WordTokenizer):
     """A piece vocabulary with byte fallback, whose library puts a blank before each text.
@@ -94,6 +101,8 @@ class Pieces(wordtok.WordTokenizer):
         if end is not None or not led:
             raise ValueError("texts have a blank before them and no end id")
         if not self.whole:
+            if len(self.number) > PIECES_MOST:
+                self._shrink()
             return super().ids(texts, led=True)
         got = self.encode_led(texts)
         return np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in got)]), np.array([len(x) for x in got], np.int64)
