@@ -508,7 +508,7 @@ def oracle_sql():
         "normalized_rows": f"select cast(c_custkey as varchar) as c_custkey, case when c_custkey % 9 = 0 then null else upper(c_name) end as c_name, {plain.format('cast(cast(c_acctbal as decimal(18,2)) as varchar)')} as c_acctbal from customer where c_acctbal >= 0",
         "file_issues": "with s as (" + " union all ".join(f"select '{t}' as \"table\", count(*) as rows from {t}" for t in ("nation", "region", "supplier")) + '), i(level, code, "column", test_id) as (values ' + ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in r) + ")" for r in _FILE_ISSUES) + ') select "table", level, code, "column", test_id, rows from s, i',
         "comparison_errors": "select * from (values ('twice', 'DUPLICATE_OPTION_COLUMN', 'c_name', null), ('missing', 'CONFIGURED_COLUMN_MISSING', 'gone', null), ('both', 'CONFLICTING_NORMALIZATION', 'c_name', null), ('key ignored', 'INVALID_KEY_COLUMN', 'c_name', null), ('context ignored', 'INVALID_CONTEXT_COLUMN', 'c_name', null), "
-        "('context alone', 'CONTEXT_REQUIRES_KEYS', null, null)) t(\"case\", code, \"column\", record), (select cast(null as bigint) as rows) union all select 'no date', 'DATE_NORMALIZATION', 'c_acctbal', 1, null union all select 'no decimal', 'DECIMAL_NORMALIZATION', 'c_name', 1, null union all select 'none', null, null, null, count(*) from customer",
+        "('context alone', 'CONTEXT_REQUIRES_KEYS', null, null)) t(\"case\", code, \"column\", record), (select cast(null as bigint) as rows) union all select 'no date', 'DATE_NORMALIZATION', 'c_acctbal', cast(1 as bigint), null union all select 'no decimal', 'DECIMAL_NORMALIZATION', 'c_name', cast(1 as bigint), null union all select 'none', null, null, null, count(*) from customer",
         "unique_violations": "select * from (select doc_id as row, min(doc_id) over (partition by text) as first_row from documents where text <> '') where row > first_row",
         "identity_violations": f"select * from (select {line_rec} as row, min({line_rec}) over (partition by l_orderkey, l_linenumber) as first_row from lineitem) where row > first_row",
         "unique_multi_target": " union all ".join(f"select '{c}' as \"column\", cast(count(*) - count(distinct {c}) as bigint) as surplus from customer" for c in ("c_name", "c_nationkey", "c_mktsegment")),
