@@ -133,11 +133,18 @@ def date(c: Column) -> Column:
     return F.coalesce(time(c), _day(c, _SHORT, "m d y"), _day(c, _DAY, "y m d"), moment(c))
 
 
+NORMAL = {"decimal": decimal, "date": date}
+
+
+def comparison_text(c: Column, *, trim: bool = False, blank_null: bool = False) -> Column:
+    """A cell before its kind counts: trimmed, then empty to null. Blanks are empty only where they are trimmed."""
+    x = trimmed(c) if trim else c
+    return F.when(x != "", x) if blank_null else x
+
+
 def comparison_value(c: Column, *, trim: bool = False, case_fold: bool = False, blank_null: bool = False, kind: str | None = None) -> tuple[Column, Column]:
     """(value, failed) in the order trim, empty to null, date or decimal, upper case. A null input stays null; blanks are empty only where they are trimmed."""
-    x = trimmed(c) if trim else c
-    if blank_null:
-        x = F.when(x != "", x)
-    out = {"decimal": decimal, "date": date}[kind](x) if kind else x
+    x = comparison_text(c, trim=trim, blank_null=blank_null)
+    out = NORMAL[kind](x) if kind else x
     failed = x.isNotNull() & out.isNull() if kind else F.lit(False)
     return (F.upper(out) if case_fold else out), failed

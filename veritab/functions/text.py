@@ -13,7 +13,7 @@ _BLANK_SET = {chr(c) for c in (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x200
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{BLANKS}]+|[{BLANKS}]+\\z", "")
+    return F.btrim(c, F.lit("".join(sorted(_BLANK_SET))))
 
 
 def trim_text(s: str) -> str:
