@@ -16,10 +16,6 @@ _MOMENT = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[Tt ]([0-9]{2}):([0-9]{2})(?::([0-9
 _MIDNIGHT = "T00:00:00.0000000Z"
 
 
-def _part(c: Column, pattern: str, k: int) -> Column:
-    return F.regexp_extract(c, pattern, k)
-
-
 def bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` refers to it."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -67,9 +63,13 @@ def decimal(c: Column) -> Column:
     return F.when(simple, c).when(bare.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)\z"), plain).when(bare.rlike(_DECIMAL), full)
 
 
-def _fields(c: Column, pattern: str, names: str) -> Column:
-    """The pattern's groups as a struct."""
-    return F.struct(*(_part(c, pattern, k).alias(n) for k, n in enumerate(names.split(), 1)))
+def _fields(**parts: Column) -> Column:
+    """A text's parts as a struct. They are cut at fixed places and marks, which is right where the pattern fits; only that one test is a pattern."""
+    return F.struct(*(part.alias(n) for n, part in parts.items()))
+
+
+def _at(c: Column, start: int | Column, length: int) -> Column:
+    return F.substring(c, F.lit(start) if isinstance(start, int) else start, F.lit(length))
 
 
 def _two(x: Column) -> Column:
@@ -86,7 +86,12 @@ def time(c: Column) -> Column:
         h = F.when(twelve, h % 12 + F.when(F.lower(p["half"]) == "p", 12).otherwise(0)).otherwise(h)
         return F.when(fits, F.concat(_two(h), F.lit(":"), _two(m), F.lit(":"), _two(s), F.lit("."), F.rpad(p["f"], 7, "0")))
 
-    return F.when(c.rlike(_TIME), bound(_fields(c, _TIME, "h m s f half"), number))
+    hour = F.substring_index(c, ":", 1)
+    width, half = F.length(hour), F.right(c, F.lit(1)).isin("m", "M")
+    second = _at(c, width + 4, 1) == ":"
+    fraction = F.when(second & _at(c, width + 7, 1).isin(".", ","), F.regexp_extract(_at(c, width + 8, 7), "^[0-9]+", 0)).otherwise("")
+    found = _fields(h=hour, m=_at(c, width + 2, 2), s=F.when(second, _at(c, width + 5, 2)).otherwise(""), f=fraction, half=F.when(half, _at(c, -2, 1)).otherwise(""))
+    return F.when(c.rlike(_TIME), bound(found, number))
 
 
 def _valid(year: Column, month: Column, day: Column) -> Column:
@@ -95,24 +100,23 @@ def _valid(year: Column, month: Column, day: Column) -> Column:
     return (year >= 100) & month.between(1, 12) & day.between(1, last)
 
 
-def _day(c: Column, pattern: str, names: str) -> Column:
+def _day(c: Column, pattern: str, found: Column) -> Column:
     def written(p: Column) -> Column:
         y, m, d = (p[k].cast("int") for k in "ymd")
         return F.when(_valid(y, m, d), F.concat(p["y"], F.lit("-"), _two(m), F.lit("-"), _two(d), F.lit(_MIDNIGHT)))
 
-    return F.when(c.rlike(pattern), bound(_fields(c, pattern, names), written))
+    return F.when(c.rlike(pattern), bound(found, written))
 
 
 def moment(c: Column) -> Column:
     """ISO date and time, in UTC, cut to milliseconds. Days are counted, so no session time zone matters."""
 
     def number(p: Column) -> Column:
-        zone = F.regexp_replace(p["zone"], ":", "")
-        far = F.length(zone) == 5
-        part = lambda at: F.when(far, F.substring(zone, at, 2).try_cast("int")).otherwise(0)
+        zone = p["zone"]
+        part = lambda at: F.when(zone != "", _at(zone, at, 2).try_cast("int")).otherwise(0)
         s = F.when(p["s"] == "", F.lit(0)).otherwise(p["s"].try_cast("int"))
         ints = [p[k].cast("int").alias(k) for k in ("y", "mo", "d", "h", "mi")]
-        return F.struct(*ints, s.alias("s"), F.left(F.rpad(p["f"], 7, "0"), F.lit(3)).alias("ms"), part(2).alias("zh"), part(4).alias("zm"), F.when(F.left(zone, F.lit(1)) == "-", -1).otherwise(1).alias("way"))
+        return F.struct(*ints, s.alias("s"), F.left(F.rpad(p["f"], 7, "0"), F.lit(3)).alias("ms"), part(2).alias("zh"), part(5).alias("zm"), F.when(F.left(zone, F.lit(1)) == "-", -1).otherwise(1).alias("way"))
 
     def shifted(p: Column) -> Column:
         fits = _valid(p["y"], p["mo"], p["d"]) & (p["h"] < 24) & (p["mi"] < 60) & (p["s"] < 60) & (p["zh"] < 24) & (p["zm"] < 60)
@@ -124,13 +128,20 @@ def moment(c: Column) -> Column:
         clock = F.concat(F.lit("T"), _two(F.floor(rest / 60)), F.lit(":"), _two(rest % 60), F.lit(":"), _two(p["s"]), F.lit("."), p["ms"], F.lit("0000Z"))
         return F.when(p.isNotNull(), F.concat(F.date_add(p["date"], p["days"]).cast("string"), clock))
 
-    return F.when(c.rlike(_MOMENT), bound(bound(bound(_fields(c, _MOMENT, "y mo d h mi s f zone"), number), shifted), written))
+    far = _at(c, -6, 1).isin("+", "-")
+    point = F.when(_at(c, 20, 1) == ".", F.regexp_extract(_at(c, 21, 7), "^[0-9]+", 0)).otherwise("")
+    found = _fields(y=_at(c, 1, 4), mo=_at(c, 6, 2), d=_at(c, 9, 2), h=_at(c, 12, 2), mi=_at(c, 15, 2), s=F.when(_at(c, 17, 1) == ":", _at(c, 18, 2)).otherwise(""), f=point, zone=F.when(far, F.right(c, F.lit(6))).otherwise(""))
+    return F.when(c.rlike(_MOMENT), bound(bound(bound(found, number), shifted), written))
 
 
 def date(c: Column) -> Column:
     """A time, or a date from month/day/year, ISO date, or ISO date and time; white space around it doesn't count."""
-    c = trimmed(c)
-    return F.coalesce(time(c), _day(c, _SHORT, "m d y"), _day(c, _DAY, "y m d"), moment(c))
+
+    def read(c: Column) -> Column:
+        short = _fields(m=F.substring_index(c, "/", 1), d=F.substring_index(F.substring_index(c, "/", 2), "/", -1), y=F.substring_index(c, "/", -1))
+        return F.coalesce(time(c), _day(c, _SHORT, short), _day(c, _DAY, _fields(y=_at(c, 1, 4), m=_at(c, 6, 2), d=_at(c, 9, 2))), moment(c))
+
+    return bound(trimmed(c), read)
 
 
 NORMAL = {"decimal": decimal, "date": date}
