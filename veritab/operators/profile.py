@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.text import length
@@ -18,16 +18,24 @@ CSV = {"delimiter": ",", "encoding": "utf-8", "quote": '"', "header": "required"
 def column_profile(records: Records, sample_rows: int | None = 10_000) -> DataFrame:
     """(column, sampled, max_length, null_count, distinct_count) of the first ``sample_rows`` records (None: all), in one aggregate.
 
-    The sample is the operator's feature: it bounds inference. Without it distinct counts shuffle one row per column and value.
+    The sample is the operator's feature: it bounds inference. Without it distinct counts shuffle one row per column and value: the value's bytes if they are
+    fewer than a SHA-256, else that, so that no task holds whole texts to tell them apart.
     """
     rows = records.frame if sample_rows is None else records.frame.orderBy("rec").limit(sample_rows)
-    values = [F.struct(F.lit(i).alias("ordinal"), F.lit(h).alias("column"), records.cell(i).alias("value")) for i, h in enumerate(records.header)]
-    tall = rows.select(F.inline(F.array(*values)))
-    counted = tall.groupBy("ordinal", "column", "value").agg(F.count("*").alias("n"))
-    return counted.groupBy("ordinal", "column").agg(
-        F.sum("n").alias("sampled"), F.max(length(F.col("value"))).alias("max_length"), F.coalesce(F.sum(F.when(F.col("value") == "", F.col("n"))), F.lit(0)).alias("null_count"),
-        F.count_if(F.col("value") != "").alias("distinct_count"),
+    cells = [records.cell(i) for i in range(len(records.header))]
+    names = F.element_at(F.array(*map(F.lit, records.header)), F.col("ordinal") + 1)
+    tall = rows.select(F.inline(F.array(*(F.struct(F.lit(i).alias("ordinal"), _known(c).alias("value"), length(c).alias("units")) for i, c in enumerate(cells)))))
+    counted = tall.groupBy("ordinal", "value").agg(F.count("*").alias("n"), F.max("units").alias("units"))
+    summed = counted.groupBy("ordinal").agg(
+        F.sum("n").alias("sampled"), F.max("units").alias("max_length"), F.coalesce(F.sum(F.when(F.col("units") == 0, F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count_if(F.col("units") > 0).alias("distinct_count"),
     )
+    return summed.select("ordinal", names.alias("column"), "sampled", "max_length", "null_count", "distinct_count")
+
+
+def _known(c: Column) -> Column:
+    """A text's UTF-8 if it has fewer than 32 bytes, else its SHA-256, which has 32."""
+    return F.when(F.octet_length(c) < 32, F.encode(c, "UTF-8")).otherwise(F.unhex(F.sha2(F.encode(c, "UTF-8"), 256)))
 
 
 def longest(records: Records) -> dict[str, int]:
@@ -36,7 +44,7 @@ def longest(records: Records) -> dict[str, int]:
     return {h: got[f"m{records.header.index(h)}"] or 0 for h in records.header}
 
 
-def outline(records: Records, sample_rows: int = 10_000, infer: bool = False, sample_tests: bool = True) -> dict:
+def outline(records: Records, sample_rows: int | None = 10_000, infer: bool = False, sample_tests: bool = True) -> dict:
     """A starter contract: presence, and with ``infer`` not-null, unique and longest length of the sample; with ``sample_tests`` tests of the first record."""
     if not records.header:
         raise ValueError("Cannot create a contract from an empty CSV.")
