@@ -27,13 +27,15 @@ END = 2
 BLOCK_IDS = 2048
 #: A row of the files is closed once it has so many ids.
 ROW_IDS = 6_000_000
+#: Pieces that a worker's table holds, and characters that are looked up at once: more than other operators take, as fewer pieces are encoded and looked up again.
+PIECES, BATCH = 600_000, 1 << 22
 FILES = "part int, seg int, n_ids long, doc_ids array<long>, sizes array<long>, blocks binary"
 READ = "part int, seg int, doc_id long, local long, n_tokens long, ids_crc32 long"
 
 
 def _encode(path: str | None, end: int, block_ids: int, row_ids: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = wordtok.tokenizer(path or wordtok.default_path())
+        tok = wordtok.tokenizer(path or wordtok.default_path(), PIECES)
         part_number, seg = TaskContext.get().partitionId(), 0
         names, sizes, ids, total = [], [], [], 0
 
@@ -44,7 +46,7 @@ def _encode(path: str | None, end: int, block_ids: int, row_ids: int):
         for part in parts:
             texts = [x or "" for x in part["text"].tolist()]
             known = [None if pd.isna(x) else int(x) for x in part["doc_id"].tolist()]
-            for at in wordtok.batches(texts):
+            for at in wordtok.batches(texts, BATCH):
                 got, n = tok.ids(texts[at], end)
                 names, total = names + known[at], total + len(got)
                 ids.append(got)
