@@ -103,6 +103,36 @@ def test_what_varies_stays_beside_an_article(spark):
     assert extracted(spark, rows[:1]) == {0: "text 0"}
 
 
+def large_site():
+    """Two sections of a few pages, one without articles, on a host of which they are less than a part of 500."""
+    others = [(1000 + k, f"http://s.example/o{k}", f"<title>o{k}</title><p>Other {k}</p>") for k in range(4500)]
+    bylines = [(100 + k, f"http://s.example/a{k}", f"<title>a{k}</title><div>By author {k}</div><div>Our site</div><article>text {k}</article>") for k in range(8)]
+    want = stories(site(8)) | {100 + k: f"By author {k}\ntext {k}" for k in range(8)} | {1000 + k: f"Other {k}" for k in range(4500)}
+    return site(8) + bylines + others, want
+
+
+def test_small_sections_of_a_large_host(spark):
+    rows, want = large_site()
+    few = {r[0] for r in rows[:16]}
+    alone = extracted(spark, rows[:16])
+    assert alone == {k: t for k, t in want.items() if k in few}
+    assert extracted(spark, rows) == want
+
+
+def test_rules_by_host_or_by_page(spark, monkeypatch):
+    given = pd.read_parquet(f"{SMALL}/pages.parquet")
+    rows = [(10_000 + k, u, h) for k, (u, h) in enumerate(zip(given.url, given.html))] + large_site()[0][:200] + [(20_000, None, None), (20_001, "http://s.example/", None), (20_001, "http://s.example/", None)]
+    rows += [(30_000 + k, f"http://s.example/c{k}", rows[3][2]) for k in range(50)]  # copies
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for share in (0, 0.05, 2):
+        monkeypatch.setattr(sitetree, "SHARE", share)
+        found.append(sorted(map(repr, sitetree.main_texts(frame).collect())))
+        by_host, by_page = sitetree.site_rules(frame)
+        assert (by_host.count() > 0) == (share < 2) and (by_page.count() > 0) == (share > 0)
+    assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
+
+
 def recursive(pages):
     """Composite importance by host and node as it is defined, with all nodes at hand."""
     chosen = {}
